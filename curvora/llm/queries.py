@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .decontaminate import ORACLE as OP5
+from .decontaminate import op5_decontaminate
+from .minhash import op2_minhash
 from .sharding import op3_sharding
+from .warc import op10_warc
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_sharding": op3_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
+    "op3_sharding": op3_sharding,
+    "op5_decontaminate": op5_decontaminate,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5}
