@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import ORACLE as OP5
 from .decontaminate import op5_decontaminate
+from .line_dedup import op7_line_dedup
 from .minhash import op2_minhash
 from .sharding import op3_sharding
 from .warc import op10_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op5_decontaminate": op5_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5}
