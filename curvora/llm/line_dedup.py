@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -145,22 +146,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = repeated_runs(numbered.where(F.col("text").isNotNull()).select("__row", "text"), min_words)
     spans = materialise(runs.groupBy("row").agg(F.collect_set(F.struct("a", "n")).alias("__spans")).select(F.col("row").alias("__r"), "__spans"), "line-spans")
 
-    def run(texts: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
-        for text, spans in texts:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in batches:
             out = []
-            for t, s in zip(text, spans, strict=True):
-                if t is None:
+            for text, own in zip(texts, spans, strict=True):
+                if text is None:
                     out.append((None, 0, 0))
                     continue
-                lines, gone = t.split("\n"), set()
-                for x in s if s is not None else ():
+                lines, gone = text.split("\n"), set()
+                for x in own if own is not None else ():
                     gone.update(range(x["a"], x["a"] + x["n"]))
-                out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t, len(lines), len(gone)))
+                out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text, len(lines), len(gone)))
             yield pd.DataFrame(out, columns=["kept_text", "n_lines", "n_deleted"])
 
-    cut = F.pandas_udf(run, "kept_text string, n_lines long, n_deleted long", F.PandasUDFType.SCALAR_ITER)
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    cut = F.pandas_udf(run, "kept_text string, n_lines long, n_deleted long")
     joined = numbered.join(spans, numbered["__row"] == spans["__r"], "left")
     return joined.withColumn("__cut", cut(F.col("text").cast("string"), "__spans")).select(*kept_columns, "__cut.kept_text", "__cut.n_lines", "__cut.n_deleted")
 

@@ -8,6 +8,7 @@ from .decontaminate import op5_decontaminate
 from .line_dedup import op7_line_dedup
 from .minhash import op2_minhash
 from .sharding import op3_sharding
+from .toxicity import op6_toxicity
 from .warc import op10_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op10_warc": op10_warc,
 }
