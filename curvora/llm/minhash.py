@@ -10,10 +10,11 @@ documents agree in a register with probability equal to their probability Jaccar
 later than every register of the document.
 
 Documents with the same words are collapsed first.  Bands of registers give buckets; in each bucket every member is
-compared with the bucket's least member, the hub, so a bucket of n texts makes n - 1 pairs.  1 - J is a metric, as J is
-the collision probability of a hash family, so texts x and y of one bucket can be linked only if their distances to the
-hub differ by 0.2 at most; pairs within the hub's ball are already in one class, and the other pairs that pass this
-test are compared as well.  Every candidate is verified on whole texts; classes are connected components of links.
+compared with one member, the hub, drawn by hash, so a bucket of n texts makes n - 1 pairs, and a text of a large group
+meets different hubs in different buckets.  Links give classes.  Where a bucket then still holds several classes, the
+members outside its largest class are compared with the members of other classes, as far as sketches of two bits a
+register allow a similarity of 0.8 (one that has it fails with probability 2e-9).  Every candidate is verified on whole
+texts; classes are connected components of links.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .components import connected_components
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 WORD = re.compile(r"\w+")
 MEMO_WORDS = 500_000
+#: Bits of a register in a sketch, and differing bits at most: at 0.8 their mean is 25.6 of 256 and their deviation 5.8.
+SKETCH_BITS, SKETCH_DIFFERENCE = 2, 60
 
 _U = np.uint64
 _GOLDEN, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)  # splitmix64
@@ -132,7 +135,7 @@ def similarity(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the words, n_words and a 64-bit key for each band (none for a text without words)."""
+    """doc_id, digest of the words, n_words, a 64-bit key for each band (none for a text without words), and a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -141,16 +144,20 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, h, count, digests, sizes = shingles(batch.column("text").to_pylist(), ids)
-                sig = signatures(batch.num_rows, doc, h, count, bands * rows).reshape(batch.num_rows, bands, rows)
+                sig = signatures(batch.num_rows, doc, h, count, bands * rows)
+                bits = np.stack([(sig >> _U(7 + i)) & _U(1) for i in range(SKETCH_BITS)], axis=-1).astype(np.uint8).reshape(batch.num_rows, -1)
+                bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+                words = np.packbits(bits, axis=1).view(np.int64)
+                sig = sig.reshape(batch.num_rows, bands, rows)
                 with np.errstate(over="ignore"):
                     key = np.broadcast_to(salt, (batch.num_rows, bands)).copy()
                     for j in range(rows):
                         key = mix(key * _GOLDEN + sig[:, :, j])
                 keys = [k if n else [] for k, n in zip(key.view(np.int64), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "keys", "sketch"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, digest string, n_words long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest string, n_words long, keys array<long>, sketch array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,38 +195,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     docs = docs.where(F.col("doc_id").isNotNull())
     marks = materialise(sketch(docs, bands, rows), "near-marks")
-    texts_of = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(texts_of, "near-reps")
-    # The bands of each text once: those of its least document.
+    reps = materialise(marks.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-reps")
+    # Each text once: the marks of its least document.
     own = marks.join(reps.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    band = own.select("rep", F.explode("keys").alias("key")).distinct()
-    hubs = materialise(band.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub"), "near-hubs")
-    members = materialise(band.join(hubs, band["key"] == hubs["k"]).where("rep != hub").select("key", "rep", "hub"), "near-members")
-
-    # Texts only of documents that stand in a pair.
-    pairs = members.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    wanted = members.select("rep").unionByName(members.select(F.col("hub").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
+    own = materialise(own.select("rep", "keys", "sketch").dropDuplicates(["rep", "keys"]), "near-own")
+    band = own.select("rep", F.explode("keys").alias("key"))
+    hubs = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("n"))
+    hubs = materialise(hubs.where("n > 1").select(F.col("key").alias("k"), F.col("least.rep").alias("hub")), "near-hubs")
+    members = materialise(band.join(hubs, band["key"] == hubs["k"]).select("key", "rep", "hub"), "near-members")
+
+    # Texts only of documents that share a bucket.
+    pairs = members.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(members.select("rep").distinct(), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
     sims = materialise(verify(pairs, texts).groupBy("a", "b").agg(F.max("sim").alias("sim")), "near-sims")
     links = sims.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     classes = materialise(connected_components(links), "near-classes")
 
-    # Pairs beside the hub: only members outside its ball can have a link that the hub has not already made.
-    slack = 1 - threshold + 1e-9
-    far = members.join(sims.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("sim")).alias("d")), ["rep", "hub"])
-    far = far.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("key", "rep", "d", "c")
-    outer = materialise(far.where(F.col("d") > slack), "near-outer")
-    if not is_empty(outer):
-        o = outer.select(F.col("key").alias("ok"), F.col("rep").alias("a"), F.col("d").alias("od"), F.col("c").alias("oc"))
-        more = far.join(o, (far["key"] == o["ok"]) & (F.abs(far["d"] - o["od"]) <= slack) & (far["c"] != o["oc"]))
+    # Buckets that still hold several classes: their members outside the largest one meet the others.
+    placed = members.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    per = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("mk"), F.col("top.c").alias("main"))
+    rows_ = placed.join(mixed, F.col("key") == F.col("mk")).join(own.select(F.col("rep").alias("sr"), "sketch"), F.col("rep") == F.col("sr"))
+    mixed = materialise(rows_.select("key", "rep", "c", "main", *[F.col("sketch")[i].alias(f"s{i}") for i in range(-(-bands * rows * SKETCH_BITS // 64))]), "near-mixed")
+    if not is_empty(mixed):
+        words = [c for c in mixed.columns if c.startswith("s")]
+        outer = mixed.where("c != main").select(F.col("key").alias("ok"), F.col("rep").alias("a"), F.col("c").alias("oc"), *[F.col(c).alias("o" + c) for c in words])
+        differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in words), F.lit(0))
+        allowed = SKETCH_DIFFERENCE if (bands, rows, threshold) == (BANDS, ROWS, THRESHOLD) else 64 * len(words)
+        more = mixed.join(outer, (mixed["key"] == outer["ok"]) & (mixed["c"] != outer["oc"]) & ((mixed["c"] == mixed["main"]) | (mixed["rep"] < outer["a"])) & (differing <= allowed))
         more = more.select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
         more = materialise(more.join(sims, ["a", "b"], "left_anti"), "near-more")
         found = verify(more, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         found = materialise(found, "near-found")
         if not is_empty(found):
-            classes = materialise(connected_components(found.unionByName(links)), "near-classes")
-    release(members, hubs, outer)
+            known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+            classes = materialise(connected_components(found.unionByName(known)), "near-classes")
+    release(members, hubs, mixed)
 
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_id"))
     named = materialise(named, "near-named")
