@@ -1,0 +1,128 @@
+"""Profile operators around the ridge: candidate and line results, leaf summary, manual override, sides and halves."""
+
+from __future__ import annotations
+
+from ..functions.dialect import Spark
+from ..plans.chain import Step
+from .curves import r6
+
+#: Search range, expected place and its spread, least prominence, least width; limits of the leaf check.
+MIDDLE, EXPECTED, SIGMA, MIN_WIDTH, MAX_RANGE, MIN_DETECTED = (0.35, 0.70), 0.50, 0.12, 0.01, 0.20, 3
+
+
+def ridge_candidates(source: str = "lines", polarity: str = "bright") -> tuple[Step, ...]:
+    """Local maxima of the middle of each line with their prominence inside it.
+
+    A point is a candidate if it is above both neighbours.  Its base on a side is the least value on the way to the
+    nearest higher point, or to the end of the range; prominence is its height above the higher base.
+    """
+    if polarity not in ("bright", "dark"):
+        raise ValueError(f"unknown peak polarity: {polarity}")
+
+    def middle(d: Spark) -> str:
+        sign = "" if polarity == "bright" else "-"
+        return f"""
+        select line, leaf, sample_id, position_fraction x, {sign}value y, row_number() over (partition by line order by position_fraction) k
+        from {source} where position_fraction between {d.dbl(MIDDLE[0])} and {d.dbl(MIDDLE[1])}"""
+
+    def tops(d: Spark) -> str:
+        return "select * from (select *, lag(y) over w before, lead(y) over w after from middle window w as (partition by line order by k)) t where y > before and y > after"
+
+    def bases(d: Spark) -> str:
+        # Equality join on the line and a range on k: lines have a few dozen points.
+        return """
+        select t.line, t.k, max(case when m.k < t.k and m.y > t.y then m.k end) higher_left, min(case when m.k > t.k and m.y > t.y then m.k end) higher_right
+        from tops t join middle m on t.line = m.line group by t.line, t.k"""
+
+    def text(d: Spark) -> str:
+        return """
+        select t.line, t.leaf, t.sample_id, t.k, t.x, t.y,
+          t.y - greatest(min(case when m.k <= t.k and m.k >= coalesce(b.higher_left, 0) then m.y end), min(case when m.k >= t.k and m.k <= coalesce(b.higher_right, 1000000000) then m.y end)) prominence
+        from tops t join bases b on t.line = b.line and t.k = b.k join middle m on t.line = m.line
+        group by t.line, t.leaf, t.sample_id, t.k, t.x, t.y, b.higher_left, b.higher_right"""
+
+    return (("middle", middle), ("tops", tops), ("bases", bases), ("candidates", text))
+
+
+def line_results(source: str = "lines", min_prominence: float = 6.0) -> Step:
+    """One row a line: its best candidate by prominence and nearness to the expected place; ties go to the first."""
+
+    def text(d: Spark) -> str:
+        score = f"prominence * exp(cast(-0.5 as double) * power((x - {d.dbl(EXPECTED)}) / {d.dbl(SIGMA)}, 2))"
+        return f"""
+        select l.line, l.leaf, l.sample_id, case when b.x is null then 'no_peak' else 'detected' end status, b.x peak_position, b.prominence, b.score
+        from (select distinct line, leaf, sample_id from {source}) l left join (
+          select * from (select line, x, prominence, {score} score, row_number() over (partition by line order by round({score}, 9) desc, k) rk from candidates where prominence >= {d.dbl(min_prominence)}) s where rk = 1
+        ) b on l.line = b.line"""
+
+    return ("line_results", text)
+
+
+def leaf_summary(source: str = "line_results") -> Step:
+    """Lines, detected ones, median and range of the place; review with a note where there are too few or they differ."""
+
+    def text(d: Spark) -> str:
+        note = [f"case when detected < {MIN_DETECTED} then 'too few detected lines' end", f"case when detected >= {MIN_DETECTED} and spread > {d.dbl(MAX_RANGE)} then 'peak positions differ' end"]
+        return f"""
+        select leaf, n_lines, detected, case when detected >= {MIN_DETECTED} then {r6("mid")} end median_position, case when detected >= {MIN_DETECTED} then {r6("spread")} end position_range,
+          case when detected < {MIN_DETECTED} or spread > {d.dbl(MAX_RANGE)} then 'review' else 'pass' end qc_flag, {d.notes(*note)} notes
+        from (select leaf, cast(count(*) as bigint) n_lines, cast(sum(case when status = 'detected' then 1 else 0 end) as bigint) detected, {d.pct("peak_position", 0.5)} mid, max(peak_position) - min(peak_position) spread from {source} group by leaf) s"""
+
+    return ("leaf_summary", text)
+
+
+def region(source: str = "line_results", half: float = 0.02) -> Step:
+    """The ridge's region of each line, and a manual override where sample 2 of every third leaf was adjusted by hand."""
+
+    def text(d: Spark) -> str:
+        manual = "(sample_id = 2 and leaf % 3 = 0)"
+        split = f"case when {manual} then {d.dbl(0.62)} else peak_position end"
+        return f"""
+        select line, leaf, sample_id, {split} split_position, case when {manual} then 'manual' when peak_position is null then 'none' else 'automatic' end split_source,
+          greatest(cast(0 as double), {split} - {d.dbl(half)}) left_edge, least(cast(1 as double), {split} + {d.dbl(half)}) right_edge
+        from {source}"""
+
+    return ("region", text)
+
+
+def annotate(source: str = "lines") -> Step:
+    """Left join of points to their line's region: side, distance and whether they lie in the region."""
+
+    def text(d: Spark) -> str:
+        return f"""
+        select p.line, p.position_index, case when r.split_position is null then 'unknown'
+            when abs(p.position_fraction - r.split_position) <= {d.dbl(1e-8)} + {d.dbl(1e-5)} * abs(r.split_position) then 'midrib_center'
+            when p.position_fraction < r.split_position then 'upper' else 'lower' end side,
+          {r6("abs(p.position_fraction - r.split_position)")} distance, coalesce(p.position_fraction between r.left_edge and r.right_edge, false) in_region
+        from {source} p left join region r on p.line = r.line"""
+
+    return ("annotated", text)
+
+
+def halves(source: str = "lines") -> tuple[Step, ...]:
+    """Half-curves: points outside the region, by side, with their distance from its edge and index by distance."""
+
+    def sides(d: Spark) -> str:
+        return f"""
+        select p.line, p.leaf, p.sample_id, p.plot, 'upper' side, r.left_edge - p.position_fraction dist, p.value from {source} p join region r on p.line = r.line where p.position_fraction <= r.left_edge
+        union all
+        select p.line, p.leaf, p.sample_id, p.plot, 'lower' side, p.position_fraction - r.right_edge dist, p.value from {source} p join region r on p.line = r.line where p.position_fraction >= r.right_edge"""
+
+    def text(d: Spark) -> str:
+        return """
+        select line, leaf, sample_id, plot, side, dist, value, row_number() over w - 1 i, case when max(dist) over (partition by line, side) > 0 then dist / max(dist) over (partition by line, side) else cast(0 as double) end x
+        from sides window w as (partition by line, side order by dist)"""
+
+    return (("sides", sides), ("halves", text))
+
+
+def scan(source: str = "lines") -> Step:
+    """How many lines are detected under each of 25 pairs of least prominence and greatest distance from the middle."""
+
+    def text(d: Spark) -> str:
+        grid = " union all ".join(f"select {d.dbl(float(p))} min_prominence, {d.dbl(w)} max_distance" for p in (2, 4, 6, 8, 10) for w in (0.03, 0.06, 0.09, 0.12, 0.15))
+        return f"""
+        select g.min_prominence, g.max_distance, cast(count(distinct case when c.prominence >= g.min_prominence and abs(c.x - {d.dbl(EXPECTED)}) <= g.max_distance then c.line end) as bigint) detected
+        from candidates c cross join ({grid}) g group by g.min_prominence, g.max_distance"""
+
+    return ("scanned", text)
