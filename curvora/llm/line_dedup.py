@@ -161,7 +161,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     cut = F.pandas_udf(run, "kept_text string, n_lines long, n_deleted long")
-    joined = numbered.join(spans, numbered["__row"] == spans["__r"], "left")
+    # A merge join at every size: the spans grow with the corpus, so they are never broadcast.
+    joined = numbered.join(spans.hint("merge"), numbered["__row"] == spans["__r"], "left")
     return joined.withColumn("__cut", cut(F.col("text").cast("string"), "__spans")).select(*kept_columns, "__cut.kept_text", "__cut.n_lines", "__cut.n_deleted")
 
 
