@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each class; rows with a null doc_id stay, of equal rows one stays."""
     classes = near_duplicates(docs)
     gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
     n, distinct = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return kept if n == distinct else kept.dropDuplicates()
 
@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents with an occurrence of a benchmark window."""
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
     bad = materialise(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["__bad"], "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

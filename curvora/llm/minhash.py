@@ -181,7 +181,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sims = [similarity(own[x], own[y]) for x, y in zip(ta, tb, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     # Texts only of documents that share a bucket.
     pairs = members.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
     sims = materialise(verify(pairs, texts).groupBy("a", "b").agg(F.max("sim").alias("sim")), "near-sims")
     links = sims.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))

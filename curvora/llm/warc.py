@@ -60,7 +60,7 @@ def records(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     d = decisions.select(F.col("page_id").alias("d_id"), "payload_bytes", F.col("payload_digest").alias("d_digest"), "record_type", "refers_to").distinct()
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    rows = rows.join(d, (rows["page_id"] == d["d_id"]) & (rows["payload_digest"] == d["d_digest"]))
+    rows = rows.join(d.hint("merge"), (rows["page_id"] == d["d_id"]) & (rows["payload_digest"] == d["d_digest"]))
     revisit = F.col("record_type") == "revisit"
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
     header = F.concat_ws(
