@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from .operators import curves as C
+from .operators import kernels as K
 from .operators import midrib as M
 from .operators import modelling as P
 from .operators import raster as R
@@ -66,5 +70,61 @@ CHAINS: dict[str, Chain] = {
     "profile_points": _center.then(R.sampling_lines(), *R.profiles()),
 }
 
-QUERIES = {name: chain.run for name, chain in CHAINS.items()}
+
+def separate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.separate(_halves.run(spark, sf_dir).select("line", "side", "i", "x", "value"), ["line", "side"])
+
+
+def peak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.peak_features(separate_components(spark, sf_dir), ["line", "side"])
+
+
+def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.clean_masks(A.pixel_chain.run(spark, sf_dir))
+
+
+def clahe_green(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.equalised_green(A.pixel_chain.run(spark, sf_dir))
+
+
+def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.leave_one_block_out(_plots.run(spark, sf_dir), list(P.FEATURES))
+
+
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and how often each feature was chosen go by model."""
+    found = classify_blocks(spark, sf_dir)
+    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("double")
+    recall = found.groupBy("model", "true_treatment").agg(F.avg(right).alias("recall"), F.sum(right).alias("hit"), F.count("*").alias("n"))
+    return recall.groupBy("model").agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"))
+
+
+def selection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of folds in which each feature was selected."""
+    folds = classify_blocks(spark, sf_dir).select("block", F.explode(F.split("features", ",")).alias("feature")).distinct()
+    n = folds.select("block").distinct().agg(F.count("*").alias("n_folds"))
+    return folds.groupBy("feature").agg(F.count("*").alias("folds")).crossJoin(n).select("feature", "folds", (F.col("folds") / F.col("n_folds")).alias("share"))
+
+
+def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each pair of line positions: plot medians of its lines, leave-one-block-out models, rank within each model."""
+    from pyspark.sql import Window as W
+
+    lines = _features.run(spark, sf_dir)
+    ids = lines.select("sample_id").distinct()
+    pairs = ids.select(F.col("sample_id").alias("s1")).join(ids.select(F.col("sample_id").alias("s2")), F.col("s1") < F.col("s2"))
+    pairs = pairs.select((F.col("s1") * 100 + F.col("s2")).alias("pair"), F.explode(F.array("s1", "s2")).alias("sample_id"))
+    leaf = lines.join(pairs, "sample_id").groupBy("pair", "plot", "leaf").agg(*[F.median(f).alias(f) for f in P.FEATURES])
+    plots = leaf.groupBy("pair", "plot").agg(*[F.median(f).alias(f) for f in P.FEATURES])
+    plots = plots.join(_plots.run(spark, sf_dir).select("plot", "block", "treatment"), "plot")
+    found = K.leave_one_block_out(plots, list(P.FEATURES), ("pair",))
+    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("double")
+    recall = found.groupBy("pair", "model", "true_treatment").agg(F.avg(right).alias("recall"), F.sum(right).alias("hit"), F.count("*").alias("n"))
+    score = recall.groupBy("pair", "model").agg(F.avg("recall").alias("balanced_accuracy"), (F.sum("hit") / F.sum("n")).alias("accuracy"))
+    rank = F.row_number().over(W.partitionBy("model").orderBy(F.round("balanced_accuracy", 9).desc(), F.round("accuracy", 9).desc(), "pair"))
+    return score.withColumn("position", rank)
+
+
+KERNELS = {f.__name__: f for f in (separate_components, peak_features, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
+QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
 ORACLES = {name: chain.oracle() for name, chain in CHAINS.items()}
