@@ -25,9 +25,9 @@ from .common import materialise, read_table, release
 
 #: Labelled rows that the model is fitted on at most; terms of the lexicon at most.
 SAMPLE_ROWS, MAX_TERMS = 40_000, 2_000
-#: Least share of toxic rows that hold a term, least documents, least log odds ratio, and least G statistic of the 2x2
-#: table (about one chance finding in two million units).
-MIN_SHARE, MIN_DOCS, MIN_LOG_ODDS, MIN_G = 0.005, 3, 3.0, 25.0
+#: Least share of toxic rows that hold a term, least documents, least log odds ratio (two deviations below the estimate),
+#: and least G statistic of the 2x2 table (about one chance finding in two million units).
+MIN_SHARE, MIN_DOCS, MIN_LOG_ODDS, MIN_G = 0.005, 3, 2.3, 25.0
 #: Letters of stems; words before and after a hit that are its context; letters of a term that may be misspelled.
 STEMS, CONTEXT, FUZZY_LETTERS = (4, 5, 6), 8, 5
 MEMO_WORDS = 300_000
@@ -159,8 +159,9 @@ def g_statistic(a: int, b: int, n_a: int, n_b: int) -> float:
 
 def _lexicon(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
     odds = {u: math.log((c + 0.5) / (n_pos + 1)) - math.log((neg.get(u, 0) + 0.5) / (n_neg + 1)) for u, c in pos.items()}
+    doubt = {u: 2 * math.sqrt(1 / (c + 0.5) + 1 / (neg.get(u, 0) + 0.5)) for u, c in pos.items()}
     kept: dict[str, float] = {}
-    for u in sorted((u for u, x in odds.items() if x >= MIN_LOG_ODDS and g_statistic(pos[u], neg.get(u, 0), n_pos, n_neg) >= MIN_G), key=lambda u: (len(u), u)):
+    for u in sorted((u for u, x in odds.items() if x - doubt[u] >= MIN_LOG_ODDS and g_statistic(pos[u], neg.get(u, 0), n_pos, n_neg) >= MIN_G), key=lambda u: (len(u), u)):
         letters = u.removesuffix("*")
         # A stem that tells as much stands for its words; a word known to be toxic isn't widened to its stem.
         if any(kept.get(letters[:k] + "*", -9.0) >= odds[u] - 1.0 for k in STEMS if k < len(letters)):
