@@ -11,7 +11,7 @@ later than every register of the document.
 
 Documents with the same words are collapsed first.  Bands of registers give buckets; in each bucket every member is
 compared with one member, the hub, drawn by hash, so a bucket of n texts makes n - 1 pairs, and a text of a large group
-meets different hubs in different buckets.  Links give classes.  Where a bucket then still holds several classes, the
+meets different hubs in different buckets.  The same is done in finer buckets of several bands.  Links give classes.  Where a bucket then still holds several classes, the
 members outside its largest class are compared with the members of other classes, as far as sketches of two bits a
 register allow a similarity of 0.8 (one that has it fails with probability 2e-9).  Every candidate is verified on whole
 texts; classes are connected components of links.
@@ -37,6 +37,8 @@ WORD = re.compile(r"\w+")
 MEMO_WORDS = 500_000
 #: Bits of a register in a sketch, and differing bits at most: at 0.8 their mean is 25.6 of 256 and their deviation 5.8.
 SKETCH_BITS, SKETCH_DIFFERENCE = 2, 60
+#: Members of a bucket from which on their pairs are also filtered by the rarest shingles (exactly; it drops no link).
+LARGE_BUCKET = 64
 
 _U = np.uint64
 _GOLDEN, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)  # splitmix64
@@ -184,6 +186,37 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
+def rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """(rep, prefix) of texts whose shingles all occur once: the prefix filter of set similarity joins.
+
+    In any one order of shingles, two sets of Jaccard similarity t or more share an element among the first
+    n - ceil(t n) + 1 of each.  The order is by frequency, rarest first.  Texts with a repeated shingle have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                doc, h, count, _, _ = shingles(batch.column("text").to_pylist(), ids)
+                n, plain = np.bincount(doc, minlength=batch.num_rows), np.ones(batch.num_rows, bool)
+                plain[doc[count > 1]] = False
+                use = plain[doc]
+                rep = batch.column("rep").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[doc[use]]), pa.array(h[use].view(np.int64)), pa.array(n[doc[use]])], ["rep", "h", "n"])
+
+    rows = materialise(texts.mapInArrow(run, "rep long, h long, n long"), "near-shingles")
+    df = materialise(rows.groupBy("h").agg(F.count("*").alias("df")).select(F.col("h").alias("dh"), "df"), "near-frequencies")
+    each = rows.join(df.hint("merge"), rows["h"] == df["dh"]).groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    return each.select(F.col("rep").alias("pr"), F.transform(F.slice("hs", F.lit(1), size.cast("int")), lambda x: x["h"]).alias("prefix"))
+
+
+def _joined_keys(n: int, bands: int) -> F.Column:
+    """Keys of n neighbouring bands together."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - n), F.lit(n)), lambda i: F.xxhash64(F.lit(n), i, *[F.get("keys", i + j) for j in range(n)]))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near duplicates: one row a document with doc_id, class_id and digest (of its words).
 
@@ -204,8 +237,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     hubs = materialise(hubs.where("n > 1").select(F.col("key").alias("k"), F.col("least.rep").alias("hub")), "near-hubs")
     members = materialise(band.join(hubs, band["key"] == hubs["k"]).select("key", "rep", "hub"), "near-members")
 
+    # Finer buckets of two and of four bands together: in a large group of loosely similar texts a hub drawn from one of
+    # them is mostly a true neighbour, so that few texts of the group are left to be compared in other ways.
+    shared = own.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    fine = shared.select("rep", F.explode(F.concat(*[_joined_keys(n, bands) for n in (2, 4) if n <= bands], F.array().cast("array<bigint>"))).alias("key"))
+    fine_hubs = fine.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("n"))
+    fine_hubs = materialise(fine_hubs.where("n > 1").select(F.col("key").alias("k"), F.col("least.rep").alias("hub")), "near-fine-hubs")
+    near = fine.join(fine_hubs, fine["key"] == fine_hubs["k"]).select("rep", "hub")
+
     # Texts only of documents that share a bucket.
-    pairs = members.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    pairs = members.select("rep", "hub").unionByName(near).where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
     sims = materialise(verify(pairs, texts).groupBy("a", "b").agg(F.max("sim").alias("sim")), "near-sims")
@@ -215,15 +256,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # Buckets that still hold several classes: their members outside the largest one meet the others.
     placed = members.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     per = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("mk"), F.col("top.c").alias("main"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1").select(F.col("key").alias("mk"), F.col("top.c").alias("main"), "size")
     rows_ = placed.join(mixed, F.col("key") == F.col("mk")).join(own.select(F.col("rep").alias("sr"), "sketch"), F.col("rep") == F.col("sr"))
-    mixed = materialise(rows_.select("key", "rep", "c", "main", *[F.col("sketch")[i].alias(f"s{i}") for i in range(-(-bands * rows * SKETCH_BITS // 64))]), "near-mixed")
+    mixed = materialise(rows_.select("key", "rep", "c", "main", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(-(-bands * rows * SKETCH_BITS // 64))]), "near-mixed")
     if not is_empty(mixed):
-        words = [c for c in mixed.columns if c.startswith("s")]
-        outer = mixed.where("c != main").select(F.col("key").alias("ok"), F.col("rep").alias("a"), F.col("c").alias("oc"), *[F.col(c).alias("o" + c) for c in words])
+        words = [c for c in mixed.columns if re.fullmatch(r"s\d+", c)]
+        large = mixed.where(F.col("size") >= LARGE_BUCKET).select("rep").distinct()
+        prefixes = materialise(rarest(texts.join(large.hint("merge"), "rep", "left_semi"), threshold), "near-prefixes")
+        mixed = mixed.join(prefixes, mixed["rep"] == prefixes["pr"], "left").drop("pr")
+        outer = mixed.where("c != main").select(F.col("key").alias("ok"), F.col("rep").alias("a"), F.col("c").alias("oc"), F.col("prefix").alias("op"), *[F.col(c).alias("o" + c) for c in words])
         differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in words), F.lit(0))
         allowed = SKETCH_DIFFERENCE if (bands, rows, threshold) == (BANDS, ROWS, THRESHOLD) else 64 * len(words)
-        more = mixed.join(outer, (mixed["key"] == outer["ok"]) & (mixed["c"] != outer["oc"]) & ((mixed["c"] == mixed["main"]) | (mixed["rep"] < outer["a"])) & (differing <= allowed))
+        sharing = F.coalesce(F.arrays_overlap("prefix", "op"), F.lit(True))
+        more = mixed.join(outer, (mixed["key"] == outer["ok"]) & (mixed["c"] != outer["oc"]) & ((mixed["c"] == mixed["main"]) | (mixed["rep"] < outer["a"])) & (differing <= allowed) & sharing)
         more = more.select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
         more = materialise(more.join(sims, ["a", "b"], "left_anti"), "near-more")
         found = verify(more, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -231,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         if not is_empty(found):
             known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
             classes = materialise(connected_components(found.unionByName(known)), "near-classes")
-    release(members, hubs, mixed)
+    release(members, hubs, fine_hubs, mixed)
 
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_id"))
     named = materialise(named, "near-named")

@@ -53,7 +53,6 @@ class Lexicon:
         self.root: dict = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
-        self.stems: dict[int, set[str]] = {}
         self.memo: dict[str, tuple[float, int] | None] = {}
         for unit, weight in terms.items():
             stem, letters = unit.endswith("*"), unit.removesuffix("*")
@@ -62,10 +61,13 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node["*" if stem else "$"] = (weight, letters)
             # Within one edit a word keeps the first or the last half of the term: a cheap test before the automaton.
-            half = len(letters) // 2
-            self.heads.setdefault(len(letters) if stem else half, set()).add(letters if stem else letters[:half])
-            if not stem:
+            exact = stem or len(letters) < FUZZY_LETTERS
+            half = len(letters) if exact else len(letters) // 2
+            self.heads.setdefault(half, set()).add(letters[:half])
+            if not exact:
                 self.tails.setdefault(len(letters) - half, set()).add(letters[half:])
+        self.first = {h[:2] for s in self.heads.values() for h in s}
+        self.last = {t[-2:] for s in self.tails.values() for t in s}
 
     def find(self, word: str) -> tuple[float, int] | None:
         if word in self.memo:
@@ -111,7 +113,8 @@ class Lexicon:
         """Logarithms of 1 plus: exact hits outside quotation, misspelled ones, quoted ones, exact hits per 100 words."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        if not any(self.find(w) for w in set(words)):
+        first, last = self.first, self.last
+        if not any([self.find(w) for w in set(words) if w[:2] in first or w[-2:] in last]):
             return (0.0, 0.0, 0.0, 0.0)
         spans = [m.span() for m in WORD.finditer(low)]
         sums = [0.0, 0.0, 0.0]
