@@ -55,7 +55,9 @@ def test_similarity_equals_its_definition():
     assert minhash.similarity({}, {}) == 0
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("large", [minhash.LARGE_BUCKET, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
     rnd = random.Random(4)
     word = lambda: f"w{rnd.randrange(400)}"
     base = [[word() for _ in range(80)] for _ in range(8)]
@@ -64,6 +66,7 @@ def test_near_duplicates_equal_brute_force(spark):
         for _ in range(12):
             b = [word() if rnd.random() < 0.02 else x for x in b]
             texts.append(" ".join(b))
+    texts += [" ".join(word() if rnd.random() < 0.06 else x for x in base[5]) for _ in range(40)]  # a loose family
     texts += [texts[0]] * 30 + [texts[1].upper(), "a b", "a b", "a c", None, "", "", "!!!", "!!!", "???", "one"]
     out = minhash.near_duplicates(docs(spark, [*texts, "no id"], [*range(len(texts)), None])).toPandas().set_index("doc_id")["class_id"].to_dict()
     doc, h, count, digests, _ = minhash.shingles(texts, minhash.WordIds())
