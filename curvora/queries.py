@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import curves as C
+from .operators import extras as X
 from .operators import kernels as K
 from .operators import midrib as M
 from .operators import modelling as P
@@ -67,6 +68,15 @@ CHAINS: dict[str, Chain] = {
     "leaf_boundaries": _bounds,
     "centerline": _center,
     "sampling_lines": _center.then(R.sampling_lines()),
+    "segment_dispatch": A.pixel_chain.then(*R.hsv(), *X.dispatch()),
+    "crop_white": _boxes.then(X.crop()),
+    "tangents": _bounds.then(X.tangents()),
+    "fill_gaps": A.curve_chain.then(*X.fill_gaps()),
+    "inspect_candidates": _ridge.then(X.inspect()),
+    "fold_roles": _predictions.then(X.fold_roles()),
+    "class_summary": _plots.then(X.class_summary()),
+    "representation_summary": A.pixel_chain.then(R.representations(), X.representation_summary()),
+    "representation_pivot": A.pixel_chain.then(R.representations(), X.representation_summary(), X.representation_pivot()),
     "profile_points": _center.then(R.sampling_lines(), *R.profiles()),
 }
 
