@@ -27,7 +27,7 @@ from .common import materialise, read_table, release
 SAMPLE_ROWS, MAX_TERMS = 40_000, 2_000
 #: Least share of toxic rows that hold a term, least documents, least log odds ratio (two deviations below the estimate),
 #: and least G statistic of the 2x2 table (about one chance finding in two million units).
-MIN_SHARE, MIN_DOCS, MIN_LOG_ODDS, MIN_G = 0.005, 3, 2.3, 25.0
+MIN_SHARE, MIN_DOCS, MIN_LOG_ODDS, MIN_G = 0.02, 3, 2.3, 25.0
 #: Letters of stems; words before and after a hit that are its context; letters of a term that may be misspelled.
 STEMS, CONTEXT, FUZZY_LETTERS = (4, 5, 6), 8, 5
 MEMO_WORDS = 300_000
