@@ -36,10 +36,10 @@ def test_depth_scaling():
 
 def test_profile_folder_and_name_parts(spark, tmp_path):
     rows = spark.createDataFrame([(0, 0, 0.0, 1.0, 2.0, 3.0, 1.0, 4.0, 5, 5)], "sample_id int, position_index int, position_fraction double, x double, y double, green_mean double, green_min double, green_max double, n_pixels_averaged int, profile_width_px int").toPandas()
-    rows.to_csv(tmp_path / "LeafDoc_109_tall_1_Leaf2_1780576946303_green_profiles.csv", index=False)
+    rows.to_csv(tmp_path / "Scan_12_short_3_Leaf2_1700000000000_green_profiles.csv", index=False)
     rows.to_csv(tmp_path / "other_green_profiles.csv", index=False)
     out = images.read_profiles(spark, str(tmp_path)).collect()
-    assert [(r.prefix, r.plot_number, r.geno, r.plant_number, r.leaf, r.timestamp) for r in out] == [("LeafDoc", 109, "tall", 1, "Leaf2", "1780576946303")]
+    assert [(r.prefix, r.plot_number, r.geno, r.plant_number, r.leaf, r.timestamp) for r in out] == [("Scan", 12, "short", 3, "Leaf2", "1700000000000")]
     images.write_table(images.read_profiles(spark, str(tmp_path)), str(tmp_path / "out"), ["leaf", "green_mean"])
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["leaf", "green_mean"]
     with pytest.raises(ValueError, match="nope"):
