@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import is_empty, materialise, read_table, release
@@ -205,9 +206,9 @@ def rarest(texts: DataFrame, threshold: float) -> DataFrame:
                 rep = batch.column("rep").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[doc[use]]), pa.array(h[use].view(np.int64)), pa.array(n[doc[use]])], ["rep", "h", "n"])
 
-    rows = materialise(texts.mapInArrow(run, "rep long, h long, n long"), "near-shingles")
-    df = materialise(rows.groupBy("h").agg(F.count("*").alias("df")).select(F.col("h").alias("dh"), "df"), "near-frequencies")
-    each = rows.join(df.hint("merge"), rows["h"] == df["dh"]).groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    # A window, not a join, for the frequencies: rows of three numbers, which spill where a shingle is very common.
+    rows = texts.mapInArrow(run, "rep long, h long, n long").withColumn("df", F.count("*").over(W.partitionBy("h")))
+    each = rows.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
     size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     return each.select(F.col("rep").alias("pr"), F.transform(F.slice("hs", F.lit(1), size.cast("int")), lambda x: x["h"]).alias("prefix"))
 
