@@ -55,12 +55,16 @@ def _uuid(*parts: F.Column) -> F.Column:
     return F.concat(F.lit("urn:uuid:"), *[x for a, n, sep in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, "")) for x in (F.substring(h, a, n), F.lit(sep))])
 
 
-def records(pages: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One record text a page, without the record end; fresh headers, no payload in revisits."""
+def records(pages: DataFrame, decisions: DataFrame, files: int) -> DataFrame:
+    """One record text a page, without the record end; fresh headers, no payload in revisits.
+
+    Payloads are shuffled once: they are dealt by page_id to as many partitions as there will be files, and joined there.
+    """
     d = decisions.select(F.col("page_id").alias("d_id"), "payload_bytes", F.col("payload_digest").alias("d_digest"), "record_type", "refers_to").distinct()
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    rows = rows.join(d.hint("merge"), (rows["page_id"] == d["d_id"]) & (rows["payload_digest"] == d["d_digest"]))
+    # startswith and not ==, which would become a join key and undo the partitioning (digests are of one length)
+    rows = rows.repartition(files, "page_id").join(d.hint("merge"), (rows["page_id"] == d["d_id"]) & rows["payload_digest"].startswith(d["d_digest"]))
     revisit = F.col("record_type") == "revisit"
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
     header = F.concat_ws(
@@ -83,7 +87,7 @@ def write_archives(pages: DataFrame, decisions: DataFrame, path: str, archive_by
     """Archives of about ``archive_bytes`` of payload each; pages are dealt by id, so that sizes are even."""
     total = decisions.agg(F.coalesce(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)) + 600 * F.count("*"), F.lit(0))).first()[0]
     files = max(1, -(-int(total) // archive_bytes))
-    records(pages, decisions).repartition(files, "page_id").select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    records(pages, decisions, files).select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
     return path
 
 
