@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table, release
+from .minhash import BANDS, ROWS, WordIds, shingles, signatures
 
 #: Labelled rows that the model is fitted on at most; terms of the lexicon at most.
 SAMPLE_ROWS, MAX_TERMS = 40_000, 2_000
-#: Least share of toxic rows that hold a term, least documents, least log odds ratio (two deviations below the estimate),
-#: and least G statistic of the 2x2 table (about one chance finding in two million units).
-MIN_SHARE, MIN_DOCS, MIN_LOG_ODDS, MIN_G = 0.02, 3, 2.3, 25.0
+#: Least documents (of different near-duplicate classes) that hold a term, least log odds ratio, and least G statistic of
+#: the 2x2 table (about one chance finding in two million units).
+MIN_DOCS, MIN_LOG_ODDS, MIN_G = 3, 3.0, 25.0
+#: Share of equal registers from which on two texts of the sample count as copies (0.8, less one and a half deviations).
+COPY_AGREEMENT = 0.75
 #: Letters of stems; words before and after a hit that are its context; letters of a term that may be misspelled.
 STEMS, CONTEXT, FUZZY_LETTERS = (4, 5, 6), 8, 5
 MEMO_WORDS = 300_000
@@ -46,13 +49,17 @@ class ToxicModel:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -3.0)
 
 
+def _shorter(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 class Lexicon:
     """Trie of the terms, and a memo from a word to its hit: (weight, edits) or None."""
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
+        self.stems: dict[int, set[str]] = {}
+        self.near: set[str] = set()
         self.memo: dict[str, tuple[float, int] | None] = {}
         for unit, weight in terms.items():
             stem, letters = unit.endswith("*"), unit.removesuffix("*")
@@ -60,20 +67,17 @@ class Lexicon:
             for c in letters:
                 node = node.setdefault(c, {})
             node["*" if stem else "$"] = (weight, letters)
-            # Within one edit a word keeps the first or the last half of the term: a cheap test before the automaton.
-            exact = stem or len(letters) < FUZZY_LETTERS
-            half = len(letters) if exact else len(letters) // 2
-            self.heads.setdefault(half, set()).add(letters[:half])
-            if not exact:
-                self.tails.setdefault(len(letters) - half, set()).add(letters[half:])
-        self.first = {h[:2] for s in self.heads.values() for h in s}
-        self.last = {t[-2:] for s in self.tails.values() for t in s}
+            # A cheap and exact test before the automaton: two words within one edit are equal after a letter of either, or of both, is left out.
+            if stem:
+                self.stems.setdefault(len(letters), set()).add(letters)
+            else:
+                self.near |= {letters} if len(letters) < FUZZY_LETTERS else {letters, *_shorter(letters)}
 
     def find(self, word: str) -> tuple[float, int] | None:
         if word in self.memo:
             return self.memo[word]
         hit = None
-        if any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items()):
+        if word in self.near or any(word[:k] in s for k, s in self.stems.items()) or not self.near.isdisjoint(_shorter(word)):
             hit = self.walk(word)
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
@@ -113,8 +117,7 @@ class Lexicon:
         """Logarithms of 1 plus: exact hits outside quotation, misspelled ones, quoted ones, exact hits per 100 words."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        first, last = self.first, self.last
-        if not any([self.find(w) for w in set(words) if w[:2] in first or w[-2:] in last]):
+        if not any([self.find(w) for w in set(words)]):
             return (0.0, 0.0, 0.0, 0.0)
         spans = [m.span() for m in WORD.finditer(low)]
         sums = [0.0, 0.0, 0.0]
@@ -160,16 +163,70 @@ def g_statistic(a: int, b: int, n_a: int, n_b: int) -> float:
     return 2 * (term(a, n_a) + term(b, n_b)) if 0 < share < 1 else 0.0
 
 
+def _log_odds(a: int, b: int, n_a: int, n_b: int) -> float:
+    return math.log((a + 0.5) / (n_a + 1)) - math.log((b + 0.5) / (n_b + 1))
+
+
+def least_support(n_pos: int, n_neg: int) -> int:
+    """Fewest toxic texts with which a unit that no other text holds becomes a term; with fewer, none can."""
+    fits = (c for c in range(MIN_DOCS, n_pos + 1) if _log_odds(c, 0, n_pos, n_neg) >= MIN_LOG_ODDS and g_statistic(c, 0, n_pos, n_neg) >= MIN_G)
+    return next(fits, n_pos + 1)
+
+
+def _originals(texts: DataFrame) -> pd.DataFrame:
+    """(key, l_toxic): one text of each near-duplicate class of either label; key is the hash of the text.
+
+    The signatures of the sample (a few kilobytes a row) come to the driver.  In every band's buckets each member is
+    compared with the one of least key; links give classes.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = WordIds()
+        for whole in frames:
+            for at in range(0, len(whole), 256):
+                frame = whole.iloc[at : at + 256]
+                doc, h, count, _, _ = shingles(frame["text"].tolist(), ids)
+                sig = signatures(len(frame), doc, h, count, BANDS * ROWS).astype("<u4")
+                yield frame[["key", "l_toxic"]].assign(sig=[x.tobytes() for x in sig])
+
+    own = texts.select("text", "l_toxic").distinct().select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text", "l_toxic")
+    rows = own.mapInPandas(run, "key long, l_toxic int, sig binary").toPandas().sort_values(["l_toxic", "key"], ignore_index=True)
+    label = rows["l_toxic"].to_numpy(np.uint32)[:, None]
+    sig = np.frombuffer(b"".join(rows.pop("sig")), "<u4").reshape(len(rows), BANDS * ROWS)
+    links = []
+    for band in range(BANDS):
+        _, bucket = np.unique(np.hstack([label, sig[:, band * ROWS : (band + 1) * ROWS]]), axis=0, return_inverse=True)
+        order = np.argsort(bucket.ravel(), kind="stable")
+        bucket = bucket.ravel()[order]
+        hub = order[np.searchsorted(bucket, bucket)]
+        order, hub = order[order != hub], hub[order != hub]
+        links.append(np.column_stack([hub, order])[(sig[order] == sig[hub]).mean(axis=1) >= COPY_AGREEMENT])
+    parent = list(range(len(rows)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in np.unique(np.concatenate(links), axis=0).tolist():
+        a, b = sorted((root(x), root(y)))
+        parent[b] = a
+    return rows[np.array([root(i) == i for i in range(len(rows))], bool)]
+
+
 def _lexicon(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
-    odds = {u: math.log((c + 0.5) / (n_pos + 1)) - math.log((neg.get(u, 0) + 0.5) / (n_neg + 1)) for u, c in pos.items()}
-    doubt = {u: 2 * math.sqrt(1 / (c + 0.5) + 1 / (neg.get(u, 0) + 0.5)) for u, c in pos.items()}
+    odds = {u: _log_odds(c, neg.get(u, 0), n_pos, n_neg) for u, c in pos.items()}
+    most: dict[str, int] = {}  # of a stem's words
+    for w, c in pos.items():
+        for k in STEMS if not w.endswith("*") else ():
+            most[w[:k]] = max(c, most.get(w[:k], 0))
     kept: dict[str, float] = {}
-    for u in sorted((u for u, x in odds.items() if x - doubt[u] >= MIN_LOG_ODDS and g_statistic(pos[u], neg.get(u, 0), n_pos, n_neg) >= MIN_G), key=lambda u: (len(u), u)):
+    for u in sorted((u for u, x in odds.items() if x >= MIN_LOG_ODDS and g_statistic(pos[u], neg.get(u, 0), n_pos, n_neg) >= MIN_G), key=lambda u: (len(u), u)):
         letters = u.removesuffix("*")
         # A stem that tells as much stands for its words; a word known to be toxic isn't widened to its stem.
         if any(kept.get(letters[:k] + "*", -9.0) >= odds[u] - 1.0 for k in STEMS if k < len(letters)):
             continue
-        if u.endswith("*") and pos[u] <= 1.2 * max((pos[w] for w in pos if not w.endswith("*") and w.startswith(letters)), default=0):
+        if u.endswith("*") and pos[u] <= 1.2 * most.get(letters, 0):
             continue
         kept[u] = round(odds[u], 6)
     return dict(sorted(kept.items(), key=lambda x: (-pos[x[0]], x[0]))[:MAX_TERMS])
@@ -199,13 +256,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     # At most sample_rows pairs of numbers (under 1 MB): that is the bound of this broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("t_id") == F.col("l_id"))
     texts = materialise(texts.select("text", "l_toxic"), "toxic-sample")
-    n = {r[0]: r[1] for r in texts.groupBy("l_toxic").agg(F.countDistinct("text")).collect()}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
+    first = _originals(texts)
+    n_pos, n_neg = int((first["l_toxic"] == 1).sum()), int((first["l_toxic"] == 0).sum())
     model = ToxicModel()
     if n_pos and n_neg:
-        least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_pos))
-        pos = {r[0]: r[1] for r in _count(texts.where("l_toxic = 1"), None).where(F.col("n") >= least).toLocalIterator()}
-        neg = {r[0]: r[1] for r in _count(texts.where("l_toxic = 0"), frozenset(pos)).toLocalIterator()} if pos else {}
+        # Again at most sample_rows pairs of numbers.
+        own = F.broadcast(docs.sparkSession.createDataFrame(first.rename(columns={"key": "o_key", "l_toxic": "o_toxic"}), "o_key long, o_toxic int"))
+        counted = texts.join(own, (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("o_key")) & (F.col("l_toxic") == F.col("o_toxic")), "left_semi")
+        pos = {r[0]: r[1] for r in _count(counted.where("l_toxic = 1"), None).where(F.col("n") >= least_support(n_pos, n_neg)).toLocalIterator()}
+        neg = {r[0]: r[1] for r in _count(counted.where("l_toxic = 0"), frozenset(pos)).toLocalIterator()} if pos else {}
         terms = _lexicon(pos, neg, n_pos, n_neg)
         found = texts.select("l_toxic", _features(terms)("text").alias("x")).toPandas()
         model = ToxicModel(terms, _logistic(np.array(found["x"].tolist(), float).reshape(len(found), 4), found["l_toxic"].to_numpy(float)))

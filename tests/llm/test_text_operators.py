@@ -158,6 +158,20 @@ def test_toxicity_learns_from_training_rows_and_spares_clean_ones(spark):
         assert (r["rank"] >= 0.5) == bool(r.text and "grubble" in r.text)
 
 
+def test_rare_terms_are_learnt_and_terms_of_copies_are_not(spark):
+    rnd = random.Random(10)
+    base = lambda n=30: [f"c{rnd.choice('abcdefghij')}{rnd.choice('klmnopqrst')}x" for _ in range(n)]
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    toxic = [" ".join(base() + ["idiot"]) for _ in range(590)] + [" ".join(base() + ["grubble"]) for _ in range(9)]  # 1.5 % of the toxic rows
+    copied = base(60) + ["zzcopied"]
+    toxic += [" ".join(copied + [f"own{letters(i)}"]) for i in range(30)]
+    texts = toxic + [" ".join(base()) for _ in range(3000)]
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5 != 0][: len(texts)]
+    labels = spark.createDataFrame([(x, 1, int(i < len(toxic))) for i, x in enumerate(ids)], "doc_id long, quality int, toxic int")
+    terms = toxicity.fit_toxicity(docs(spark, texts, ids), labels).terms
+    assert {"idiot", "grubble"} <= set(terms) and not {"zzcopied", "zzco*", "zzcop*", "zzcopi*"} & set(terms)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     model = toxicity.fit_toxicity(docs(spark, ["a"]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score_toxicity(docs(spark, ["a", None]), model).where("toxicity < 0.5").count() == 2
