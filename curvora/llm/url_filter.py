@@ -35,8 +35,9 @@ INLINE_RULES = 200
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"""(?is)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)["']"""
-REFRESH = r"""(?is)<meta[^>]+http-equiv=["']refresh["'][^>]+url=([^"'>\s]+)"""
+TAG = r"""(?is)<(?:link|meta)(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+ATTRIBUTES = r"""(?is)[^\s/"'>=<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&#0*39;", "'"), ("&#[xX]0*27;", "'"), ("&#0*47;", "/"), ("&#[xX]0*2[fF];", "/"), ("&#0*61;", "="), ("&#[xX]0*3[dD];", "="), ("&lt;", "<"), ("&gt;", ">"), ("&(?:amp|#0*38|#[xX]0*26);", "&"))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -74,16 +75,52 @@ def canonical_form(url: F.Column) -> F.Column:
 
 
 def absolute(link: F.Column, base: F.Column) -> F.Column:
-    """A link of a page as a URL; null for one that is neither absolute nor starts with a slash."""
+    """A link of a page as a URL, resolved against the page's own (RFC 3986, 5.2); null for an empty link."""
     site = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, "(?s)^(.*?:)//", 1)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(site, link))
+    path, bare = F.regexp_extract(base, URL, 2), F.regexp_replace(base, "(?s)#.*$", "")
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "(?s)[^/]*$", ""))
+    own = F.regexp_extract(link, "(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(link, "(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+
+    def step(done: F.Column, part: F.Column) -> F.Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.split(F.substring(whole, 2, 1_000_000), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(parts, F.lit(""))).otherwise(parts)
+    clean = F.concat(F.lit("/"), F.array_join(F.reduce(parts, F.array().cast("array<string>"), step), "/"))
+    resolved = F.concat(site, clean, tail)
+    return (
+        F.when(link == "", None).when(link.rlike("(?i)^[a-z][a-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None).when(link.startswith("?"), F.concat(site, path, link)).when(link.startswith("#"), F.concat(bare, link)).otherwise(resolved)
+    )
+
+
+def tag_links(html: F.Column) -> F.Column:
+    """Targets of all canonical links and refreshes of a page, as they are written, entities decoded."""
+
+    def value(tag: F.Column, name: str) -> F.Column:
+        own = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(0)), lambda x: x.rlike(rf"(?is)^{name}\s*="))
+        text = F.regexp_replace(F.regexp_replace(F.get(own, F.lit(0)), r"(?s)^[^=]*=\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+        for entity, sign in ENTITIES:
+            text = F.regexp_replace(text, entity, sign)
+        return F.trim(F.regexp_replace(text, r"[\t\r\n]", " "))
+
+    def target(tag: F.Column) -> F.Column:
+        url = F.regexp_extract(value(tag, "content"), r"""(?is)^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']*?)["']?\s*$""", 1)
+        canonical = tag.rlike("(?i)^<link") & value(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+        return F.when(canonical, value(tag, "href")).when(tag.rlike("(?i)^<meta") & (F.lower(value(tag, "http-equiv")) == "refresh"), url)
+
+    return F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), target))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) URLs: each page's canonical link and refresh target, and its own canonical form."""
+    """(src, dst) URLs: each page's canonical links and refresh targets, and its own canonical form."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("url").cast("string")
-    targets = F.array(canonical_form(url), absolute(F.regexp_extract(html, CANONICAL, 1), url), absolute(F.regexp_extract(html, REFRESH, 1), url))
+    links = F.transform(tag_links(html), lambda link: absolute(link, url))
+    targets = F.concat(F.array(canonical_form(url)), links)
     edges = pages.where(url.contains("://")).select(url.alias("src"), F.explode(F.array_compact(targets)).alias("dst"))
     return edges.where("dst != '' and src != dst")
 

@@ -140,6 +140,23 @@ def test_blocks_spread_to_aliases_unless_allowed(spark):
     assert url_filter.judge(pages.where("false"), url_filter.RULES).count() == 0
 
 
+LINKS = [
+    ("<link href='https://x.net/fr/9' rel='canonical'>", "https://x.net/fr/9"), ("<LINK rel=canonical href=https://x.net/fr/9>", "https://x.net/fr/9"), ('<link data-a="x > y" rel="nofollow canonical" href="/a?b=1&amp;c=2"/>', "https://s.org/a?b=1&c=2"),
+    ('<meta content="0; url=next.html" http-equiv="refresh">', "https://s.org/d/e/next.html"), ('<meta http-equiv=refresh content="0;URL=\'../x\'">', "https://s.org/d/x"), ('<link rel="canonical" href="?p=2">', "https://s.org/d/e/f?p=2"),
+    ('<link rel="canonical" href="./../../../y/.">', "https://s.org/y/"), ('<link rel="canonical" href="//t.org/z">', "https://t.org/z"), ('<link rel="stylesheet" href="/s.css"><meta name="refresh" content="0; url=/n">', None), ('<link rel="canonical" href="">', None),
+    ('<link rel="canonical" href="mailto:a@b.c">', None), ('<link title="rel=canonical" href="/no">', None),
+]
+
+
+def test_links_are_found_in_every_form_of_tag(spark):
+    rows = [(i, f"https://s.org/d/e/f?i={i}", html) for i, (html, _) in enumerate(LINKS)] + [(99, "https://s.org/d/e/f?i=99", LINKS[0][0] + LINKS[3][0])]
+    found: dict[str, set[str]] = {}
+    for r in url_filter.alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        found.setdefault(r.src, set()).add(r.dst)
+    assert [found.get(rows[i][1], set()) for i in range(len(LINKS))] == [{x} if x else set() for _, x in LINKS]
+    assert found[rows[-1][1]] == {LINKS[0][1], LINKS[3][1]}
+
+
 def test_many_rules_are_joined(spark):
     rules = url_filter.RULES + tuple(url_filter.Rule("block", f"h{i}.test", "/x/") for i in range(300))
     pages = spark.createDataFrame([(1, "http://a.h7.test/x/1", None), (2, "http://h7.test/y", None), (3, "http://a.example.com/en/", None)], "page_id long, url string, html string")
