@@ -57,5 +57,28 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for internal columns that no column of ``taken`` has, whatever its case."""
+    own = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
+def number_rows(docs: DataFrame, row: str = "__row", nulls_last: bool = False) -> DataFrame:
+    """Adds ``row``, a unique long in order of doc_id: the doc_id where it is a key; else the rows are sorted by doc_id
+    and text, written and numbered."""
+    n, distinct, nulls = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not nulls and n == distinct:
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return materialise(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))

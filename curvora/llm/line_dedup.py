@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, read_table, release
+from .common import fresh, is_empty, materialise, number_rows, read_table, release
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -166,16 +166,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.withColumn("__cut", cut(F.col("text").cast("string"), "__spans")).select(*kept_columns, "__cut.kept_text", "__cut.n_lines", "__cut.n_deleted")
 
 
-def number_rows(docs: DataFrame) -> DataFrame:
-    """Adds __row: the doc_id where it is a key; else the rows are sorted by doc_id and text, written and numbered."""
-    n, distinct, nulls = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if not nulls and n == distinct:
-        return docs.withColumn("__row", F.col("doc_id").cast("long"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", F.xxhash64("text")]
-    return materialise(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "line-rows")
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text"), "n_lines", "n_deleted")

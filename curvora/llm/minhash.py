@@ -11,16 +11,24 @@ later than every register of the document.
 
 Documents with the same words are collapsed first.  Bands of registers give buckets; in each bucket every member is
 compared with one member, the hub, drawn by hash, so a bucket of n texts makes n - 1 pairs, and a text of a large group
-meets different hubs in different buckets.  The same is done in finer buckets of several bands.  Links give classes.  Where a bucket then still holds several classes, the
-members outside its largest class are compared with the members of other classes, as far as sketches of two bits a
-register allow a similarity of 0.8 (one that has it fails with probability 2e-9).  Every candidate is verified on whole
-texts; classes are connected components of links.
+meets different hubs in different buckets.  Links give classes.
+
+Buckets that then still hold several classes are searched further, without pairs of all their members.  Let h be a text
+with no more distinct shingles than either of x and y.  If x and y are similar by t or more and x isn't similar to h, then
+x and y share a shingle that h doesn't have: otherwise they would share at most what x shares with h, which is less than
+t / (1 + t) of the sizes of x and h together, and so less than their similarity asks for.  So each member is compared
+with the shortest one, and named by its shingles outside it; members of several classes with a shingle in common form
+a smaller group, which is treated in the same way, until no group holds two classes.  By the prefix filter only the
+first shingles of a text, in any one order and with a fifth of its weight before them, need to be such names.  The
+argument holds for texts without repeated shingles; where it doesn't, the shingles that are shared with h are names too.
+Every candidate is verified on whole texts; classes are connected components of links.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, read_table, release
+from .common import is_empty, materialise, number_rows, read_table, release
 from .components import connected_components
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band: at 0.8 a link is missed by all bands with probability 5e-8.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 WORD = re.compile(r"\w+")
 MEMO_WORDS = 500_000
-#: Bits of a register in a sketch, and differing bits at most: at 0.8 their mean is 25.6 of 256 and their deviation 5.8.
-SKETCH_BITS, SKETCH_DIFFERENCE = 2, 60
-#: Members of a bucket from which on their pairs are also filtered by the rarest shingles (exactly; it drops no link).
-LARGE_BUCKET = 64
+#: Texts of a group up to which its pairs of different classes are compared at once, instead of with a hub.
+SMALL_GROUP = 8
+#: Guards comparisons of sums of weights; a larger one only adds candidates.
+EPS = 1e-9
 
 _U = np.uint64
 _GOLDEN, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)  # splitmix64
@@ -137,8 +145,8 @@ def similarity(a: dict[int, int], b: dict[int, int]) -> float:
     return float((1.0 / (above[at] / x[both] + below[at] / y[both])).sum())
 
 
-def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the words, n_words, a 64-bit key for each band (none for a text without words), and a sketch."""
+def sketch(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFrame:
+    """rows (row, text): row, digest of the words, n (distinct shingles) and a 64-bit key for each band (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -147,141 +155,237 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, h, count, digests, sizes = shingles(batch.column("text").to_pylist(), ids)
-                sig = signatures(batch.num_rows, doc, h, count, bands * rows)
-                bits = np.stack([(sig >> _U(7 + i)) & _U(1) for i in range(SKETCH_BITS)], axis=-1).astype(np.uint8).reshape(batch.num_rows, -1)
-                bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
-                words = np.packbits(bits, axis=1).view(np.int64)
-                sig = sig.reshape(batch.num_rows, bands, rows)
+                sig = signatures(batch.num_rows, doc, h, count, bands * width).reshape(batch.num_rows, bands, width)
                 with np.errstate(over="ignore"):
                     key = np.broadcast_to(salt, (batch.num_rows, bands)).copy()
-                    for j in range(rows):
+                    for j in range(width):
                         key = mix(key * _GOLDEN + sig[:, :, j])
                 keys = [k if n else [] for k, n in zip(key.view(np.int64), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "keys", "sketch"])
+                n = np.bincount(doc, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(digests, pa.string()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "digest", "n", "keys"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, digest string, n_words long, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "row long, digest string, n long, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b), texts (rep, text): adds sim, computed from the whole texts."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b), texts (rep, text): adds the texts, ta and tb."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb")
+
+
+def _tables(batch: pa.RecordBatch, ids: WordIds) -> Iterator[tuple]:
+    """Shingles, counts and table of both texts of every pair of a batch."""
+    ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+    distinct = list({*ta, *tb})
+    doc, h, count, _, _ = shingles(distinct, ids)
+    bounds = np.searchsorted(doc, np.arange(len(distinct) + 1))
+    own = {}
+    for i, text in enumerate(distinct):
+        x, y = bounds[i], bounds[i + 1]
+        own[text] = (h[x:y], count[x:y], dict(zip(h[x:y].tolist(), count[x:y].tolist(), strict=True)))
+    return zip((own[t] for t in ta), (own[t] for t in tb), strict=True)
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b), texts (rep, text): adds sim, computed from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                own: dict[str, dict[int, int]] = {}
-                ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-                distinct = list({*ta, *tb})
-                doc, h, count, _, _ = shingles(distinct, ids)
-                bounds = np.searchsorted(doc, np.arange(len(distinct) + 1))
-                for i, text in enumerate(distinct):
-                    x, y = bounds[i], bounds[i + 1]
-                    own[text] = dict(zip(h[x:y].tolist(), count[x:y].tolist(), strict=True))
-                sims = [similarity(own[x], own[y]) for x, y in zip(ta, tb, strict=True)]
+                sims = [similarity(x[2], y[2]) for x, y in _tables(batch, ids)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, sim double")
 
 
-def rarest(texts: DataFrame, threshold: float) -> DataFrame:
-    """(rep, prefix) of texts whose shingles all occur once: the prefix filter of set similarity joins.
+def names(x: tuple, hub: tuple, threshold: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float, bool, bool, bool, bool]:
+    """A text beside a hub: similarity; its shingles as names, their shares of its weight, whether the hub has them, and
+    how much weight may stand before the first name that it shares with a similar text; then four marks.
 
-    In any one order of shingles, two sets of Jaccard similarity t or more share an element among the first
-    n - ceil(t n) + 1 of each.  The order is by frequency, rarest first.  Texts with a repeated shingle have no row.
+    Names in the hub are left out where less than ``threshold`` of the weight lies in it: such a text shares another name
+    with every similar one.  The marks: whether it isn't similar to the hub although it has that weight in it; whether it
+    has repeats and that weight; whether the first holds in spite of a plain Jaccard similarity of ``threshold``; and
+    whether it has repeats.  Only the first with the second, or the third, let names in the hub count.
     """
+    (h, count, table), (other, _, hub_table) = x, hub
+    sim, n = similarity(table, hub_table), len(h)
+    share = count / count.sum()
+    inside = np.isin(h, other, assume_unique=True)
+    near = bool(share[inside].sum() >= threshold - EPS)
+    apart, multi = near and sim < threshold, bool(count.max() > 1)
+    plain = inside.sum() / (n + len(other) - inside.sum())
+    use = slice(None) if near else ~inside
+    # Similar texts without repeats share t / (1 + t) of their sizes together, and the other one is no shorter than the hub.
+    allowed = 1 - threshold if multi else 1 - threshold / (1 + threshold) * (1 + max(threshold, len(other) / n))
+    return sim, h[use], share[use], inside[use], allowed, apart, near and multi, apart and bool(plain >= threshold), multi
+
+
+def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a: a text, b: its hub): rep, hub, n, sim, names (hashed with the hub), allowed weight and marks m1 to m4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
+        name = pa.struct([("key", pa.int64()), ("w", pa.float64()), ("inside", pa.bool_())])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                doc, h, count, _, _ = shingles(batch.column("text").to_pylist(), ids)
-                n, plain = np.bincount(doc, minlength=batch.num_rows), np.ones(batch.num_rows, bool)
-                plain[doc[count > 1]] = False
-                use = plain[doc]
-                rep = batch.column("rep").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[doc[use]]), pa.array(h[use].view(np.int64)), pa.array(n[doc[use]])], ["rep", "h", "n"])
+                found, keys, sizes = [], [], []
+                for (x, hub), b in zip(_tables(batch, ids), batch.column("b").to_numpy(zero_copy_only=False), strict=True):
+                    sim, own, share, inside, *rest = names(x, hub, threshold)
+                    with np.errstate(over="ignore"):
+                        salt = mix(np.array([b], np.int64).view(np.uint64) * _GOLDEN + _M1)
+                        keys.append((mix(own ^ salt).view(np.int64), share, inside))
+                    found.append((len(x[0]), sim, *rest))
+                    sizes.append(len(own))
+                flat = [pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*keys, strict=True), name, strict=True)]
+                offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+                listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, fields=list(name)))
+                kinds = [pa.int64(), pa.float64(), pa.float64(), *[pa.bool_()] * 4]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), listed, *columns], ["rep", "hub", "names", "n", "sim", "allowed", "m1", "m2", "m3", "m4"])
+
+    schema = "rep long, hub long, names array<struct<key:long,w:double,inside:boolean>>, n long, sim double, allowed double, m1 boolean, m2 boolean, m3 boolean, m4 boolean"
+    return with_texts(pairs, texts).mapInArrow(run, schema)
+
+
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds c, the class of rep; classes has a row only for texts with links."""
+    return rows.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").withColumn("c", F.coalesce("component", "rep")).drop("cn", "component")
+
+
+def _shortest_hubs(members: DataFrame) -> DataFrame:
+    """members (key, rep, n): distinct (rep, hub), where all members of a key have one hub, no longer than any of them.
+
+    A key's hub is the shortest among those of the keys that its members are in, so that the many keys of one family of
+    texts have few hubs.
+    """
+    shortest = members.groupBy("key").agg(F.min(F.struct("n", "rep")).alias("h"))
+    best = members.join(shortest.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).groupBy(F.col("rep").alias("r")).agg(F.min("h").alias("h"))
+    hubs = materialise(members.join(best, F.col("rep") == F.col("r")).groupBy(F.col("key").alias("k")).agg(F.min("h").alias("h")), "near-hubs")
+    return members.join(hubs, F.col("key") == F.col("k")).select("rep", F.col("h.rep").alias("hub")).where("rep != hub").distinct()
 
-    # A window, not a join, for the frequencies: rows of three numbers, which spill where a shingle is very common.
-    rows = texts.mapInArrow(run, "rep long, h long, n long").withColumn("df", F.count("*").over(W.partitionBy("h")))
-    each = rows.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return each.select(F.col("rep").alias("pr"), F.transform(F.slice("hs", F.lit(1), size.cast("int")), lambda x: x["h"]).alias("prefix"))
 
+def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(old, new): classes that links tie to a hub's class take the least name around the hub; with those of ``before``.
 
-def _joined_keys(n: int, bands: int) -> F.Column:
-    """Keys of n neighbouring bands together."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - n), F.lit(n)), lambda i: F.xxhash64(F.lit(n), i, *[F.get("keys", i + j) for j in range(n)]))
+    This isn't all that the links say, but enough to see most groups as one class.
+    """
+    ends = found.select(F.col("src").alias("rep"), F.col("dst").alias("hub")).unionByName(found.select(F.col("dst").alias("rep"), F.col("dst").alias("hub")))
+    tied = _classed(ends, classes)
+    if before is not None:
+        tied = tied.join(before, F.col("c") == F.col("old"), "left").select("hub", F.coalesce("new", "c").alias("c"))
+    tied = tied.select("hub", "c").distinct()
+    least = tied.groupBy(F.col("hub").alias("lh")).agg(F.min("c").alias("m"))
+    own = tied.join(least, F.col("hub") == F.col("lh")).groupBy(F.col("c").alias("old")).agg(F.min("m").alias("new"))
+    if before is not None:
+        after = before.select(F.col("old").alias("o"), F.col("new").alias("n")).join(own, F.col("n") == F.col("old"), "left").select(F.col("o").alias("old"), F.coalesce("new", "n").alias("new"))
+        own = own.join(before.select(F.col("old").alias("bo")), F.col("old") == F.col("bo"), "left_anti").unionByName(after)
+    return materialise(own.where("old != new"), "near-ties")
+
+
+def _next_pairs(beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For the groups of two or more classes: (rep, hub), the members of a large one and its shortest text; and (a, b), the
+    pairs of different classes of a small one."""
+    marks = beside.groupBy(F.col("hub").alias("mh")).agg(((F.max("m1") & F.max("m2")) | F.max("m3")).alias("loose"), F.max("m4").alias("repeats"))
+    rows = _classed(beside, classes).join(ties, F.col("c") == F.col("old"), "left").join(marks, F.col("hub") == F.col("mh"))
+    use = F.when(F.col("loose"), F.col("names")).otherwise(F.filter("names", lambda x: ~x["inside"])).alias("names")
+    allowed = F.when(F.col("repeats"), 1 - threshold).otherwise(F.col("allowed")).alias("allowed")
+    rows = materialise(rows.select("rep", "hub", "n", F.coalesce("new", "c").alias("c"), use, allowed), "near-names")
+    each = rows.select("rep", "hub", "n", "c", "allowed", F.explode("names").alias("x")).select("rep", "hub", "n", "c", "allowed", "x.*")
+    # Names of one class alone belong to no pair that is looked for, so they may stand first; the others follow by frequency.
+    mixed = each.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df")).where("c0 != c1").select("k", "df")
+    live = materialise(each.join(mixed, F.col("key") == F.col("k")).drop("k"), "near-live")
+    mass = rows.select(F.col("rep").alias("r"), F.col("hub").alias("rh"), F.aggregate("names", F.lit(0.0), lambda a, x: a + x["w"]).alias("mass"))
+    own = W.partitionBy("rep", "hub")
+    before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    first = live.withColumn("before", before).withColumn("live", F.sum("w").over(own)).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
+    first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "n", "c"), "near-first")
+    groups = first.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("h")).where("c0 != c1")
+    placed = materialise(first.join(groups.select("k", "size", F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups")
+    pairs = materialise(placed.where((F.col("size") > SMALL_GROUP) & (F.col("rep") != F.col("hub"))).select("rep", "hub").distinct(), "near-pairs")
+    small = placed.where(F.col("size") <= SMALL_GROUP).select("key", "rep", "c")
+    other = small.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
+    direct = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") > F.col("b")) & (F.col("c") != F.col("bc"))).select(F.col("rep").alias("a"), "b").distinct()
+    direct = materialise(direct, "near-direct")
+    release(rows, live, first, placed)
+    return pairs, direct
+
+
+def _more_links(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (src, dst) between different classes that meet in a bucket; classes are (node, component)."""
+    placed = _classed(members, classes)
+    mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("k")
+    mixed = materialise(placed.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "n"), "near-mixed")
+    pairs = materialise(_shortest_hubs(mixed), "near-pairs")
+    release(mixed)
+    links, direct, ties = [], [], None
+    while not is_empty(pairs):
+        beside = materialise(beside_hubs(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")), texts, threshold), "near-beside")
+        links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found"))
+        ties = _ties(links[-1], classes, ties)
+        after, small = _next_pairs(beside, classes, ties, threshold)
+        direct.append(small)
+        release(pairs, beside)
+        pairs = after
+    if not links:
+        return None
+    last = verify(reduce(DataFrame.unionByName, direct).distinct(), texts).where(F.col("sim") >= threshold)
+    return reduce(DataFrame.unionByName, links).unionByName(last.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
+    """rows (row: a unique long, text): row, class_row (the least row of its class) and digest (of its words)."""
+    rows = rows.select("row", F.col("text").cast("string").alias("text"))
+    marks = materialise(sketch(rows, bands, width), "near-marks")
+    reps = materialise(marks.groupBy("digest").agg(F.min("row").alias("rep")), "near-reps")
+    # Each text once: the marks of its least row.
+    band = marks.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", F.explode("keys").alias("key"))
+    band = materialise(band, "near-bands")
+    hubs = band.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("c")).where("c > 1")
+    hubs = materialise(hubs.select("k", F.col("least.rep").alias("hub")), "near-hubs")
+    members = materialise(band.join(hubs, F.col("key") == F.col("k")).select("key", "rep", "n", "hub"), "near-members")
+    release(band, hubs)
 
+    # Texts only of documents that share a bucket.
+    pairs = members.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    texts = rows.withColumnRenamed("row", "rep").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    texts = materialise(texts, "near-texts")
+    links = materialise(verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
+    classes = materialise(connected_components(links), "near-classes")
+    more = _more_links(members, classes, texts, threshold)
+    more = None if more is None else materialise(more, "near-more")
+    if more is not None and not is_empty(more):
+        known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        classes = materialise(connected_components(more.unionByName(known)), "near-classes")
+    release(members, texts, links)
+
+    named = reps.join(classes, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_row"))
+    named = materialise(named, "near-named")
+    release(reps, classes)
+    return marks.join(named, F.col("digest") == F.col("d")).select("row", "class_row", "digest")
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
     """Classes of near duplicates: one row a document with doc_id, class_id and digest (of its words).
 
     class_id is the least doc_id of the class.  Two texts are linked if their probability Jaccard similarity on
     five-word shingles is ``threshold`` or more; equal word sequences are one text.  Defined cases: texts without
-    words (null counts as empty) are linked only to equal texts; a text of fewer than five words is one shingle; null
-    doc_ids are left out; repeated doc_ids with other texts are compared as one id with each of its texts; an empty
-    table gives no rows; other columns are ignored.
+    words (null counts as empty) are linked only to equal texts; a text of fewer than five words is one shingle; rows
+    with a null doc_id are compared like others, and class_id is null only where all rows of a class have none; rows with
+    repeated doc_ids are compared row by row, and so may have different classes; very long texts are compared whole; an
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
-    marks = materialise(sketch(docs, bands, rows), "near-marks")
-    reps = materialise(marks.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-reps")
-    # Each text once: the marks of its least document.
-    own = marks.join(reps.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    own = materialise(own.select("rep", "keys", "sketch").dropDuplicates(["rep", "keys"]), "near-own")
-    band = own.select("rep", F.explode("keys").alias("key"))
-    hubs = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("n"))
-    hubs = materialise(hubs.where("n > 1").select(F.col("key").alias("k"), F.col("least.rep").alias("hub")), "near-hubs")
-    members = materialise(band.join(hubs, band["key"] == hubs["k"]).select("key", "rep", "hub"), "near-members")
-
-    # Finer buckets of two and of four bands together: in a large group of loosely similar texts a hub drawn from one of
-    # them is mostly a true neighbour, so that few texts of the group are left to be compared in other ways.
-    shared = own.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    fine = shared.select("rep", F.explode(F.concat(*[_joined_keys(n, bands) for n in (2, 4) if n <= bands], F.array().cast("array<bigint>"))).alias("key"))
-    fine_hubs = fine.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("n"))
-    fine_hubs = materialise(fine_hubs.where("n > 1").select(F.col("key").alias("k"), F.col("least.rep").alias("hub")), "near-fine-hubs")
-    near = fine.join(fine_hubs, fine["key"] == fine_hubs["k"]).select("rep", "hub")
-
-    # Texts only of documents that share a bucket.
-    pairs = members.select("rep", "hub").unionByName(near).where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    texts = materialise(texts, "near-texts")
-    sims = materialise(verify(pairs, texts).groupBy("a", "b").agg(F.max("sim").alias("sim")), "near-sims")
-    links = sims.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    classes = materialise(connected_components(links), "near-classes")
-
-    # Buckets that still hold several classes: their members outside the largest one meet the others.
-    placed = members.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    per = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1").select(F.col("key").alias("mk"), F.col("top.c").alias("main"), "size")
-    rows_ = placed.join(mixed, F.col("key") == F.col("mk")).join(own.select(F.col("rep").alias("sr"), "sketch"), F.col("rep") == F.col("sr"))
-    mixed = materialise(rows_.select("key", "rep", "c", "main", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(-(-bands * rows * SKETCH_BITS // 64))]), "near-mixed")
-    if not is_empty(mixed):
-        words = [c for c in mixed.columns if re.fullmatch(r"s\d+", c)]
-        large = mixed.where(F.col("size") >= LARGE_BUCKET).select("rep").distinct()
-        prefixes = materialise(rarest(texts.join(large.hint("merge"), "rep", "left_semi"), threshold), "near-prefixes")
-        mixed = mixed.join(prefixes, mixed["rep"] == prefixes["pr"], "left").drop("pr")
-        outer = mixed.where("c != main").select(F.col("key").alias("ok"), F.col("rep").alias("a"), F.col("c").alias("oc"), F.col("prefix").alias("op"), *[F.col(c).alias("o" + c) for c in words])
-        differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in words), F.lit(0))
-        allowed = SKETCH_DIFFERENCE if (bands, rows, threshold) == (BANDS, ROWS, THRESHOLD) else 64 * len(words)
-        sharing = F.coalesce(F.arrays_overlap("prefix", "op"), F.lit(True))
-        more = mixed.join(outer, (mixed["key"] == outer["ok"]) & (mixed["c"] != outer["oc"]) & ((mixed["c"] == mixed["main"]) | (mixed["rep"] < outer["a"])) & (differing <= allowed) & sharing)
-        more = more.select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
-        more = materialise(more.join(sims, ["a", "b"], "left_anti"), "near-more")
-        found = verify(more, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = materialise(found, "near-found")
-        if not is_empty(found):
-            known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-            classes = materialise(connected_components(found.unionByName(known)), "near-classes")
-    release(members, hubs, fine_hubs, mixed)
-
-    named = reps.join(classes, reps["rep"] == classes["node"], "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_id"))
-    named = materialise(named, "near-named")
-    return marks.join(named, marks["digest"] == named["d"]).select("doc_id", "class_id", "digest")
+    docs = number_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row", nulls_last=True)
+    found = near_classes(docs.select("row", "text"), threshold, bands, width)
+    if not hasattr(docs, "_curvora_path"):  # doc_id is the key, and the row
+        return found.select(F.col("row").alias("doc_id"), F.col("class_row").alias("class_id"), "digest")
+    found = materialise(found, "near-found")
+    ids = docs.select(F.col("row").alias("r"), "doc_id")
+    least = found.join(ids, F.col("class_row") == F.col("r")).select(F.col("row").alias("cr"), "digest", F.col("doc_id").alias("class_id"))
+    return least.join(ids, F.col("cr") == F.col("r")).select("doc_id", "class_id", "digest")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,21 @@ def test_similarity_equals_its_definition():
     assert minhash.similarity({}, {}) == 0
 
 
-@pytest.mark.parametrize("large", [minhash.LARGE_BUCKET, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
+def brute_classes(texts):
+    """Least position of each text's class, from all pairs."""
+    doc, h, count, digests, _ = minhash.shingles(texts, minhash.WordIds())
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    tables = [dict(zip(h[x:y].tolist(), count[x:y].tolist(), strict=True)) for x, y in zip(bounds, bounds[1:], strict=False)]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if digests[i] == digests[j] or (not tables[i].keys().isdisjoint(tables[j]) and minhash.similarity(tables[i], tables[j]) >= 0.8):
+                x, y = sorted((find(parent, i), find(parent, j)))
+                parent[y] = x
+    return [find(parent, i) for i in range(len(texts))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
     rnd = random.Random(4)
     word = lambda: f"w{rnd.randrange(400)}"
     base = [[word() for _ in range(80)] for _ in range(8)]
@@ -68,17 +80,82 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
             texts.append(" ".join(b))
     texts += [" ".join(word() if rnd.random() < 0.06 else x for x in base[5]) for _ in range(40)]  # a loose family
     texts += [texts[0]] * 30 + [texts[1].upper(), "a b", "a b", "a c", None, "", "", "!!!", "!!!", "???", "one"]
-    out = minhash.near_duplicates(docs(spark, [*texts, "no id"], [*range(len(texts)), None])).toPandas().set_index("doc_id")["class_id"].to_dict()
-    doc, h, count, digests, _ = minhash.shingles(texts, minhash.WordIds())
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    tables = [dict(zip(h[x:y].tolist(), count[x:y].tolist(), strict=True)) for x, y in zip(bounds, bounds[1:], strict=False)]
-    parent = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if digests[i] == digests[j] or minhash.similarity(tables[i], tables[j]) >= 0.8:
-                x, y = sorted((find(parent, i), find(parent, j)))
-                parent[y] = x
-    assert out == {i: find(parent, i) for i in range(len(texts))}
+    out = minhash.near_duplicates(docs(spark, texts)).toPandas().set_index("doc_id")["class_id"].to_dict()
+    assert out == dict(enumerate(brute_classes(texts)))
+
+
+def loose_family(rnd, n, words=120, repeats=0):
+    """Texts around one base text, each with some of its words exchanged, some of them after one another's example."""
+    word = lambda: f"w{rnd.randrange(3000)}"
+    base = [word() for _ in range(words)]
+    base += base[:repeats]  # repeated shingles
+    out = [base]
+    for _ in range(n - 1):
+        like = rnd.choice(out) if rnd.random() < 0.3 else base
+        share = rnd.uniform(0, 0.12)
+        own = [word() if rnd.random() < share else x for x in like]
+        out.append(own[: rnd.randrange(len(own) * 3 // 4, len(own) + 1)] if rnd.random() < 0.3 else own)
+    return [" ".join(x) for x in out]
+
+
+def test_no_link_of_a_loose_family_is_lost(spark):
+    rnd = random.Random(11)
+    texts = loose_family(rnd, 2000)
+    expect = brute_classes(texts)
+    assert 100 < len(set(expect)) < 1900
+    out = minhash.near_duplicates(docs(spark, texts)).toPandas().set_index("doc_id")["class_id"].to_dict()
+    assert out == dict(enumerate(expect))
+
+
+def test_no_link_of_a_family_with_repeated_shingles_is_lost(spark):
+    rnd = random.Random(12)
+    texts = loose_family(rnd, 90, 60, 30) + loose_family(rnd, 60, 40)
+    out = minhash.near_duplicates(docs(spark, texts)).toPandas().set_index("doc_id")["class_id"].to_dict()
+    assert out == dict(enumerate(brute_classes(texts)))
+
+
+def test_similar_texts_share_a_name_beside_every_shorter_hub():
+    """The argument of the search, on small tables: all pairs of texts beside all hubs that are no longer than either."""
+    rnd, seen = random.Random(13), 0
+    for _ in range(300):
+        core = rnd.sample(range(40), 14)
+        family = []
+        for _ in range(7):
+            own = {k: 1 for k in core if rnd.random() < 0.9} | {rnd.randrange(40, 60): 1 for _ in range(rnd.randrange(3))}
+            if rnd.random() < 0.3:
+                own |= {rnd.choice(list(own)): 3}
+            family.append(dict(sorted(own.items())))
+        rows = [(np.array(list(t), np.uint64), np.array(list(t.values())), t) for t in family]
+        for hub in rows:
+            beside = [(x, *minhash.names(x, hub, 0.8)) for x in rows if len(x[2]) >= len(hub[2]) and x is not hub]
+            loose = (any(b[6] for b in beside) and any(b[7] for b in beside)) or any(b[8] for b in beside)
+            limit = 0.2 if any(b[9] for b in beside) else None
+            first = []
+            for x, sim, h, share, inside, allowed, *_ in beside:
+                total, kept = 0.0, set()
+                for _, k, w in sorted((i, k, w) for i, k, w in zip(inside.tolist(), h.tolist(), share.tolist(), strict=True) if loose or not i):
+                    if total <= (limit or allowed) + 1e-9:
+                        kept.add(k)
+                    total += w
+                first.append((x, sim, kept))
+            for x, sim_x, kept_x in first:
+                for y, sim_y, kept_y in first:
+                    if x is not y and not (sim_x >= 0.8 and sim_y >= 0.8) and minhash.similarity(x[2], y[2]) >= 0.8:
+                        seen += 1
+                        assert kept_x & kept_y
+    assert seen > 100
+
+
+def test_near_duplicates_of_repeated_and_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i % 977}x{i % 1013}" for i in range(30000))
+    text = " ".join(f"a{i}" for i in range(40))
+    other = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text), (5, text), (5, other), (5, other), (None, text), (None, "alone in here"), (None, "alone in here"), (9, long), (8, long + " end"), (7, None), (6, "")]
+    out = minhash.near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows])).toPandas()
+    assert len(out) == len(rows)
+    got = sorted(((None if i != i else int(i)), None if c != c else int(c)) for i, c in zip(out["doc_id"], out["class_id"], strict=True) if i == i)
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5), (6, 6), (7, 6), (8, 8), (9, 8)]
+    assert sorted(str(c) for c in out[out["doc_id"].isna()]["class_id"]) == ["1.0", "nan", "nan"]
 
 
 def test_no_documents_have_no_classes(spark):
