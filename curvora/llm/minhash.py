@@ -11,7 +11,7 @@ later than every register of the document.
 
 Documents with the same words are collapsed first.  Bands of registers give buckets; in each bucket every member is
 compared with one member, the hub, drawn by hash, so a bucket of n texts makes n - 1 pairs, and a text of a large group
-meets different hubs in different buckets.  Links give classes.
+meets different hubs in different buckets.  The same is done in finer buckets of several bands.  Links give classes.
 
 Buckets that then still hold several classes are searched further, without pairs of all their members.  Let h be a text
 with no more distinct shingles than either of x and y.  If x and y are similar by t or more and x isn't similar to h, then
@@ -44,8 +44,8 @@ from .components import connected_components
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 WORD = re.compile(r"\w+")
 MEMO_WORDS = 500_000
-#: Texts of a group up to which its pairs of different classes are compared at once, instead of with a hub.
-SMALL_GROUP = 8
+#: Pairs of different classes a member, up to which those of a group are compared at once, instead of all with a hub.
+DIRECT_PAIRS = 8
 #: Guards comparisons of sums of weights; a larger one only adds candidates.
 EPS = 1e-9
 
@@ -251,6 +251,18 @@ def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return with_texts(pairs, texts).mapInArrow(run, schema)
 
 
+def _joined_keys(n: int, bands: int) -> F.Column:
+    """Keys of n neighbouring bands together."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - n), F.lit(n)), lambda i: F.xxhash64(F.lit(n), i, *[F.get("keys", i + j) for j in range(n)]))
+
+
+def _hubs(band: DataFrame, label: str) -> DataFrame:
+    """band (rep, n, key): adds the hub of each key that several texts have, drawn by hash; other keys go."""
+    hubs = band.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("c")).where("c > 1")
+    hubs = materialise(hubs.select("k", F.col("least.rep").alias("hub")), label + "-hubs")
+    return materialise(band.join(hubs, F.col("key") == F.col("k")).select("key", "rep", "n", "hub"), label)
+
+
 def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds c, the class of rep; classes has a row only for texts with links."""
     return rows.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").withColumn("c", F.coalesce("component", "rep")).drop("cn", "component")
@@ -287,8 +299,8 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
 
 
 def _next_pairs(beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """For the groups of two or more classes: (rep, hub), the members of a large one and its shortest text; and (a, b), the
-    pairs of different classes of a small one."""
+    """For the groups of two or more classes: (rep, hub), the members of one with many pairs of them and its shortest text; and
+    (a, b), the pairs of different classes of one with few."""
     marks = beside.groupBy(F.col("hub").alias("mh")).agg(((F.max("m1") & F.max("m2")) | F.max("m3")).alias("loose"), F.max("m4").alias("repeats"))
     rows = _classed(beside, classes).join(ties, F.col("c") == F.col("old"), "left").join(marks, F.col("hub") == F.col("mh"))
     use = F.when(F.col("loose"), F.col("names")).otherwise(F.filter("names", lambda x: ~x["inside"])).alias("names")
@@ -303,12 +315,15 @@ def _next_pairs(beside: DataFrame, classes: DataFrame, ties: DataFrame, threshol
     before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     first = live.withColumn("before", before).withColumn("live", F.sum("w").over(own)).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
     first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "n", "c"), "near-first")
-    groups = first.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("h")).where("c0 != c1")
-    placed = materialise(first.join(groups.select("k", "size", F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups")
-    pairs = materialise(placed.where((F.col("size") > SMALL_GROUP) & (F.col("rep") != F.col("hub"))).select("rep", "hub").distinct(), "near-pairs")
-    small = placed.where(F.col("size") <= SMALL_GROUP).select("key", "rep", "c")
-    other = small.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
-    direct = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") > F.col("b")) & (F.col("c") != F.col("bc"))).select(F.col("rep").alias("a"), "b").distinct()
+    # By key and class first, so that a key with very many members makes few rows.
+    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min(F.struct("n", "rep")).alias("h"))
+    groups = counted.groupBy("k").agg(F.count("*").alias("classes"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "c")).alias("top"), F.min("h").alias("h")).where("classes > 1")
+    few = F.col("size") * F.col("size") - F.col("same") <= 2 * DIRECT_PAIRS * F.col("size")
+    placed = materialise(first.join(groups.select("k", few.alias("few"), F.col("top.c").alias("main"), F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups")
+    pairs = materialise(placed.where(~F.col("few") & (F.col("rep") != F.col("hub"))).select("rep", "hub").distinct(), "near-pairs")
+    small = placed.where("few").select("key", "rep", "c", "main")
+    other = small.where("c != main").select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
+    direct = small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc"))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
     direct = materialise(direct, "near-direct")
     release(rows, live, first, placed)
     return pairs, direct
@@ -342,19 +357,20 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     marks = materialise(sketch(rows, bands, width), "near-marks")
     reps = materialise(marks.groupBy("digest").agg(F.min("row").alias("rep")), "near-reps")
     # Each text once: the marks of its least row.
-    band = marks.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", F.explode("keys").alias("key"))
-    band = materialise(band, "near-bands")
-    hubs = band.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("c")).where("c > 1")
-    hubs = materialise(hubs.select("k", F.col("least.rep").alias("hub")), "near-hubs")
-    members = materialise(band.join(hubs, F.col("key") == F.col("k")).select("key", "rep", "n", "hub"), "near-members")
-    release(band, hubs)
+    own = materialise(marks.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "keys"), "near-own")
+    members = _hubs(own.select("rep", "n", F.explode("keys").alias("key")), "near-members")
+    # Finer buckets of two and of four bands together: in a large group of loosely similar texts a hub drawn from one of
+    # them is mostly a true neighbour, so that few classes are left to be tied together in other ways.
+    fine = own.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    near = _hubs(fine.select("rep", "n", F.explode(F.concat(*[_joined_keys(k, bands) for k in (2, 4) if k <= bands], F.array().cast("array<bigint>"))).alias("key")), "near-fine")
 
     # Texts only of documents that share a bucket.
-    pairs = members.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    pairs = members.select("rep", "hub").unionByName(near.select("rep", "hub")).where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     texts = rows.withColumnRenamed("row", "rep").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
     links = materialise(verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
     classes = materialise(connected_components(links), "near-classes")
+    release(own, near)
     more = _more_links(members, classes, texts, threshold)
     more = None if more is None else materialise(more, "near-more")
     if more is not None and not is_empty(more):
