@@ -30,12 +30,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/curvora-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Shuffle partitions that are written as one file where a table is known to be much smaller than what it is made from.
+SMALL_SHARE = 8
+
+
+def materialise(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs only the tasks it was running, and no plan above is computed twice.
+    ``small`` tables (of a few numbers a row) are written by an eighth of the tasks, which grow with the data all the same.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // SMALL_SHARE))
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -13,19 +13,20 @@ Documents with the same words are collapsed first.  Bands of registers give buck
 compared with one member, the hub, drawn by hash, so a bucket of n texts makes n - 1 pairs, and a text of a large group
 meets different hubs in different buckets.  The same is done in finer buckets of several bands.  Links give classes.
 
-Buckets that then still hold several classes are searched further, without pairs of all their members.  Let h be a text
-with no more distinct shingles than either of x and y.  If x and y are similar by t or more and x isn't similar to h, then
-x and y share a shingle that h doesn't have: otherwise they would share at most what x shares with h, which is less than
-t / (1 + t) of the sizes of x and h together, and so less than their similarity asks for.  So each member is compared
-with the shortest one, and named by its shingles outside it; members of several classes with a shingle in common form
-a smaller group, which is treated in the same way, until no group holds two classes.  By the prefix filter only the
-first shingles of a text, in any one order and with a fifth of its weight before them, need to be such names.  The
-argument holds for texts without repeated shingles; where it doesn't, the shingles that are shared with h are names too.
+Buckets that then still hold several classes are searched further, without pairs of all their members.  Let h be any text,
+the hub, and m the least number of distinct shingles among the members.  Similar texts x and y share t / (1 + t) of their
+sizes together, and y has m shingles or more.  If x shares fewer with h than that comes to, as most texts do that aren't
+similar to h, then x and y share a shingle that h doesn't have.  So each member is compared with the text of most links,
+and named by its shingles outside it; members of several classes with a name in common form a smaller group, which is
+treated in the same way, until no group holds two classes.  By the prefix filter only the first shingles of a text, rare
+ones before frequent ones and with a fifth of its weight before them, need to be such names.  Where the argument fails (by
+the marks of ``names``), shingles that are shared with h are names too.
 Every candidate is verified on whole texts; classes are connected components of links.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -44,8 +45,9 @@ from .components import connected_components
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 WORD = re.compile(r"\w+")
 MEMO_WORDS = 500_000
-#: Pairs of different classes a member, up to which those of a group are compared at once, instead of all with a hub.
-DIRECT_PAIRS = 8
+#: Pairs of different classes a member, up to which those of a group are compared at once, instead of all with a hub; the
+#: number doubles from step to step, up to the second one.
+DIRECT_PAIRS, MOST_DIRECT_PAIRS = 8, 64
 #: Guards comparisons of sums of weights; a larger one only adds candidates.
 EPS = 1e-9
 
@@ -168,10 +170,10 @@ def sketch(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFrame:
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b), texts (rep, text): adds the texts, ta and tb."""
+    """pairs (a, b and others), texts (rep, text): adds the texts, ta and tb."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select(*pairs.columns, "ta", "tb")
 
 
 def _tables(batch: pa.RecordBatch, ids: WordIds) -> Iterator[tuple]:
@@ -201,14 +203,16 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts(pairs, texts).mapInArrow(run, "a long, b long, sim double")
 
 
-def names(x: tuple, hub: tuple, threshold: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float, bool, bool, bool, bool]:
-    """A text beside a hub: similarity; its shingles as names, their shares of its weight, whether the hub has them, and
-    how much weight may stand before the first name that it shares with a similar text; then four marks.
+def names(x: tuple, hub: tuple, threshold: float, least: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float, int, int, bool, bool, bool, bool]:
+    """A text beside a hub: similarity; its shingles as names, their shares of its weight, whether the hub has them; how
+    much weight may stand before the first name that it shares with a similar text; how many names it has outside the
+    hub, and how many of them a similar text has at least, if neither has repeats; then four marks.
 
-    Names in the hub are left out where less than ``threshold`` of the weight lies in it: such a text shares another name
-    with every similar one.  The marks: whether it isn't similar to the hub although it has that weight in it; whether it
-    has repeats and that weight; whether the first holds in spite of a plain Jaccard similarity of ``threshold``; and
-    whether it has repeats.  Only the first with the second, or the third, let names in the hub count.
+    ``least`` is the least number of distinct shingles of the texts it may be similar to.  Names in the hub are left out
+    where less than ``threshold`` of the weight lies in it: such a text shares another name with every similar one.  The
+    marks: whether it isn't similar to the hub although it has that weight in it; whether it has repeats and that weight;
+    whether the first holds and it shares so much with the hub that a similar text need not share more; and whether it
+    has repeats.  Only the first with the second, or the third, let names in the hub count.
     """
     (h, count, table), (other, _, hub_table) = x, hub
     sim, n = similarity(table, hub_table), len(h)
@@ -216,15 +220,15 @@ def names(x: tuple, hub: tuple, threshold: float) -> tuple[float, np.ndarray, np
     inside = np.isin(h, other, assume_unique=True)
     near = bool(share[inside].sum() >= threshold - EPS)
     apart, multi = near and sim < threshold, bool(count.max() > 1)
-    plain = inside.sum() / (n + len(other) - inside.sum())
+    needed = threshold / (1 + threshold) * (n + max(threshold * n, least))  # shared shingles of similar texts without repeats
     use = slice(None) if near else ~inside
-    # Similar texts without repeats share t / (1 + t) of their sizes together, and the other one is no shorter than the hub.
-    allowed = 1 - threshold if multi else 1 - threshold / (1 + threshold) * (1 + max(threshold, len(other) / n))
-    return sim, h[use], share[use], inside[use], allowed, apart, near and multi, apart and bool(plain >= threshold), multi
+    allowed = 1 - threshold if multi else 1 - needed / n
+    return sim, h[use], share[use], inside[use], allowed, int(n - inside.sum()), max(0, math.ceil(needed - inside.sum() - EPS)), apart, near and multi, apart and bool(inside.sum() >= needed - EPS), multi
 
 
 def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a: a text, b: its hub): rep, hub, n, sim, names (hashed with the hub), allowed weight and marks m1 to m4."""
+    """pairs (a: a text, b: its hub, least: see ``names``): rep, hub, sim, names (hashed with the hub), allowed weight, numbers of
+    names that the text has and needs in common outside the hub, and marks m1 to m4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -233,21 +237,21 @@ def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 found, keys, sizes = [], [], []
-                for (x, hub), b in zip(_tables(batch, ids), batch.column("b").to_numpy(zero_copy_only=False), strict=True):
-                    sim, own, share, inside, *rest = names(x, hub, threshold)
+                for (x, hub), b, least in zip(_tables(batch, ids), batch.column("b").to_numpy(zero_copy_only=False), batch.column("least").to_pylist(), strict=True):
+                    sim, own, share, inside, *rest = names(x, hub, threshold, least)
                     with np.errstate(over="ignore"):
                         salt = mix(np.array([b], np.int64).view(np.uint64) * _GOLDEN + _M1)
                         keys.append((mix(own ^ salt).view(np.int64), share, inside))
-                    found.append((len(x[0]), sim, *rest))
+                    found.append((sim, *rest))
                     sizes.append(len(own))
                 flat = [pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*keys, strict=True), name, strict=True)]
                 offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
                 listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, fields=list(name)))
-                kinds = [pa.int64(), pa.float64(), pa.float64(), *[pa.bool_()] * 4]
+                kinds = [pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.bool_()] * 4]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), listed, *columns], ["rep", "hub", "names", "n", "sim", "allowed", "m1", "m2", "m3", "m4"])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), listed, *columns], ["rep", "hub", "names", "sim", "allowed", "has", "needs", "m1", "m2", "m3", "m4"])
 
-    schema = "rep long, hub long, names array<struct<key:long,w:double,inside:boolean>>, n long, sim double, allowed double, m1 boolean, m2 boolean, m3 boolean, m4 boolean"
+    schema = "rep long, hub long, names array<struct<key:long,w:double,inside:boolean>>, sim double, allowed double, has long, needs long, m1 boolean, m2 boolean, m3 boolean, m4 boolean"
     return with_texts(pairs, texts).mapInArrow(run, schema)
 
 
@@ -259,7 +263,7 @@ def _joined_keys(n: int, bands: int) -> F.Column:
 def _hubs(band: DataFrame, label: str) -> DataFrame:
     """band (rep, n, key): adds the hub of each key that several texts have, drawn by hash; other keys go."""
     hubs = band.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("least"), F.count("*").alias("c")).where("c > 1")
-    hubs = materialise(hubs.select("k", F.col("least.rep").alias("hub")), label + "-hubs")
+    hubs = materialise(hubs.select("k", F.col("least.rep").alias("hub")), label + "-hubs", small=True)
     return materialise(band.join(hubs, F.col("key") == F.col("k")).select("key", "rep", "n", "hub"), label)
 
 
@@ -268,16 +272,16 @@ def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select(F.col("node").alias("cn"), "component"), F.col("rep") == F.col("cn"), "left").withColumn("c", F.coalesce("component", "rep")).drop("cn", "component")
 
 
-def _shortest_hubs(members: DataFrame) -> DataFrame:
-    """members (key, rep, n): distinct (rep, hub), where all members of a key have one hub, no longer than any of them.
+def _central_hubs(members: DataFrame) -> DataFrame:
+    """members (key, rep, n, place): distinct (rep, n, place, hub), where all members of a key have one hub of no later place.
 
-    A key's hub is the shortest among those of the keys that its members are in, so that the many keys of one family of
-    texts have few hubs.
+    A key's hub is the first in place among those of the keys that its members are in, so that the many keys of one
+    family of texts have few hubs.
     """
-    shortest = members.groupBy("key").agg(F.min(F.struct("n", "rep")).alias("h"))
-    best = members.join(shortest.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).groupBy(F.col("rep").alias("r")).agg(F.min("h").alias("h"))
-    hubs = materialise(members.join(best, F.col("rep") == F.col("r")).groupBy(F.col("key").alias("k")).agg(F.min("h").alias("h")), "near-hubs")
-    return members.join(hubs, F.col("key") == F.col("k")).select("rep", F.col("h.rep").alias("hub")).where("rep != hub").distinct()
+    first = members.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("h"))
+    best = members.join(first, F.col("key") == F.col("k")).groupBy(F.col("rep").alias("r")).agg(F.min("h").alias("h"))
+    hubs = materialise(members.join(best, F.col("rep") == F.col("r")).groupBy(F.col("key").alias("k")).agg(F.min("h").alias("h")), "near-hubs", small=True)
+    return members.join(hubs, F.col("key") == F.col("k")).select("rep", "n", "place", F.col("h.rep").alias("hub")).where("rep != hub").distinct()
 
 
 def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -295,53 +299,68 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
     if before is not None:
         after = before.select(F.col("old").alias("o"), F.col("new").alias("n")).join(own, F.col("n") == F.col("old"), "left").select(F.col("o").alias("old"), F.coalesce("new", "n").alias("new"))
         own = own.join(before.select(F.col("old").alias("bo")), F.col("old") == F.col("bo"), "left_anti").unionByName(after)
-    return materialise(own.where("old != new"), "near-ties")
+    return materialise(own.where("old != new"), "near-ties", small=True)
 
 
-def _next_pairs(beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """For the groups of two or more classes: (rep, hub), the members of one with many pairs of them and its shortest text; and
-    (a, b), the pairs of different classes of one with few."""
+def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float, step: int) -> tuple[DataFrame, DataFrame]:
+    """For the groups of two or more classes: (rep, hub), the members of one with many pairs of them and its text of most
+    links; and (a, b), the pairs of different classes of one with few."""
     marks = beside.groupBy(F.col("hub").alias("mh")).agg(((F.max("m1") & F.max("m2")) | F.max("m3")).alias("loose"), F.max("m4").alias("repeats"))
     rows = _classed(beside, classes).join(ties, F.col("c") == F.col("old"), "left").join(marks, F.col("hub") == F.col("mh"))
     use = F.when(F.col("loose"), F.col("names")).otherwise(F.filter("names", lambda x: ~x["inside"])).alias("names")
     allowed = F.when(F.col("repeats"), 1 - threshold).otherwise(F.col("allowed")).alias("allowed")
-    rows = materialise(rows.select("rep", "hub", "n", F.coalesce("new", "c").alias("c"), use, allowed), "near-names")
-    each = rows.select("rep", "hub", "n", "c", "allowed", F.explode("names").alias("x")).select("rep", "hub", "n", "c", "allowed", "x.*")
-    # Names of one class alone belong to no pair that is looked for, so they may stand first; the others follow by frequency.
-    mixed = each.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df")).where("c0 != c1").select("k", "df")
-    live = materialise(each.join(mixed, F.col("key") == F.col("k")).drop("k"), "near-live")
+    rows = materialise(rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), use, allowed, "m1", "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs")), "near-names")
+    keep = ("rep", "hub", "c", "allowed", "m1", "has", "needs")
+    each = rows.select(*keep, F.explode("names").alias("x")).select(*keep, "x.*")
+    # Names of one class alone belong to no pair that is looked for, nor do names in the hub without a text that isn't
+    # similar to it; so they may stand first, and the others follow by frequency.
+    mixed = each.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df"), F.max(~F.col("inside") | F.col("m1")).alias("use")).where("c0 != c1 and use").select("k", "df")
+    live = materialise(each.join(mixed, F.col("key") == F.col("k")).drop("k", "m1"), "near-live")
     mass = rows.select(F.col("rep").alias("r"), F.col("hub").alias("rh"), F.aggregate("names", F.lit(0.0), lambda a, x: a + x["w"]).alias("mass"))
     own = W.partitionBy("rep", "hub")
     before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     first = live.withColumn("before", before).withColumn("live", F.sum("w").over(own)).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
-    first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "n", "c"), "near-first")
+    first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "c", "has", "needs"), "near-first", small=True)
+    # A text stays in a group where some text of another class needs no more names in common than it has.
+    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("needs").alias("least"))
+    top = counted.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top"))
+    needs = counted.join(top.withColumnRenamed("k", "tk"), F.col("k") == F.col("tk")).groupBy("k", F.col("top.c").alias("main")).agg(F.min("least").alias("all"), F.min(F.when(F.col("c") != F.col("top.c"), F.col("least"))).alias("other"))
+    first = first.join(needs, F.col("key") == F.col("k")).where(F.when(F.col("c") == F.col("main"), F.col("other")).otherwise(F.col("all")) <= F.col("has")).select("key", "rep", "c")
+    first = materialise(first.join(pairs.select(F.col("rep").alias("pr"), "n", "place").distinct(), F.col("rep") == F.col("pr")).drop("pr"), "near-viable", small=True)
     # By key and class first, so that a key with very many members makes few rows.
-    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min(F.struct("n", "rep")).alias("h"))
+    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("place").alias("h"))
     groups = counted.groupBy("k").agg(F.count("*").alias("classes"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "c")).alias("top"), F.min("h").alias("h")).where("classes > 1")
-    few = F.col("size") * F.col("size") - F.col("same") <= 2 * DIRECT_PAIRS * F.col("size")
+    few = F.col("size") * F.col("size") - F.col("same") <= 2 * min(DIRECT_PAIRS << step, MOST_DIRECT_PAIRS) * F.col("size")
     placed = materialise(first.join(groups.select("k", few.alias("few"), F.col("top.c").alias("main"), F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups")
-    pairs = materialise(placed.where(~F.col("few") & (F.col("rep") != F.col("hub"))).select("rep", "hub").distinct(), "near-pairs")
+    pairs = materialise(placed.where(~F.col("few") & (F.col("rep") != F.col("hub"))).select("rep", "n", "place", "hub").distinct(), "near-pairs", small=True)
     small = placed.where("few").select("key", "rep", "c", "main")
     other = small.where("c != main").select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
     direct = small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc"))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-    direct = materialise(direct, "near-direct")
+    direct = materialise(direct, "near-direct", small=True)
     release(rows, live, first, placed)
     return pairs, direct
 
 
-def _more_links(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Links (src, dst) between different classes that meet in a bucket; classes are (node, component)."""
+def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (src, dst) between different classes that meet in a bucket; classes are (node, component).
+
+    The place of a text is by its number of links so far, most first.  A group's hub has a place before all its other
+    members, and a group of names outside it hasn't got it; so places of hubs rise from step to step, and the search ends.
+    """
     placed = _classed(members, classes)
     mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("k")
-    mixed = materialise(placed.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "n"), "near-mixed")
-    pairs = materialise(_shortest_hubs(mixed), "near-pairs")
+    degree = links.select(F.explode(F.array("src", "dst")).alias("e")).groupBy("e").agg(F.count("*").alias("d"))
+    mixed = placed.join(mixed, F.col("key") == F.col("k")).join(degree, F.col("rep") == F.col("e"), "left")
+    mixed = materialise(mixed.select("key", "rep", "n", F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "rep").alias("place")), "near-mixed")
+    pairs = materialise(_central_hubs(mixed), "near-pairs", small=True)
     release(mixed)
     links, direct, ties = [], [], None
     while not is_empty(pairs):
-        beside = materialise(beside_hubs(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")), texts, threshold), "near-beside")
-        links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found"))
+        least = pairs.groupBy("hub").agg(F.min("n").alias("least"))
+        beside = materialise(beside_hubs(pairs.join(least, "hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "least"), texts, threshold), "near-beside")
+        links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found", small=True))
         ties = _ties(links[-1], classes, ties)
-        after, small = _next_pairs(beside, classes, ties, threshold)
+        after, small = _next_pairs(pairs, beside, classes, ties, threshold, len(direct))
         direct.append(small)
         release(pairs, beside)
         pairs = after
@@ -369,13 +388,12 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     texts = rows.withColumnRenamed("row", "rep").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
     links = materialise(verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
-    classes = materialise(connected_components(links), "near-classes")
+    # Two rounds name most classes; the full answer follows when all links are known.
+    classes = materialise(connected_components(links, 2), "near-classes", small=True)
     release(own, near)
-    more = _more_links(members, classes, texts, threshold)
-    more = None if more is None else materialise(more, "near-more")
-    if more is not None and not is_empty(more):
-        known = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        classes = materialise(connected_components(more.unionByName(known)), "near-classes")
+    more = _more_links(members, links, classes, texts, threshold)
+    known = links if more is None else links.unionByName(materialise(more, "near-more", small=True))
+    classes = materialise(connected_components(known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "near-classes", small=True)
     release(members, texts, links)
 
     named = reps.join(classes, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_row"))
@@ -398,7 +416,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     found = near_classes(docs.select("row", "text"), threshold, bands, width)
     if not hasattr(docs, "_curvora_path"):  # doc_id is the key, and the row
         return found.select(F.col("row").alias("doc_id"), F.col("class_row").alias("class_id"), "digest")
-    found = materialise(found, "near-found")
+    found = materialise(found, "near-found", small=True)
     ids = docs.select(F.col("row").alias("r"), "doc_id")
     least = found.join(ids, F.col("class_row") == F.col("r")).select(F.col("row").alias("cr"), "digest", F.col("doc_id").alias("class_id"))
     return least.join(ids, F.col("cr") == F.col("r")).select("doc_id", "class_id", "digest")

@@ -114,8 +114,8 @@ def test_no_link_of_a_family_with_repeated_shingles_is_lost(spark):
     assert out == dict(enumerate(brute_classes(texts)))
 
 
-def test_similar_texts_share_a_name_beside_every_shorter_hub():
-    """The argument of the search, on small tables: all pairs of texts beside all hubs that are no longer than either."""
+def test_similar_texts_share_a_name_beside_every_hub():
+    """The argument of the search, on small tables: all pairs of texts beside all hubs."""
     rnd, seen = random.Random(13), 0
     for _ in range(300):
         core = rnd.sample(range(40), 14)
@@ -127,22 +127,23 @@ def test_similar_texts_share_a_name_beside_every_shorter_hub():
             family.append(dict(sorted(own.items())))
         rows = [(np.array(list(t), np.uint64), np.array(list(t.values())), t) for t in family]
         for hub in rows:
-            beside = [(x, *minhash.names(x, hub, 0.8)) for x in rows if len(x[2]) >= len(hub[2]) and x is not hub]
-            loose = (any(b[6] for b in beside) and any(b[7] for b in beside)) or any(b[8] for b in beside)
-            limit = 0.2 if any(b[9] for b in beside) else None
+            least = min(len(x[2]) for x in rows if x is not hub)
+            beside = [(x, *minhash.names(x, hub, 0.8, least)) for x in rows if x is not hub]
+            loose = (any(b[8] for b in beside) and any(b[9] for b in beside)) or any(b[10] for b in beside)
+            limit = 0.2 if any(b[11] for b in beside) else None
             first = []
-            for x, sim, h, share, inside, allowed, *_ in beside:
+            for x, sim, h, share, inside, allowed, has, needs, *_ in beside:
                 total, kept = 0.0, set()
                 for _, k, w in sorted((i, k, w) for i, k, w in zip(inside.tolist(), h.tolist(), share.tolist(), strict=True) if loose or not i):
                     if total <= (limit or allowed) + 1e-9:
                         kept.add(k)
                     total += w
-                first.append((x, sim, kept))
-            for x, sim_x, kept_x in first:
-                for y, sim_y, kept_y in first:
+                first.append((x, sim, kept, has, 0 if limit else needs))
+            for x, sim_x, kept_x, has_x, needs_x in first:
+                for y, sim_y, kept_y, has_y, needs_y in first:
                     if x is not y and not (sim_x >= 0.8 and sim_y >= 0.8) and minhash.similarity(x[2], y[2]) >= 0.8:
                         seen += 1
-                        assert kept_x & kept_y
+                        assert kept_x & kept_y and has_x >= needs_y and has_y >= needs_x
     assert seen > 100
 
 
