@@ -132,19 +132,20 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found if found is not None else stretches.limit(0)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Delete later copies of maximal repeated line runs; adds kept_text, n_lines and n_deleted to each row.
-
-    Later means later in order of doc_id, then of the row in the table, then of the line.  A run is deleted if it has
-    ``min_words`` words or more, so short common lines stay.  Defined cases: a null text has no lines and its kept_text
-    is null; an empty text is one empty line; a document all of whose lines are deleted keeps an empty text; rows with a
-    null doc_id come first; repeated rows are copies like any other; an empty table gives no rows; other columns are
-    kept, but for any named kept_text, n_lines or n_deleted.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, columns: tuple[str, str, str] = ("kept_text", "n_lines", "n_deleted")) -> DataFrame:
+    """Delete later copies of maximal repeated line runs; adds ``columns``: the kept text, lines and deleted lines of a row.
+
+    Later means later in order of doc_id, then of the row (rows of one doc_id are ordered by a hash of their texts), then
+    of the line.  A run is deleted if it has ``min_words`` words or more, so short common lines stay.  Defined cases: a
+    null text has no lines and its kept text is null; an empty text is one empty line; a document all of whose lines are
+    deleted keeps an empty text; rows with a null doc_id come first; repeated rows are copies like any other; very long
+    texts are read whole; an empty table gives no rows; other columns are kept, but for any named like one of ``columns``.
     """
-    kept_columns = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_deleted")]
-    numbered = number_rows(docs.select(*kept_columns))
-    runs = repeated_runs(numbered.where(F.col("text").isNotNull()).select("__row", "text"), min_words)
-    spans = materialise(runs.groupBy("row").agg(F.collect_set(F.struct("a", "n")).alias("__spans")).select(F.col("row").alias("__r"), "__spans"), "line-spans")
+    kept_columns = [c for c in docs.columns if c.lower() not in {x.lower() for x in columns}]
+    row, joined_row, spans_name, cut_name = fresh([*docs.columns, *columns], "__row", "__r", "__spans", "__cut")
+    numbered = number_rows(docs.select(*kept_columns), row)
+    runs = repeated_runs(numbered.where(F.col("text").isNotNull()).select(F.col(row).alias("__row"), "text"), min_words)
+    spans = materialise(runs.groupBy("row").agg(F.collect_set(F.struct("a", "n")).alias(spans_name)).select(F.col("row").alias(joined_row), spans_name), "line-spans")
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
@@ -162,8 +163,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     cut = F.pandas_udf(run, "kept_text string, n_lines long, n_deleted long")
     # A merge join at every size: the spans grow with the corpus, so they are never broadcast.
-    joined = numbered.join(spans.hint("merge"), numbered["__row"] == spans["__r"], "left")
-    return joined.withColumn("__cut", cut(F.col("text").cast("string"), "__spans")).select(*kept_columns, "__cut.kept_text", "__cut.n_lines", "__cut.n_deleted")
+    joined = numbered.join(spans.hint("merge"), numbered[row] == spans[joined_row], "left")
+    found = [F.col(f"{cut_name}.{own}").alias(name) for own, name in zip(("kept_text", "n_lines", "n_deleted"), columns, strict=True)]
+    return joined.withColumn(cut_name, cut(F.col("text").cast("string"), spans_name)).select(*kept_columns, *found)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

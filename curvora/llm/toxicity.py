@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, release
+from .common import fresh, materialise, read_table, release
 from .minhash import BANDS, ROWS, WordIds, shingles, signatures
 
 #: Labelled rows that the model is fitted on at most; terms of the lexicon at most.
@@ -289,10 +289,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, column: str = "toxicity")
     and rows with null doc_ids are scored like any other; an empty table gives no rows; other columns are kept, but for
     one named like ``column``.
     """
-    x = _features(model.terms)(F.col("text").cast("string"))
-    rows = docs.withColumn("__x", x)
-    z = sum((F.col("__x")[i] * w for i, w in enumerate(model.weights[:-1])), F.lit(model.weights[-1]))
-    return rows.withColumn(column, 1 / (1 + F.exp(-z))).drop("__x")
+    (x,) = fresh([*docs.columns, column], "__x")
+    rows = docs.withColumn(x, _features(model.terms)(F.col("text").cast("string")))
+    z = sum((F.col(x)[i] * w for i, w in enumerate(model.weights[:-1])), F.lit(model.weights[-1]))
+    return rows.withColumn(column, 1 / (1 + F.exp(-z))).drop(x)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def with_rule(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     found = rows.select("__row", "path", F.explode(suffixes).alias("suffix")).join(table, F.col("suffix") == F.col("r_host")).where(F.col("path").startswith(F.col("r_path")))
-    best = found.groupBy(F.col("__row").alias("__r")).agg(F.max(F.struct(F.length("r_name"), F.col("r_name"), F.col("r_verdict"))).alias("b"))
+    best = found.groupBy(F.col("__row").alias("__r")).agg(F.min(F.struct((-F.length("r_name")).alias("l"), F.col("r_name"), F.col("r_verdict"))).alias("b"))
     return rows.join(best, rows["__row"] == best["__r"], "left").select(*urls.columns, F.col("b.r_name").alias("rule"), F.col("b.r_verdict").alias("rule_verdict"))
 
 

@@ -310,3 +310,23 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontaminate"]) == {204}
     assert {r.doc_id for r in state.collect()} == set(seen["decontaminate"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["decontaminate"])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, Kept_Text int, __row string, __x int, __toxicity string, __cut int, row int"
+
+
+def test_stages_decide_rows_and_keep_columns_of_any_name(spark, sf):
+    run = " ".join(f"r{i}" for i in range(60))
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len((r.text or "").split()) >= 12)
+    ids = [(1, text), (5, text), (5, other), (6, item + " " + other), (6, "clean words here"), (None, item), (None, "no id, and clean"), (7, None), (8, ""), (9, run + "\nx y"), (10, run + "\nz " + " ".join(f"c{i}" for i in range(40))), (11, "w" * 50_000)]
+    rows = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "mine", 3, "r", 4, "t", 5, 6) for i, t in ids], ODD)
+    after = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, after, sf)
+        assert after.columns == rows.columns, name
+        assert stage(spark, rows.where("false"), sf).count() == 0
+    out = sorted((str(r.doc_id), r.text or "", r.n_lines, r.Kept_Text, r["__row"], r["__x"]) for r in after.collect())
+    kept = [(i, t[:5]) for i, t, *_ in out]
+    assert kept == sorted([("1", "a0 a1"), ("5", "b0 b1"), ("6", "clean"), ("None", "no id"), ("7", ""), ("9", "r0 r1"), ("10", "z c0 "), ("11", "wwwww")])
+    assert {x[2:] for x in out} == {("mine", 3, "r", 4)}
