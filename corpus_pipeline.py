@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvora.llm.bpe import encode, tokenizer_file
-from curvora.llm.common import materialise, read_table
+from curvora.llm.common import fresh, materialise, number_rows, read_table
 from curvora.llm.decontaminate import contamination
 from curvora.llm.line_dedup import dedup_lines
-from curvora.llm.minhash import near_duplicates
+from curvora.llm.minhash import near_classes
 from curvora.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents whose score is at least this are rejected.
@@ -27,34 +27,55 @@ TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by their texts; the model is fitted on labelled documents of this stage's input."""
+    """Rejects documents by their texts; the model is fitted on labelled documents of this stage's input.
+
+    Null and empty texts have the least score of all and stay; very long texts are scored whole; equal texts (ties,
+    repeated rows) have one score; an empty table, or one without labels, gives the rows of its input.
+    """
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, "__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
+    (score,) = fresh(docs.columns, "__toxicity")
+    return score_toxicity(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs; n_chars is counted anew where a text has changed."""
-    cut = dedup_lines(docs)
-    new = {"text": F.col("kept_text")}
+    """Texts without later copies of repeated runs; n_chars is counted anew where a text has changed.
+
+    Every row stays.  Null texts stay null; a text all of whose lines are copies becomes empty; rows with null doc_ids come
+    first, rows of one doc_id by a hash of their texts; very long texts are read whole; an empty table gives no rows.
+    """
+    kept, lines, deleted = fresh(docs.columns, "__kept_text", "__n_lines", "__n_deleted")
+    cut = dedup_lines(docs, columns=(kept, lines, deleted))
+    new = {"text": F.col(kept)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(deleted) > 0, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class; rows with a null doc_id stay, of equal rows one stays."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
-    n, distinct = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return kept if n == distinct else kept.dropDuplicates()
+    """Keeps one row of each class of near duplicates: that of least doc_id.
+
+    Rows are decided one by one, so a row goes by its own text and not by another one's of the same doc_id.  Null doc_ids
+    come last; of rows with equal doc_ids in one class, repeated rows among them, one stays (that of least hash of the
+    text); null texts count as empty, and one row of those stays; an empty table gives no rows.
+    """
+    row, gone_row = fresh(docs.columns, "__row", "__gone")
+    docs_in_order = number_rows(docs, row, nulls_last=True)
+    classes = near_classes(docs_in_order.select(F.col(row).alias("row"), "text"))
+    gone = materialise(classes.where("row != class_row").select(F.col("row").alias(gone_row)), "near-gone", small=True)
+    return docs_in_order.join(gone.hint("merge"), F.col(row) == F.col(gone_row), "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with an occurrence of a benchmark window."""
-    found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = materialise(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct(), "contaminated")
-    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["__bad"], "left_anti")
+    """Drops documents with an occurrence of a benchmark window.
+
+    Rows are decided one by one, whatever their doc_ids; null and empty texts have no windows and stay; very long texts
+    are read whole; an empty table, or an empty benchmark, gives the rows of its input.
+    """
+    row, bad_row = fresh(docs.columns, "__row", "__bad")
+    docs_in_order = number_rows(docs, row)
+    found = contamination(docs_in_order.select(F.col(row).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    bad = materialise(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(bad_row)), "contaminated", small=True)
+    return docs_in_order.join(bad.hint("merge"), F.col(row) == F.col(bad_row), "left_anti").select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
