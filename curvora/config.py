@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 
+# Names, order and defaults of the parameters of both stages.
 @dataclasses.dataclass(frozen=True)
 class SegmentationConfig:
     method: str = "hsv"

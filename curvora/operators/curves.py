@@ -11,6 +11,7 @@ from ..plans.chain import Step
 ZONES = (("full", 0.0, 1.0), ("proximal", 0.0, 1.0 / 3), ("middle", 1.0 / 3, 2.0 / 3), ("distal", 2.0 / 3, 1.0))
 #: Points below which only their number is reported; guards against division by zero.
 MIN_POINTS, EPS = 5, 1e-8
+# Names of the features.
 SIGNAL = (
     "n_points mean median std var min max range mean_abs max_abs pos_frac neg_frac zero_cross_rate energy energy_density rms "
     "q25 q75 iqr abs_q95 pos_sum neg_abs_sum pos_neg_ratio auc abs_auc linear_slope roughness roughness_std high_abs_frac_p90 high_abs_mean_p90"

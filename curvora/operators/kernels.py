@@ -106,6 +106,7 @@ def separate(points: DataFrame, keys: list[str], order: str = "i", value: str =
     return points.groupBy(*keys).applyInPandas(run, schema)
 
 
+# Names of the features.
 PEAK_FEATURES = "count density height_mean height_max prominence_mean prominence_max width_mean width_max".split()
 
 

@@ -11,6 +11,7 @@ from ..plans.chain import Chain, Step
 
 #: Columns that order the points of a line; no two rows agree in all of them and in l_partkey.
 ORDER = "l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
+# Fixed values.
 #: Seven rates in order of plot number modulo 7, and the three classes they fall into.
 RATES = (0, 25, 50, 75, 100, 125, 150)
 CLASSES = {0: "Low", 25: "Low", 50: "Medium", 75: "Medium", 100: "Medium", 125: "High", 150: "High"}

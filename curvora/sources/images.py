@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names that are images.
+# Fixed value: suffixes of image files.
 SUFFIXES = "*.{tif,tiff,TIF,TIFF,jpg,jpeg,JPG,JPEG,png,PNG}"
 NAME = r"^([A-Za-z0-9]+)_([0-9]+)_([A-Za-z0-9]+)_([0-9]+)_(Leaf[0-9]+)_([0-9]+)(_[a-z_]+)?$"
 
