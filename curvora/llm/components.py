@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, release
+from .common import is_empty, materialise, narrow, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")), "cc-least", small=True)
     least = least.select(F.col("u").alias("lu"), F.least("m", "u").alias("m"))
-    joined = pairs.join(least, pairs["u"] == least["lu"])
+    joined = narrow(pairs.join(least, pairs["u"] == least["lu"]))
     if large:  # every larger neighbour of u is tied to the least one around u
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its smaller neighbours are tied to the least one

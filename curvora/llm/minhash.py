@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, number_rows, read_table, release
+from .common import is_empty, materialise, narrow, number_rows, read_table, release
 from .components import connected_components
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band: at 0.8 a link is missed by all bands with probability 5e-8.
@@ -173,7 +173,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b and others), texts (rep, text): adds the texts, ta and tb."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select(*pairs.columns, "ta", "tb")
+    return narrow(pairs.hint("merge").join(left, "a")).hint("merge").join(right, "b").select(*pairs.columns, "ta", "tb")
 
 
 def _tables(batch: pa.RecordBatch, ids: WordIds) -> Iterator[tuple]:
@@ -200,7 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sims = [similarity(x[2], y[2]) for x, y in _tables(batch, ids)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, sim double")
+    return narrow(with_texts(pairs, texts)).mapInArrow(run, "a long, b long, sim double")
 
 
 def names(x: tuple, hub: tuple, threshold: float, least: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float, int, int, bool, bool, bool, bool]:
@@ -252,7 +252,7 @@ def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), listed, *columns], ["rep", "hub", "names", "sim", "allowed", "has", "needs", "m1", "m2", "m3", "m4"])
 
     schema = "rep long, hub long, names array<struct<key:long,w:double,inside:boolean>>, sim double, allowed double, has long, needs long, m1 boolean, m2 boolean, m3 boolean, m4 boolean"
-    return with_texts(pairs, texts).mapInArrow(run, schema)
+    return narrow(with_texts(pairs, texts)).mapInArrow(run, schema)
 
 
 def _joined_keys(n: int, bands: int) -> F.Column:
@@ -278,10 +278,10 @@ def _central_hubs(members: DataFrame) -> DataFrame:
     A key's hub is the first in place among those of the keys that its members are in, so that the many keys of one
     family of texts have few hubs.
     """
-    first = members.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("h"))
-    best = members.join(first, F.col("key") == F.col("k")).groupBy(F.col("rep").alias("r")).agg(F.min("h").alias("h"))
-    hubs = materialise(members.join(best, F.col("rep") == F.col("r")).groupBy(F.col("key").alias("k")).agg(F.min("h").alias("h")), "near-hubs", small=True)
-    return members.join(hubs, F.col("key") == F.col("k")).select("rep", "n", "place", F.col("h.rep").alias("hub")).where("rep != hub").distinct()
+    first = narrow(members.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("h")))
+    best = narrow(narrow(members.join(first, F.col("key") == F.col("k"))).groupBy(F.col("rep").alias("r")).agg(F.min("h").alias("h")))
+    hubs = materialise(narrow(members.join(best, F.col("rep") == F.col("r"))).groupBy(F.col("key").alias("k")).agg(F.min("h").alias("h")), "near-hubs", small=True)
+    return narrow(members.join(hubs, F.col("key") == F.col("k"))).select("rep", "n", "place", F.col("h.rep").alias("hub")).where("rep != hub").distinct()
 
 
 def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -293,9 +293,9 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
     tied = _classed(ends, classes)
     if before is not None:
         tied = tied.join(before, F.col("c") == F.col("old"), "left").select("hub", F.coalesce("new", "c").alias("c"))
-    tied = tied.select("hub", "c").distinct()
-    least = tied.groupBy(F.col("hub").alias("lh")).agg(F.min("c").alias("m"))
-    own = tied.join(least, F.col("hub") == F.col("lh")).groupBy(F.col("c").alias("old")).agg(F.min("m").alias("new"))
+    tied = narrow(tied.select("hub", "c").distinct())
+    least = narrow(tied.groupBy(F.col("hub").alias("lh")).agg(F.min("c").alias("m")))
+    own = narrow(narrow(tied.join(least, F.col("hub") == F.col("lh"))).groupBy(F.col("c").alias("old")).agg(F.min("m").alias("new")))
     if before is not None:
         after = before.select(F.col("old").alias("o"), F.col("new").alias("n")).join(own, F.col("n") == F.col("old"), "left").select(F.col("o").alias("old"), F.coalesce("new", "n").alias("new"))
         own = own.join(before.select(F.col("old").alias("bo")), F.col("old") == F.col("bo"), "left_anti").unionByName(after)
@@ -305,37 +305,37 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
 def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float, step: int) -> tuple[DataFrame, DataFrame]:
     """For the groups of two or more classes: (rep, hub), the members of one with many pairs of them and its text of most
     links; and (a, b), the pairs of different classes of one with few."""
-    marks = beside.groupBy(F.col("hub").alias("mh")).agg(((F.max("m1") & F.max("m2")) | F.max("m3")).alias("loose"), F.max("m4").alias("repeats"))
+    marks = narrow(beside.groupBy(F.col("hub").alias("mh")).agg(((F.max("m1") & F.max("m2")) | F.max("m3")).alias("loose"), F.max("m4").alias("repeats")))
     rows = _classed(beside, classes).join(ties, F.col("c") == F.col("old"), "left").join(marks, F.col("hub") == F.col("mh"))
     use = F.when(F.col("loose"), F.col("names")).otherwise(F.filter("names", lambda x: ~x["inside"])).alias("names")
     allowed = F.when(F.col("repeats"), 1 - threshold).otherwise(F.col("allowed")).alias("allowed")
-    rows = materialise(rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), use, allowed, "m1", "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs")), "near-names")
+    rows = materialise(rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), use, allowed, "m1", "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs")), "near-names", small=True)
     keep = ("rep", "hub", "c", "allowed", "m1", "has", "needs")
     each = rows.select(*keep, F.explode("names").alias("x")).select(*keep, "x.*")
     # Names of one class alone belong to no pair that is looked for, nor do names in the hub without a text that isn't
     # similar to it; so they may stand first, and the others follow by frequency.
-    mixed = each.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df"), F.max(~F.col("inside") | F.col("m1")).alias("use")).where("c0 != c1 and use").select("k", "df")
-    live = materialise(each.join(mixed, F.col("key") == F.col("k")).drop("k", "m1"), "near-live")
+    mixed = narrow(each.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df"), F.max(~F.col("inside") | F.col("m1")).alias("use")).where("c0 != c1 and use").select("k", "df"))
+    live = materialise(each.join(mixed, F.col("key") == F.col("k")).drop("k", "m1"), "near-live", small=True)
     mass = rows.select(F.col("rep").alias("r"), F.col("hub").alias("rh"), F.aggregate("names", F.lit(0.0), lambda a, x: a + x["w"]).alias("mass"))
     own = W.partitionBy("rep", "hub")
     before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    first = live.withColumn("before", before).withColumn("live", F.sum("w").over(own)).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
+    first = narrow(live.withColumn("before", before).withColumn("live", F.sum("w").over(own))).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
     first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "c", "has", "needs"), "near-first", small=True)
     # A text stays in a group where some text of another class needs no more names in common than it has.
-    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("needs").alias("least"))
-    top = counted.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top"))
-    needs = counted.join(top.withColumnRenamed("k", "tk"), F.col("k") == F.col("tk")).groupBy("k", F.col("top.c").alias("main")).agg(F.min("least").alias("all"), F.min(F.when(F.col("c") != F.col("top.c"), F.col("least"))).alias("other"))
-    first = first.join(needs, F.col("key") == F.col("k")).where(F.when(F.col("c") == F.col("main"), F.col("other")).otherwise(F.col("all")) <= F.col("has")).select("key", "rep", "c")
-    first = materialise(first.join(pairs.select(F.col("rep").alias("pr"), "n", "place").distinct(), F.col("rep") == F.col("pr")).drop("pr"), "near-viable", small=True)
+    counted = narrow(first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("needs").alias("least")))
+    top = narrow(counted.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top")))
+    needs = narrow(narrow(counted.join(top.withColumnRenamed("k", "tk"), F.col("k") == F.col("tk"))).groupBy("k", F.col("top.c").alias("main")).agg(F.min("least").alias("all"), F.min(F.when(F.col("c") != F.col("top.c"), F.col("least"))).alias("other")))
+    first = narrow(first.join(needs, F.col("key") == F.col("k"))).where(F.when(F.col("c") == F.col("main"), F.col("other")).otherwise(F.col("all")) <= F.col("has")).select("key", "rep", "c")
+    first = materialise(first.join(narrow(pairs.select(F.col("rep").alias("pr"), "n", "place").distinct()), F.col("rep") == F.col("pr")).drop("pr"), "near-viable", small=True)
     # By key and class first, so that a key with very many members makes few rows.
-    counted = first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("place").alias("h"))
-    groups = counted.groupBy("k").agg(F.count("*").alias("classes"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "c")).alias("top"), F.min("h").alias("h")).where("classes > 1")
+    counted = narrow(first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("place").alias("h")))
+    groups = narrow(counted.groupBy("k").agg(F.count("*").alias("classes"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "c")).alias("top"), F.min("h").alias("h")).where("classes > 1"))
     few = F.col("size") * F.col("size") - F.col("same") <= 2 * min(DIRECT_PAIRS << step, MOST_DIRECT_PAIRS) * F.col("size")
-    placed = materialise(first.join(groups.select("k", few.alias("few"), F.col("top.c").alias("main"), F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups")
+    placed = materialise(first.join(groups.select("k", few.alias("few"), F.col("top.c").alias("main"), F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups", small=True)
     pairs = materialise(placed.where(~F.col("few") & (F.col("rep") != F.col("hub"))).select("rep", "n", "place", "hub").distinct(), "near-pairs", small=True)
     small = placed.where("few").select("key", "rep", "c", "main")
     other = small.where("c != main").select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
-    direct = small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc"))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+    direct = narrow(small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc")))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
     direct = materialise(direct, "near-direct", small=True)
     release(rows, live, first, placed)
     return pairs, direct
@@ -348,15 +348,15 @@ def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts:
     members, and a group of names outside it hasn't got it; so places of hubs rise from step to step, and the search ends.
     """
     placed = _classed(members, classes)
-    mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("k")
-    degree = links.select(F.explode(F.array("src", "dst")).alias("e")).groupBy("e").agg(F.count("*").alias("d"))
-    mixed = placed.join(mixed, F.col("key") == F.col("k")).join(degree, F.col("rep") == F.col("e"), "left")
+    mixed = narrow(placed.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("k"))
+    degree = narrow(links.select(F.explode(F.array("src", "dst")).alias("e")).groupBy("e").agg(F.count("*").alias("d")))
+    mixed = narrow(placed.join(mixed, F.col("key") == F.col("k"))).join(degree, F.col("rep") == F.col("e"), "left")
     mixed = materialise(mixed.select("key", "rep", "n", F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "rep").alias("place")), "near-mixed")
     pairs = materialise(_central_hubs(mixed), "near-pairs", small=True)
     release(mixed)
     links, direct, ties = [], [], None
     while not is_empty(pairs):
-        least = pairs.groupBy("hub").agg(F.min("n").alias("least"))
+        least = narrow(pairs.groupBy("hub").agg(F.min("n").alias("least")))
         beside = materialise(beside_hubs(pairs.join(least, "hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "least"), texts, threshold), "near-beside")
         links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found", small=True))
         ties = _ties(links[-1], classes, ties)
