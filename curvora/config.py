@@ -7,7 +7,7 @@ import json
 from pathlib import Path
 
 
-# Names, order and defaults of the parameters of both stages.
+# Names, order and defaults of the parameters of the stages.
 @dataclasses.dataclass(frozen=True)
 class SegmentationConfig:
     method: str = "hsv"
@@ -39,6 +39,21 @@ class SamplingConfig:
     min_sampling_line_length: float = 20.0
 
 
+@dataclasses.dataclass(frozen=True)
+class DetectionConfig:
+    peak_polarity: str = "bright"
+    middle_min_fraction: float = 0.35
+    middle_max_fraction: float = 0.70
+    expected_peak_fraction: float = 0.50
+    center_weight_sigma: float = 0.12
+    smoothing_window_length: int = 15
+    smoothing_polyorder: int = 2
+    min_prominence: float = 6.0
+    min_width_fraction: float = 0.01
+    max_peak_position_range: float = 0.20
+    min_detected_lines: int = 3
+
+
 def load(kind: type, path: str):
     """A config from a file; unknown keys are an error that names them in order."""
     text = Path(path).read_text()

@@ -108,14 +108,13 @@ def curvature(source: str = "grad", keys: str = "curve_id") -> Step:
 
     def text(d: Spark) -> str:
         agg = {
-            "n_points": "cast(count(*) as bigint)", "mean": "avg(k)", "median": d.pct("k", 0.5), "std": "stddev_pop(k)", "min": "min(k)", "max": "max(k)", "range": "max(k) - min(k)", "q25": d.pct("k", 0.25), "q75": d.pct("k", 0.75),
-            "q90": d.pct("k", 0.9), "q95": d.pct("k", 0.95), "energy": "sum(k * k)", "rms": "sqrt(avg(k * k))", "sum": "sum(k)", "auc": "sum(area)",
+            "n_points": "cast(count(*) as bigint)", "mean": "avg(k)", "median": d.pct("k", 0.5), "std": "stddev_pop(k)", "var": "var_pop(k)", "min": "min(k)", "max": "max(k)", "range": "max(k) - min(k)", "q25": d.pct("k", 0.25), "q75": d.pct("k", 0.75),
+            "iqr": f"{d.pct('k', 0.75)} - {d.pct('k', 0.25)}", "q95": d.pct("k", 0.95), "energy": "sum(k * k)", "energy_density": "avg(k * k)", "rms": "sqrt(avg(k * k))",
         }
         cols = ", ".join(f"{v} curv_{n}" if n == "n_points" else f"{r6(v)} curv_{n}" for n, v in agg.items())
         return f"""
         select {keys}, {cols} from (
-          select *, (k + lag(k) over w) / 2 * (x - lag(x) over w) area from (select *, abs(d2) / power(1 + d1 * d1, cast(1.5 as double)) k from {source} where d1 is not null and d2 is not null)
-          window w as (partition by {keys} order by x)) group by {keys}"""
+          select *, abs(d2) / power(1 + d1 * d1, cast(1.5 as double)) k from {source} where d1 is not null and d2 is not null) t group by {keys}"""
 
     return ("curvature", text)
 

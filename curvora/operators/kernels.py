@@ -5,6 +5,8 @@ Spark deals the groups out; each is bounded by the width of a curve or an image,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,9 +39,9 @@ def prominences(y: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, lefts, rights
 
 
-def half_widths(y: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-    """Width in points at half the prominence, by linear interpolation."""
-    out = np.zeros(len(peaks))
+def half_edges(y: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each peak's sides cross half its prominence, in points, by linear interpolation."""
+    left, right = np.zeros(len(peaks)), np.zeros(len(peaks))
     for n, p in enumerate(peaks):
         level = y[p] - prominence[n] / 2
         i, j = p, p
@@ -47,10 +49,15 @@ def half_widths(y: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, lefts:
             i -= 1
         while j < rights[n] and y[j] > level:
             j += 1
-        left = i + (level - y[i]) / (y[i + 1] - y[i]) if y[i] < level else float(i)
-        right = j - (level - y[j]) / (y[j - 1] - y[j]) if y[j] < level else float(j)
-        out[n] = right - left
-    return out
+        left[n] = i + (level - y[i]) / (y[i + 1] - y[i]) if y[i] < level else float(i)
+        right[n] = j - (level - y[j]) / (y[j - 1] - y[j]) if y[j] < level else float(j)
+    return left, right
+
+
+def half_widths(y: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    """Width in points at half the prominence."""
+    left, right = half_edges(y, peaks, prominence, lefts, rights)
+    return right - left
 
 
 def spaced(peaks: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
@@ -110,30 +117,45 @@ def separate(points: DataFrame, keys: list[str], order: str = "i", value: str =
 PEAK_FEATURES = "count density height_mean height_max prominence_mean prominence_max width_mean width_max".split()
 
 
-def peak_features(points: DataFrame, keys: list[str], x: str = "x", value: str = "peak", fraction: float = 0.1, min_points: int = 5) -> DataFrame:
-    """Number, density, heights, prominences and widths of peaks with a prominence over a fraction of the p5-p95 span."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(x, kind="stable")
-        pos, y = frame[x].to_numpy(float), frame[value].to_numpy(float)
-        pos, y = pos[np.isfinite(y)], y[np.isfinite(y)]
-        row = dict.fromkeys(PEAK_FEATURES, np.nan)
-        if len(y) >= min_points:
-            lo, hi = np.percentile(y, [5, 95])
-            peaks = local_maxima(y)
-            prominence, lefts, rights = prominences(y, peaks)
-            use = prominence >= max(fraction * (hi - lo), np.finfo(float).eps)
-            peaks, prominence, lefts, rights = peaks[use], prominence[use], lefts[use], rights[use]
-            row |= {"count": float(len(peaks)), "density": len(peaks) / len(y)}
-            if len(peaks):
-                width = half_widths(y, peaks, prominence, lefts, rights) * float(np.median(np.diff(pos)))
-                for name, v in (("height", y[peaks]), ("prominence", prominence), ("width", width)):
-                    row |= {f"{name}_mean": float(v.mean()), f"{name}_max": float(v.max())}
-        return pd.DataFrame([{k: frame[k].iloc[0] for k in keys} | {f"peak_{k}": v for k, v in row.items()}])
+def peak_row(pos: np.ndarray, y: np.ndarray, fraction: float = 0.1, min_points: int = 5) -> list[float]:
+    """The features of one curve in the order of ``PEAK_FEATURES``; undefined ones are NaN."""
+    pos, y = pos[np.isfinite(y)], y[np.isfinite(y)]
+    row = dict.fromkeys(PEAK_FEATURES, np.nan)
+    if len(y) >= min_points:
+        lo, hi = np.percentile(y, [5, 95])
+        peaks = local_maxima(y)
+        prominence, lefts, rights = prominences(y, peaks)
+        use = prominence >= max(fraction * (hi - lo), np.finfo(float).eps)
+        peaks, prominence, lefts, rights = peaks[use], prominence[use], lefts[use], rights[use]
+        row |= {"count": float(len(peaks)), "density": len(peaks) / len(y)}
+        if len(peaks):
+            width = half_widths(y, peaks, prominence, lefts, rights) * float(np.median(np.diff(pos)))
+            for name, v in (("height", y[peaks]), ("prominence", prominence), ("width", width)):
+                row |= {f"{name}_mean": float(v.mean()), f"{name}_max": float(v.max())}
+    return list(row.values())
+
+
+def separated_peak_features(points: DataFrame, keys: list[str], order: str = "i", x: str = "x", value: str = "value") -> DataFrame:
+    """Number, density, heights, prominences and widths of the peaks of each curve above its baseline.
+
+    Each curve is gathered into one row of arrays, and batches of such rows are worked on together: one shuffle, and no
+    frame for each curve.
+    """
+    curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("y")))).alias("p"))
+    curves = curves.select(*keys, F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for xs, ys in zip(frame["xs"], frame["ys"], strict=True):
+                pos, y = np.asarray(xs, float), np.asarray(ys, float)
+                by = np.argsort(pos, kind="stable")
+                rows.append(peak_row(pos[by], (y - envelope(y))[by]))
+            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[f"peak_{k}" for k in PEAK_FEATURES], dtype=float)], axis=1)
 
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"peak_{k} double" for k in PEAK_FEATURES])
-    return points.select(*keys, x, value).groupBy(*keys).applyInPandas(run, schema)
+    return curves.mapInPandas(run, schema)
 
 
 # --- masks -----------------------------------------------------------------------------------------------------------

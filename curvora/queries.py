@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import assembly as S
 from .operators import curves as C
 from .operators import extras as X
 from .operators import kernels as K
@@ -86,7 +87,31 @@ def separate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.peak_features(separate_components(spark, sf_dir), ["line", "side"])
+    return K.separated_peak_features(_halves.run(spark, sf_dir).select("line", "side", "i", "x", "value"), ["line", "side"])
+
+
+def midrib_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile line with its smoothed ridge, the ridge's edges, width and score, or a note why there is none."""
+    return S.detect_lines(S.gather(A.line_chain.run(spark, sf_dir), ["line", "leaf", "sample_id"])).drop("xs", "ys")
+
+
+def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.detect_lines(S.gather(A.line_chain.run(spark, sf_dir), ["line", "leaf", "sample_id"]))
+    # The edited table: mean discounts and taxes of a part stand for the places and marks of its line, if third in its leaf.
+    edits = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_partkey").alias("line")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    asked = F.when(F.col("t") > 0.045, "yes").otherwise("no")
+    manual = edits.where("line % 5 = 2").select("line", F.format_string("%.4f", 0.4 + F.col("d")).alias("manual_split_position_fraction"), asked.alias("use_manual"), F.lit("by hand").alias("manual_notes"))
+    return S.override(found, manual, ["line"])
+
+
+def manual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines after the override from an edited table of split places."""
+    return _adjusted(spark, sf_dir).drop("xs", "ys")
+
+
+def curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 696 features, descriptors included, of each half-curve."""
+    return S.curve_features(_adjusted(spark, sf_dir), ["line", "leaf", "sample_id"])
 
 
 def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +160,6 @@ def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("position", rank)
 
 
-KERNELS = {f.__name__: f for f in (separate_components, peak_features, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
+KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
 QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
 ORACLES = {name: chain.oracle() for name, chain in CHAINS.items()}

@@ -16,7 +16,7 @@ def test_peak_with_its_prominence_and_width():
     assert peaks.tolist() == [2, 4]
     prominence, lefts, rights = K.prominences(y, peaks)
     assert prominence.tolist() == [5, 1]
-    assert K.half_widths(y, peaks, prominence, lefts, rights)[0] == pytest.approx(0.625 * 2, abs=0.7)
+    assert K.half_widths(y, peaks, prominence, lefts, rights)[0] == pytest.approx(1.25)
 
 
 def test_plateaus_count_once_and_ends_do_not():
