@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,15 +103,26 @@ def envelope(y: np.ndarray, distance: int = 7, window: int = 21) -> np.ndarray:
 
 
 def separate(points: DataFrame, keys: list[str], order: str = "i", value: str = "value") -> DataFrame:
-    """Split each curve into its smooth baseline (meso) and the rest (peak)."""
+    """Split each curve into its smooth baseline (meso) and the rest (peak).
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        base = envelope(frame[value].to_numpy(float))
-        return frame.assign(meso=base, peak=frame[value].to_numpy(float) - base)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", meso double, peak double"
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    Curves are gathered into rows of arrays, worked on in batches and spread again; ties of the order go by the other columns.
+    """
+    others = [order, *(c for c in points.columns if c not in keys and c != order)]
+    curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("__p"))
+    curves = curves.withColumn("__y", F.transform("__p", lambda p: p[value].cast("double"))).select("__y", F.struct(*keys, "__p").alias("__row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            ys = [np.array(y, float) for y in batch.column(0).to_pylist()]
+            base = [envelope(y) for y in ys]
+            rest = [y - b for y, b in zip(ys, base, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(base, kind), pa.array(rest, kind)], ["__row", "__meso", "__peak"])
+
+    split = curves.mapInArrow(run, f"__row {curves.schema['__row'].dataType.simpleString()}, __meso array<double>, __peak array<double>")
+    each = split.select("__row", F.posexplode("__row.__p").alias("__at", "__q"), "__meso", "__peak")
+    own = {c: F.col(f"__row.{c}") for c in keys} | {c: F.col(f"__q.{c}") for c in others}
+    return each.select(*[own[c].alias(c) for c in points.columns], F.get("__meso", "__at").alias("meso"), F.get("__peak", "__at").alias("peak"))
 
 
 # Names of the features.

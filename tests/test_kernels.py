@@ -98,3 +98,15 @@ def test_models_tell_separated_classes():
     found = K.fit_predict(frame[frame.block != 1], frame[frame.block == 1], [f"f{k}" for k in range(4)])
     good = [r["true_treatment"] == r["predicted_treatment"] for r in found if r["model"] != "pls_da"]
     assert len(found) == 30 and all(good)
+
+
+def test_separation_of_many_curves_equals_each_alone(spark):
+    rng = np.random.default_rng(5)
+    curves = {k: rng.normal(size=n).cumsum() for k, n in ((1, 40), (2, 3), (3, 1))}
+    points = spark.createDataFrame([(k, i, float(v)) for k, y in curves.items() for i, v in enumerate(y)] + [(4, 0, None), (4, 1, 2.0)], "k int, i int, value double")
+    found = K.separate(points, ["k"]).toPandas().sort_values("i")
+    assert list(found.columns) == ["k", "i", "value", "meso", "peak"] and len(found) == 46
+    for k, y in curves.items():
+        own = found[found["k"] == k]
+        assert own["value"].tolist() == y.tolist()
+        assert own["meso"].to_numpy() == pytest.approx(K.envelope(y)) and (own["meso"] + own["peak"]).to_numpy() == pytest.approx(y)
