@@ -9,6 +9,7 @@ pair of every fragment.  Spark partitions the documents and nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -29,7 +30,8 @@ from .common import read_table
 MEMO_ENTRIES, MEMO_CHARS = 200_000, 64
 # Fixed values of the vocabulary's file format: the suffix of a word's last symbol, its pre-tokenising pattern.
 END = "</w>"
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = regex.compile(PATTERN)
 #: Characters that str.split() takes for white space although the pattern's \s does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -41,6 +43,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def unassigned() -> np.ndarray:
+    """Marks the code points that Python's Unicode tables leave unassigned; other libraries' tables may have them."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+@functools.cache
+def library_rules() -> tuple:
+    """The tokenizers library's normal form with small letters, and its split into words, by its own tables."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
+
+
+def has_unassigned(text: str) -> bool:
+    return not text.isascii() and bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+
 #: Fragments of more bytes are merged by a heap, one by one; shorter ones all at once.
 LONG = 256
 NEVER = np.int32(2**31 - 1)
@@ -185,7 +205,7 @@ class Encoder:
                 words += (c[:-1].encode("utf-8"), c[-1].encode("utf-8"))
                 counts.append(2)
             else:
-                found = WORDS.findall(c)
+                found = [w for w, _ in library_rules()[1].pre_tokenize_str(c)] if has_unassigned(c) else WORDS.findall(c)
                 words += [w.encode("utf-8") for w in found]
                 counts.append(len(found))
         ids, n = self.encode_words(words)
@@ -232,9 +252,12 @@ class Encoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # capital sigma: the same small letter everywhere
-        text = text.lower()
+        if has_unassigned(text):
+            text = library_rules()[0].normalize_str(text)
+        elif not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma: the same small letter everywhere
+        else:
+            text = text.lower()
         return [c for c in regex.split(r"\s+", text) if c] if SEPARATORS.search(text) else text.split()
 
 

@@ -50,6 +50,23 @@ def test_bpe_random_texts_and_forced_cuts():
     assert enc.cut.any() and not enc.cut[ord("t"), ord("h")]
 
 
+def test_bpe_of_code_points_of_every_plane():
+    from tokenizers import Tokenizer
+
+    # Planes without any assigned character are alike; some of their code points stand for them.
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or 0xE0000 <= c < 0xE1000 or c % 997 == 0)]
+    texts = [" ".join(f"x{c}1" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    t = Tokenizer.from_file(tokenizer_file())
+    t.no_truncation()
+    t.no_padding()
+    wrong, enc = [], Encoder(tokenizer_file())
+    for i in range(0, len(texts), 256):
+        part = texts[i : i + 256]
+        expected = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(part, add_special_tokens=False)]
+        wrong += [i + j for j, (x, y) in enumerate(zip(expected, enc.encode_many(part), strict=True)) if x != y[0]]
+    assert not wrong
+
+
 def test_bpe_decode_round_trip(spark):
     coded = encode(docs(spark, ["hello world", None]), tokenizer_file())
     assert {r.doc_id: r.decoded for r in decode(coded, tokenizer_file()).collect()} == {0: "hello</w> world</w>", 1: ""}
