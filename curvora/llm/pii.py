@@ -1,15 +1,19 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction of further identifiers.
 
-The base finds e-mail addresses, IP addresses, card and phone numbers.  They seed a graph of lexical patterns and
-instances: an instance is an identifier-like token, a pattern the words beside it.  Spark scores the graph iteratively:
-a pattern's confidence is the share of its occurrences that stand at trusted instances, an instance's score is one minus
-the product of its patterns' doubts; trusted instances raise further patterns.  Occurrences of instances that patterns
-of high confidence have brought in are added as spans of kind ``other``.
+The base finds e-mail addresses, IP addresses, card and phone numbers.  They and key-like tokens (long
+mixtures of letters and digits) seed a graph of lexical patterns and instances.  An instance is a token that holds a digit
+or follows one of the signs of an assignment or quotation; a pattern is made of the words beside it.  Spark scores the
+graph iteratively: a pattern's confidence is the share of its occurrences that stand at trusted instances, an instance's
+score is one minus the product of its patterns' doubts; trusted instances raise further patterns, until a round adds
+neither.  Occurrences of trusted instances beside patterns of high confidence are added as spans of kind ``other``, and
+their occurrences elsewhere if most of them stand beside such patterns (the number 7 may be a password, but mostly isn't);
+a key-like token that is never beside such a pattern isn't a span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,13 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, read_table
+from .common import materialise, read_table, release
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of bootstrapping; least distinct trusted instances behind a pattern; least confidence of a pattern and score of an instance.
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 5, 0.8
-#: Characters of an identifier-like token.
-TOKEN_CHARS = (6, 64)
+#: Least distinct trusted instances behind a pattern; least confidence of a pattern and score of an instance.
+MIN_SUPPORT, MIN_CONFIDENCE = 5, 0.8
+#: Share of a trusted instance's occurrences beside qualified patterns from which its other occurrences are spans too.
+MIN_SHARE = 0.5
+#: Characters before and after an instance in which the words of its patterns are read: part of what a pattern is.
+LEFT_CHARS, RIGHT_CHARS = 48, 24
+#: Signs that end a token, and those of them that a token without digits may follow.
+BREAKS, OPENERS = "=:\"'<>(),;|", "=:\"'"
+#: A key-like token: 32 or more characters with letters and digits among them.
+KEY = re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{32,}")
 # The base patterns.  Look-behinds and possessive repeats only keep a search from starting twice in one run.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,7 +42,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]+")
-SPACE = re.compile(r"\s")
+#: Where a token may lie: at digits, or after a run of opening signs and blanks.
+STARTS = re.compile(r"[0-9]+|[=:\"'][=:\"' ]*")
+TAIL = re.compile(r"(\w+)?(\W*)\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -68,11 +80,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _token(text: str, at: int) -> tuple[int, int]:
-    """The stretch without white space around a position, cut at = : and quotes, without outer punctuation."""
+    """The stretch around a position up to white space or one of BREAKS, without outer punctuation."""
     start = end = at
-    while start and at - start < 128 and not text[start - 1].isspace() and text[start - 1] not in "=:\"'<>(),;|":
+    while start and not text[start - 1].isspace() and text[start - 1] not in BREAKS:
         start -= 1
-    while end < len(text) and end - at < 128 and not text[end].isspace() and text[end] not in "=:\"'<>(),;|":
+    while end < len(text) and not text[end].isspace() and text[end] not in BREAKS:
         end += 1
     while end > start and text[end - 1] in ".!?*#$%&":
         end -= 1
@@ -80,15 +92,18 @@ def _token(text: str, at: int) -> tuple[int, int]:
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Left word, two left words, and left with right word; signs between them belong to the pattern."""
-    left = text[max(0, start - 48) : start].lower().split(" ")
-    right = text[end : end + 24].lower().lstrip(" \"'").split(" ")[0].split("\n")[0]
-    head = [x.rsplit("\n", 1)[-1] for x in left if x]
-    if not head:
+    """Left word, two left words, and left with right word; signs between them belong to the pattern, blanks don't."""
+    head = text[max(0, start - LEFT_CHARS) : start].lower().rsplit("\n", 1)[-1]
+    last = TAIL.search(head)
+    signs = "".join(last[2].split())
+    if not last[1] and not signs:
         return []
-    out = [f"L {head[-1]}", f"B {head[-1]} _ {right}"]
-    if len(head) > 1:
-        out.append(f"LL {head[-2]} {head[-1]}")
+    right = text[end : end + RIGHT_CHARS].lower().lstrip(" \"'").split(" ")[0].split("\n")[0]
+    left = f"{last[1] or ''} {signs}"
+    out = [f"L {left}", f"B {left} _ {right}"]
+    before = TAIL.search(head[: last.start()])
+    if before[1]:
+        out.append(f"LL {before[1]} {''.join(before[2].split())} {left}")
     return out
 
 
@@ -113,15 +128,17 @@ def scan(docs: DataFrame) -> DataFrame:
                     base = base_spans(text)
                     taken = sorted((a, b) for _, a, b in base)
                     seen, own, i = -1, [(k, a, b) for k, a, b in base], 0
-                    for m in DIGITS.finditer(text):
-                        if m.start() < seen:
+                    for m in STARTS.finditer(text):
+                        place = m.start() if m[0][0] not in OPENERS else m.end()
+                        if place < seen:
                             continue
-                        a, b = _token(text, m.start())
+                        a, b = _token(text, place)
                         seen = max(b, m.end())
                         while i < len(taken) and taken[i][1] <= a:
                             i += 1
-                        if TOKEN_CHARS[0] <= b - a <= TOKEN_CHARS[1] and not any(x < b and a < y for x, y in taken[i : i + 4]):
-                            own.append((-1, a, b))
+                        rivals = itertools.takewhile(lambda x, end=b: x[0] < end, itertools.islice(taken, i, None))
+                        if a < b and all(y <= a for _, y in rivals):
+                            own.append((-2 if KEY.fullmatch(text, a, b) else -1, a, b))
                     bases.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base])
                     finds.append([{"kind": k, "start": a, "end": b, "instance": key(text[a:b]), "patterns": [key(p) for p in _contexts(text, a, b)]} for k, a, b in own])
                 columns = [batch.column("__row"), batch.column("doc_id"), pa.array(bases, pa.list_(span)), pa.array(finds, pa.list_(find))]
@@ -130,50 +147,64 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"__row long, doc_id long, base array<{SPAN}>, finds array<struct<kind:int,start:int,end:int,instance:long,patterns:array<long>>>")
 
 
-def bootstrap(finds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
-    """finds: seed (boolean), instance, pattern; one row an occurrence.  Returns the discovered instances, or None.
+def bootstrap(finds: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
+    """finds: seed (boolean), instance, pattern; one row an occurrence.  Returns the trusted instances (instance, score) and
+    qualified patterns (gp, confidence), or None.
 
-    Only patterns that enough distinct instances share can ever qualify, so the graph is cut to those first.
+    Only patterns that enough distinct instances share can ever qualify, so the graph is cut to those first.  Scores never
+    fall from round to round, so the rounds end.
     """
     edges = finds.groupBy("instance", "pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = materialise(edges, "pii-edges")
     shared = edges.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= min_support).select(F.col("pattern").alias("sp"))
     graph = materialise(edges.join(shared, F.col("pattern") == F.col("sp"), "left_semi"), "pii-graph")
-    known, n_before = None, 0
-    for _ in range(rounds):
+    release(edges)
+    known, before = None, (0, 0)
+    while True:
         scored = graph.withColumn("s", F.col("seed").cast("double"))
         if known is not None:
             scored = graph.join(known.select(F.col("instance").alias("ki"), F.col("score").alias("ks")), F.col("instance") == F.col("ki"), "left")
             scored = scored.withColumn("s", F.greatest(F.col("seed").cast("double"), F.coalesce("ks", F.lit(0.0))))
         good = scored.groupBy("pattern").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("confidence"), F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("support"))
-        good = materialise(good.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select(F.col("pattern").alias("gp"), F.least("confidence", F.lit(0.999)).alias("confidence")), "pii-patterns")
-        if is_empty(good):
-            return known
-        found = graph.where("not seed").join(good, F.col("pattern") == F.col("gp")).groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        known = materialise(found.where(F.col("score") >= min_confidence), "pii-instances")
-        n = known.count()
-        if n == n_before:
-            break
-        n_before = n
-    return known
-
-
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+        good = materialise(good.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select(F.col("pattern").alias("gp"), F.least("confidence", F.lit(0.999)).alias("confidence")), "pii-patterns", small=True)
+        patterns = good.count()
+        if not patterns:
+            return None
+        found = graph.join(good, F.col("pattern") == F.col("gp")).groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        release(known)
+        known = materialise(found.where(F.col("score") >= min_confidence), "pii-instances", small=True)
+        now = (patterns, known.count())
+        if now == before:
+            return known, good
+        release(good)
+        before = now
+
+
+def find_pii(docs: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Spans of personal data in every whole text: doc_id, base and spans (arrays of kind, start, end; code points).
 
     ``base`` has kinds 0 to 3 (of KINDS); ``spans`` adds discovered ones as kind 4, after them.  Defined cases: a null
     text counts as empty and has no spans; repeated rows and null doc_ids give a row each; equal tokens are one
-    instance wherever they stand; an empty table gives no rows; other columns are ignored.
+    instance wherever they stand, whatever their length; very long texts are read whole; an empty table gives no rows;
+    other columns are ignored.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(scan(docs), "pii-rows")  # written once: the row numbers stay
     finds = rows.select("__row", F.explode("finds").alias("f"))
-    edges = finds.select((F.col("f.kind") >= 0).alias("seed"), F.col("f.instance").alias("instance"), F.explode("f.patterns").alias("pattern"))
-    known = bootstrap(edges, rounds, min_support, min_confidence)
-    if known is None:
+    edges = finds.select((F.col("f.kind") != -1).alias("seed"), F.col("f.instance").alias("instance"), F.explode("f.patterns").alias("pattern"))
+    graph = bootstrap(edges, min_support, min_confidence)
+    if graph is None:
         return rows.select("doc_id", "base", F.col("base").alias("spans"))
-    fresh = finds.where("f.kind < 0").join(known.select(F.col("instance").alias("ki")), F.col("f.instance") == F.col("ki"), "left_semi")
-    span = F.struct(F.lit(len(KINDS)).alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
+    known, good = graph
+    met = finds.where("f.kind < 0").join(known.select(F.col("instance").alias("ki")), F.col("f.instance") == F.col("ki"), "left_semi")
+    met = materialise(met.select("__row", "f.start", "f.end", "f.instance", "f.patterns"), "pii-met", small=True)
+    place = ("__row", "start", "end", "instance")
+    beside = met.select(*place, F.explode("patterns").alias("p")).join(good, F.col("p") == F.col("gp"), "left_semi").select(*place).distinct()
+    beside = materialise(beside, "pii-beside", small=True)
+    share = met.groupBy("instance").agg(F.count("*").alias("n")).join(beside.groupBy(F.col("instance").alias("bi")).agg(F.count("*").alias("b")), F.col("instance") == F.col("bi"))
+    spread = share.where(F.col("b") >= MIN_SHARE * F.col("n")).select("bi")
+    fresh = beside.select(*place).unionByName(met.select(*place).join(spread, F.col("instance") == F.col("bi"), "left_semi"))
+    span = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")
     fresh = fresh.groupBy(F.col("__row").alias("__r")).agg(F.sort_array(F.collect_set(span)).alias("more"))
     both = rows.join(fresh, rows["__row"] == fresh["__r"], "left")
     return both.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", F.col("more").cast(f"array<{SPAN}>"))).alias("spans"))

@@ -218,6 +218,21 @@ def test_pii_bootstraps_identifiers_by_their_context(spark):
     assert all(len(out[i].spans) == 1 for i in range(12))
 
 
+def test_pii_finds_planted_secrets_of_any_form_and_spares_clean_rows(spark):
+    rnd = random.Random(5)
+    keys = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    odd = ["correcthorse", "7", "k9" * 300]  # no digit, one character, very long
+    texts = [f'words {i} token = "{k}" and words' for i, k in enumerate(keys)] + [f'here token = "{k}" too' for k in odd]
+    texts += [f"my password is {k} now" for k in keys[:9]] + ["my password is hunter2 now", "elsewhere hunter2 stands"]  # reached through trusted instances
+    clean = [f"room {i} of size {i * 7}, ratio: good, x = y{i}" for i in range(40)] + ["commit 0123456789abcdef0123456789abcdef01234567 alone", None, "", "=" * 5000 + " \"'" * 2000]
+    planted = {i: (keys + odd + keys[:9] + ["hunter2", "hunter2"])[i] for i in range(len(texts))}
+    got = {(r.doc_id, (texts + clean)[r.doc_id][s.start : s.end]) for r in pii.find_pii(docs(spark, texts + clean)).collect() for s in r.spans if s.kind == 4}
+    right = got & set(planted.items())
+    assert len(right) >= 0.9 * len(planted) and len(right) >= 0.9 * len(got)
+    assert {(30 + j, x) for j, x in enumerate(odd)} <= got and (len(texts) - 1, "hunter2") in got
+    assert not {i for i, _ in got if i >= len(texts)}
+
+
 def test_pii_empty_table(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
