@@ -83,14 +83,14 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def number_rows(docs: DataFrame, row: str = "__row", nulls_last: bool = False) -> DataFrame:
-    """Adds ``row``, a unique long in order of doc_id: the doc_id where it is a key; else the rows are sorted by doc_id
+def number_rows(docs: DataFrame, row: str = "__row", nulls_last: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds ``row``, a unique long in order of the key: the key itself where it is one; else the rows are sorted by key
     and text, written and numbered."""
-    n, distinct, nulls = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    n, distinct, nulls = docs.agg(F.count("*"), F.countDistinct(key), F.count_if(F.col(key).isNull())).first()
     if not nulls and n == distinct:
-        return docs.withColumn(row, F.col("doc_id").cast("long"))
+        return docs.withColumn(row, F.col(key).cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    order = [F.col(key).asc_nulls_last() if nulls_last else F.col(key).asc_nulls_first(), F.xxhash64(text)]
     return materialise(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 

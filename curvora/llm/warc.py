@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, read_table
+from .common import fresh, materialise, new_path, number_rows, read_table, release
 
 #: Payload bytes that one archive file is to hold; payloads of fewer bytes than the minimum are never revisits.
 ARCHIVE_BYTES, MIN_BYTES = 8 << 20, 0
@@ -39,15 +39,17 @@ def base32_sha1(binary: F.Column) -> F.Column:
 
 
 def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Headers only: page_id, payload_bytes, payload_digest, record_type and refers_to."""
+    """Headers only, of pages with a number (row, in order of page_id): row, page_id, payload_bytes, payload_digest,
+    record_type, refers_to (a page_id) and refers_row."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
+    heads = pages.select("row", F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
     heads = materialise(heads, "warc-heads")
-    first = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    first = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(F.struct("row", "page_id")).alias("kept"), F.count("*").alias("n"))
     first = first.where("n > 1").select(F.col("payload_digest").alias("digest"), "kept")
     both = heads.join(first, (heads["payload_digest"] == first["digest"]) & (heads["payload_bytes"] >= min_bytes), "left")
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return both.select("page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to"))
+    revisit = F.col("kept").isNotNull() & (F.col("row") != F.col("kept.row"))
+    kind = F.when(revisit, "revisit").otherwise("response").alias("record_type")
+    return both.select("row", "page_id", "payload_bytes", "payload_digest", kind, F.when(revisit, F.col("kept.page_id")).alias("refers_to"), F.when(revisit, F.col("kept.row")).alias("refers_row"))
 
 
 def _uuid(*parts: F.Column) -> F.Column:
@@ -58,36 +60,36 @@ def _uuid(*parts: F.Column) -> F.Column:
 def records(pages: DataFrame, decisions: DataFrame, files: int) -> DataFrame:
     """One record text a page, without the record end; fresh headers, no payload in revisits.
 
-    Payloads are shuffled once: they are dealt by page_id to as many partitions as there will be files, and joined there.
+    Payloads are shuffled once: they are dealt by row to as many partitions as there will be files, and joined there.
+    Characters that would end a header line are percent-encoded in the target.
     """
-    d = decisions.select(F.col("page_id").alias("d_id"), "payload_bytes", F.col("payload_digest").alias("d_digest"), "record_type", "refers_to").distinct()
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    # startswith and not ==, which would become a join key and undo the partitioning (digests are of one length)
-    rows = rows.repartition(files, "page_id").join(d.hint("merge"), (rows["page_id"] == d["d_id"]) & rows["payload_digest"].startswith(d["d_digest"]))
+    d = decisions.select(F.col("row").alias("d_row"), "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_row")
+    rows = pages.select("row", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.repartition(files, "row").join(d.hint("merge"), rows["row"] == d["d_row"])
     revisit = F.col("record_type") == "revisit"
-    uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
+    uri = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat_ws(
         EOL,
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: <"), _uuid(F.lit("record"), F.col("page_id").cast("string")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <"), _uuid(F.lit("record"), F.col("row").cast("string")), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), F.lit(DATE)),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.concat(F.lit("WARC-Identified-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.concat(F.lit("WARC-Page-ID: "), F.col("page_id").cast("string")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{EOL}WARC-Refers-To: <"), _uuid(F.lit("record"), F.col("refers_to").cast("string")), F.lit(f">{EOL}WARC-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))),
+        F.concat(F.lit("WARC-Page-ID: "), F.col("page_id").cast("string")),  # null, and so no line, without a page_id
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{EOL}WARC-Refers-To: <"), _uuid(F.lit("record"), F.col("refers_row").cast("string")), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
     )
-    return rows.select("page_id", F.concat(header, F.lit(RECORD_END), F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
+    return rows.select(F.concat(header, F.lit(RECORD_END), F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
 
 
 def write_archives(pages: DataFrame, decisions: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Archives of about ``archive_bytes`` of payload each; pages are dealt by id, so that sizes are even."""
     total = decisions.agg(F.coalesce(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)) + 600 * F.count("*"), F.lit(0))).first()[0]
     files = max(1, -(-int(total) // archive_bytes))
-    records(pages, decisions, files).select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    records(pages, decisions, files).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
     return path
 
 
@@ -130,9 +132,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for head, block in parse(_inflate(content.as_py())):
                     kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Identified-Payload-Length"])
                     if kind == "response" and (base64.b32encode(hashlib.sha1(block).digest()).decode(), len(block)) != (digest, size):
-                        raise ValueError(f"payload of page {head['WARC-Page-ID']} doesn't fit its header")
-                    to = head.get("WARC-Refers-To-Page-ID")
-                    rows.append((int(head["WARC-Page-ID"]), head["WARC-Target-URI"], kind, size, digest, int(to) if to else None, block))
+                        raise ValueError(f"payload of record {head['WARC-Record-ID']} doesn't fit its header")
+                    page, to = (int(x) if x else None for x in map(head.get, ("WARC-Page-ID", "WARC-Refers-To-Page-ID")))
+                    rows.append((page, head["WARC-Target-URI"], kind, size, digest, to, block))
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
@@ -146,15 +148,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve_revisits(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write deduplicated archives of ``pages`` (page_id, url, html) and return their records, read back.
 
-    Defined cases: a null html is an empty payload; a null url is an empty target; rows with a null page_id have no
-    record and are left out; repeated page_ids give a record for each row, and rows equal in page_id and payload are of
-    one type; among equal payloads the largest page_id is the response; an empty table gives no rows; other columns
-    are ignored.
+    Defined cases: a null html is an empty payload; a null url is an empty target; every row has a record, repeated rows
+    and null page_ids too (those records have no page id, and lose to all others); among equal payloads one record is
+    the response, of the largest page_id and, of rows equal in it, the last in an order by row; payloads of any length
+    are kept whole; an empty table gives no rows; other columns are ignored.
     """
-    pages = pages.where(F.col("page_id").isNotNull())
+    (row,) = fresh(pages.columns, "__row")
+    numbered = number_rows(pages, row, key="page_id", text="html")
+    pages = numbered.select(F.col(row).alias("row"), "page_id", "url", "html")
     decisions = materialise(decide(pages, min_bytes), "warc-decisions")
     path = path or new_path(pages.sparkSession, "warc")
-    return read_archives(pages.sparkSession, write_archives(pages, decisions, path))
+    write_archives(pages, decisions, path)
+    release(numbered, decisions)
+    return read_archives(pages.sparkSession, path)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

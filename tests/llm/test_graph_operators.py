@@ -268,17 +268,20 @@ def test_bad_audio_has_no_prints():
 
 
 def test_archives_round_trip(spark):
-    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(["<a>", "<b>\r\n\r\nWARC/1.1", "<a>", None, "", "é" * 1000, "<a>", "é" * 1000])] + [(None, "x", "<a>"), (6, "again", "<a>"), (9, None, "z" * 200_000)]
-    out = warc.resolve_revisits(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, kept string")).toPandas()
-    assert len(out) == len(rows) - 1
-    for r in out.itertuples():
-        own = [x for x in rows if x[0] == r.page_id]
-        data = (own[0][2] or "").encode()
-        assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
-        last = max(x[0] for x in rows if x[0] is not None and (x[2] or "") == (own[0][2] or ""))
-        assert (r.record_type, None if pd.isna(r.refers_to) else r.refers_to) == (("response", None) if last == r.page_id else ("revisit", last))
-        assert r.payload == (data if r.record_type == "response" else b"")
-    few = warc.decide(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string"), min_bytes=3)
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(["<a>", "<b>\r\n\r\nWARC/1.1", "<a>", None, "", "é" * 1000, "<a>", "é" * 1000])]
+    rows += [(None, "x", "<a>"), (6, "again", "<a>"), (9, None, "z" * 200_000), (10, "u\r\nv", "ten"), (None, "n1", "null"), (None, "n2", "null"), (11, "e", "same"), (11, "e", "same")]
+    out = warc.resolve_revisits(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, row string")).collect()
+    # By the definition: one response a payload, of the largest page_id, and a revisit for every other row.
+    expected = []
+    for data in {(x[2] or "").encode() for x in rows}:
+        ids = sorted((x[0] for x in rows if (x[2] or "").encode() == data), key=lambda i: -1 if i is None else i)
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        expected += [(i, len(data), digest, "revisit", ids[-1], b"") for i in ids[:-1]] + [(ids[-1], len(data), digest, "response", None, data)]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in out]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    urls = sorted((x[1] or "").replace("\r", "%0D").replace("\n", "%0A") for x in rows)
+    assert sorted(r.url for r in out) == urls
+    few = warc.decide(spark.createDataFrame([(1, 1, "u", "ab"), (2, 2, "u", "ab")], "row long, page_id long, url string, html string"), min_bytes=3)
     assert {r.record_type for r in few.collect()} == {"response"}
     assert warc.resolve_revisits(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
