@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import assembly as S
 from .operators import curves as C
 from .operators import extras as X
+from .operators import geometry as G
 from .operators import kernels as K
 from .operators import midrib as M
 from .operators import modelling as P
@@ -114,6 +115,34 @@ def curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.curve_features(_adjusted(spark, sf_dir), ["line", "leaf", "sample_id"])
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    center = _center.run(spark, sf_dir).select("image_id", "x", F.col("y_line").alias("y"))
+    return G.lines_across(G.interpolated(G.with_normals(center), G.positions(center)), A.pixel_chain.run(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.round(v, 6).alias(v) for v in values])
+
+
+def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines across each raster, along the normals of its horizontal centreline."""
+    return _rounded(_lines(spark, sf_dir), ["image_id", "sample_id"], ["x_start", "y_start", "x_end", "y_end", "line_length_px"])
+
+
+def line_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the green channel under the normal lines."""
+    found = G.profiles(_lines(spark, sf_dir), A.pixel_chain.run(spark, sf_dir), "g")
+    return _rounded(found, ["image_id", "sample_id", "position_index", "n_pixels_averaged"], ["position_fraction", "y", "g_mean", "g_min", "g_max"])
+
+
+def strip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a strip of three along the smoothed, sloping centreline of each raster."""
+    center = _bounds.then(R.trimmed()).run(spark, sf_dir).select("image_id", "x", F.col("y_center_raw").alias("y"))
+    normals = G.with_normals(G.smoothed(center, 5))
+    found = G.lines_across(G.interpolated(normals, G.positions(center)), A.pixel_chain.run(spark, sf_dir), strip=3)
+    return _rounded(found, ["image_id", "sample_id", "strip_offset_px"], ["x_start", "y_start", "x_end", "y_end", "line_length_px"])
+
+
 def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clean_masks(A.pixel_chain.run(spark, sf_dir))
 
@@ -160,6 +189,21 @@ def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("position", rank)
 
 
-KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
+KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, normal_lines, line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
 QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
 ORACLES = {name: chain.oracle() for name, chain in CHAINS.items()}
+
+# Written by hand for the other engine: the normals of a horizontal centreline are columns of pixels.
+_NORMAL_LINES = f"""
+center as ({_center.oracle()}), pixel as ({A.pixel_chain.oracle()}),
+place as (select image_id, s, min(x) + (s + 1) / 6::double * (max(x) - min(x)) xc, min(y_line) yc from center, range(5) t(s) group by image_id, s),
+ray as (select p.*, side, k, m.image_id is null outside from place p cross join (values (-1), (1)) v(side) cross join range(40) r(k)
+  left join pixel m on m.mask and m.image_id = p.image_id and m.x = round_even(xc, 0) and m.y = round_even(yc + side * k * 0.5::double, 0)),
+reach as (select image_id, s, xc, yc, min(k) filter (outside and side < 0) - 1 back, min(k) filter (outside and side > 0) - 1 forth from ray group by all),
+line as (select image_id, s, xc, yc - 0.5::double * back + 0.05::double * ((back + forth) * 0.5::double) ys, yc + 0.5::double * forth - 0.05::double * ((back + forth) * 0.5::double) ye from reach where back >= 0 and back + forth > 0)"""
+ORACLES["normal_lines"] = f"""with {_NORMAL_LINES}
+select image_id, s::int sample_id, round(xc, 6) x_start, round(ys, 6) y_start, round(xc, 6) x_end, round(ye, 6) y_end, round(ye - ys, 6) line_length_px from line"""
+ORACLES["line_profiles"] = f"""with {_NORMAL_LINES},
+point as (select *, i / (n - 1)::double f, ys + i / (n - 1)::double * (ye - ys) y from (select *, unnest(range(n)) i from (select *, greatest(2, round_even(ye - ys, 0)::int + 1) n from line))),
+met as (select p.image_id, p.s, p.i, p.f, p.y, m.g from point p cross join range(-2, 3) t(o) join pixel m on m.mask and m.image_id = p.image_id and m.x = round_even(p.xc + o, 0) and m.y = round_even(p.y, 0))
+select image_id, s::int sample_id, i::int position_index, count(*) n_pixels_averaged, round(f, 6) position_fraction, round(y, 6) y, round(avg(g), 6) g_mean, min(g)::double g_min, max(g)::double g_max from met group by image_id, s, i, f, y"""
