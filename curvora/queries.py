@@ -13,6 +13,7 @@ from .operators import kernels as K
 from .operators import midrib as M
 from .operators import modelling as P
 from .operators import raster as R
+from .operators import selection as B
 from .plans.chain import Chain
 from .sources import adapters as A
 
@@ -156,11 +157,8 @@ def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy and how often each feature was chosen go by model."""
-    found = classify_blocks(spark, sf_dir)
-    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("double")
-    recall = found.groupBy("model", "true_treatment").agg(F.avg(right).alias("recall"), F.sum(right).alias("hit"), F.count("*").alias("n"))
-    return recall.groupBy("model").agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"))
+    """Accuracy, balanced accuracy and macro-F1 by model."""
+    return B.scores(classify_blocks(spark, sf_dir))
 
 
 def selection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,26 +168,32 @@ def selection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.groupBy("feature").agg(F.count("*").alias("folds")).crossJoin(n).select("feature", "folds", (F.col("folds") / F.col("n_folds")).alias("share"))
 
 
-def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each pair of line positions: plot medians of its lines, leave-one-block-out models, rank within each model."""
-    from pyspark.sql import Window as W
-
+def _pair_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plot medians of the lines of each pair of line positions."""
     lines = _features.run(spark, sf_dir)
     ids = lines.select("sample_id").distinct()
     pairs = ids.select(F.col("sample_id").alias("s1")).join(ids.select(F.col("sample_id").alias("s2")), F.col("s1") < F.col("s2"))
     pairs = pairs.select((F.col("s1") * 100 + F.col("s2")).alias("pair"), F.explode(F.array("s1", "s2")).alias("sample_id"))
     leaf = lines.join(pairs, "sample_id").groupBy("pair", "plot", "leaf").agg(*[F.median(f).alias(f) for f in P.FEATURES])
     plots = leaf.groupBy("pair", "plot").agg(*[F.median(f).alias(f) for f in P.FEATURES])
-    plots = plots.join(_plots.run(spark, sf_dir).select("plot", "block", "treatment"), "plot")
-    found = K.leave_one_block_out(plots, list(P.FEATURES), ("pair",))
-    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("double")
-    recall = found.groupBy("pair", "model", "true_treatment").agg(F.avg(right).alias("recall"), F.sum(right).alias("hit"), F.count("*").alias("n"))
-    score = recall.groupBy("pair", "model").agg(F.avg("recall").alias("balanced_accuracy"), (F.sum("hit") / F.sum("n")).alias("accuracy"))
-    rank = F.row_number().over(W.partitionBy("model").orderBy(F.round("balanced_accuracy", 9).desc(), F.round("accuracy", 9).desc(), "pair"))
-    return score.withColumn("position", rank)
+    return plots.join(_plots.run(spark, sf_dir).select("plot", "block", "treatment"), "plot")
+
+
+def exploratory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's leave-one-block-out scores and its rank within each model."""
+    found = K.leave_one_block_out(_pair_plots(spark, sf_dir), list(P.FEATURES), ("pair",))
+    return B.ranked(B.scores(found, ("pair",)), ("model",))
+
+
+def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that each model chose inside each outer training fold, and its right predictions of the outer block."""
+    chosen, found = B.nested_selection(_pair_plots(spark, sf_dir), list(P.FEATURES))
+    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("long")
+    outer = found.groupBy(F.col("block").alias("outer"), "model").agg(F.sum(right).alias("n_right"), F.count("*").alias("n"))
+    return chosen.join(outer, ["outer", "model"])
 
 
-KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, normal_lines, line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, nested_pairs)}
+KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, normal_lines, line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, exploratory_pairs, nested_pairs)}
 QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
 ORACLES = {name: chain.oracle() for name, chain in CHAINS.items()}
 
