@@ -13,6 +13,7 @@ from .sharding import op3_sharding
 from .toxicity import op6_toxicity
 from .url_filter import ORACLE as OP4
 from .url_filter import op4_url_filter
+from .warc import ORACLE_SQL as OP10
 from .warc import op10_warc
 
 QUERIES = {
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10}

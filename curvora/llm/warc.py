@@ -165,3 +165,12 @@ def resolve_revisits(pages: DataFrame, path: str | None = None, min_bytes: int =
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The decisions by their definition; page_ids are a key in the supplied tables.
+ORACLE_SQL = f"""
+with heads as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) hex, max(page_id) over (partition by coalesce(html, '')) kept from pages)
+select page_id, payload_bytes::bigint payload_bytes,
+  array_to_string([substr('{BASE32}', (((('0x' || substr(hex, (j // 4)::int * 5 + 1, 5))::int >> (15 - 5 * (j % 4)::int)) & 31) + 1)::int, 1) for j in range(32)], '') payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end record_type, case when page_id <> kept then kept end refers_to
+from heads"""
