@@ -10,6 +10,7 @@ from .line_dedup import op7_line_dedup
 from .minhash import op2_minhash
 from .pii import op9_pii
 from .sharding import op3_sharding
+from .token_counts import op13_token_counts
 from .toxicity import op6_toxicity
 from .url_filter import ORACLE as OP4
 from .url_filter import op4_url_filter
@@ -27,5 +28,6 @@ QUERIES = {
     "op8_audio": op8_audio,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10}
