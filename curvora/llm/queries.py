@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .audio import op8_audio
 from .bpe import op1_bpe
 from .decontaminate import ORACLE as OP5
@@ -9,6 +10,8 @@ from .decontaminate import op5_decontaminate
 from .line_dedup import op7_line_dedup
 from .minhash import op2_minhash
 from .pii import op9_pii
+from .ranked_search import ORACLE as OP12
+from .ranked_search import op12_ranked_search
 from .sharding import op3_sharding
 from .token_counts import op13_token_counts
 from .toxicity import op6_toxicity
@@ -28,6 +31,8 @@ QUERIES = {
     "op8_audio": op8_audio,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10, "op12_ranked_search": OP12}

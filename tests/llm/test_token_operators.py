@@ -1,11 +1,15 @@
-"""Token counts by prefix, against the sentencepiece library on every prefix, and their questions in SQL functions."""
+"""Token counts by prefix against the sentencepiece library on every prefix; alignments against loops over all pairs."""
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter as PairCounts
 
+import numpy as np
 import pytest
 
+from curvora.llm.alignment import Csr, aligner, alignment, linked_counts, tokenizer_files
 from curvora.llm.token_counts import Counter, model_file, op13_token_counts, token_counts, tokens_before, truncated, window_starts
 
 SCHEMA = "doc_id long, text string, counts string, n_bytes int, n_tokens string"
@@ -63,3 +67,70 @@ def test_the_query_over_its_table(spark, sf, library):
     out = op13_token_counts(spark, sf).collect()
     assert len(out) == len(texts)
     assert {r.doc_id: tuple(r)[1:] for r in out} == {i: (len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in texts.items()}
+
+
+ALIGNED = [t for t in ODD if len(t or "") < 1000] + ["a" * 300, "0x00ff12ab34 " * 5, "The quick brown fox", " lead", "\x00\x01", "word,\n next  one", "x y \x1c z"]
+
+
+def plainly_aligned(text):
+    """Tokens, groups and links of one text by loops over all pairs of tokens."""
+    own = aligner(*tokenizer_files())
+    raw = b" " + (text or "").encode()
+    a, b = own.a.encode(" " + (text or ""), add_special_tokens=False).ids, own.b.encode(text or "")
+    if not text or b"".join(own.a_bytes[i] for i in a) != raw or b"".join(own.b_bytes[i] for i in b) != raw:
+        return [], [], [], [], {}, {}
+    spans = []
+    for ids, names in ((a, own.a_bytes), (b, own.b_bytes)):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(names[i])))
+            at += len(names[i])
+        spans.append(out)
+    cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+    a_group, b_group = ([sum(c <= s for c in cuts) for s, _ in side] for side in spans)
+    links, overlap = PairCounts(), {}
+    for i, (s, e) in enumerate(spans[0]):
+        for j, (t, u) in enumerate(spans[1]):
+            links[a[i], b[j]] += a_group[i] == b_group[j]
+            if min(e, u) > max(s, t):
+                overlap[i, j] = min(e, u) - max(s, t)
+    return a, b, a_group, b_group, +links, overlap
+
+
+def test_sparse_products_equal_dense_ones():
+    rnd = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = (rnd.integers(0, 3, (rnd.integers(1, 8), 5)) for _ in range(2))
+        a, b = (Csr.summed(*np.nonzero(m), m[np.nonzero(m)], *m.shape) for m in (x, y))
+        out, dense = a.times(b.transposed()), np.zeros((len(x), len(y)), int)
+        dense[out.rows(), out.indices] = out.values
+        assert (dense == x @ y.T).all() and (np.diff(out.rows() * 10 + out.indices) > 0).all()
+
+
+def test_tokens_groups_and_overlaps_of_each_text(spark):
+    rows = {r.doc_id: r for r in alignment(table(spark, ALIGNED), *tokenizer_files()).collect()}
+    for i, text in enumerate(ALIGNED):
+        a, b, a_group, b_group, _, overlap = plainly_aligned(text)
+        r = rows[i]
+        assert (r.a_ids, r.b_ids, r.a_group, r.b_group) == (a, b, a_group, b_group), text
+        assert {(x.a, x.b): x.bytes for x in r.overlap} == overlap, text
+
+
+def test_links_and_their_counts_in_the_corpus(spark):
+    rnd = random.Random(8)
+    texts = [*ALIGNED, *["".join(rnd.choice(["the ", "ing", "é", "日", "0x", "un", " on", "\n", "12"]) for _ in range(rnd.randrange(1, 40))) for _ in range(40)]]
+    ids = [None, *[3] * 2, *range(10, 7 + len(texts))]
+    plain = [plainly_aligned(t) for t in texts]
+    holders, want = PairCounts(p for x in plain for p in x[4]), []
+    most = {}
+    for (a, _), n in holders.items():
+        most[a] = max(most.get(a, 0), n)
+    for i, (a, b, a_group, b_group, links, _) in zip(ids, plain, strict=True):
+        groups = ";".join(",".join(str(x) for x, h in zip(a, a_group, strict=True) if h == g) + "|" + ",".join(str(x) for x, h in zip(b, b_group, strict=True) if h == g) for g in range(max(a_group, default=-1) + 1))
+        n_best, total = (sum(n * f(p) for p, n in links.items()) for f in (lambda p: holders[p] == most[p[0]], holders.__getitem__))
+        want.append((i, len(a), len(b), max(a_group, default=-1) + 1, sum(links.values()), n_best, total, hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+    for block_links in (50, 1_500_000):  # many blocks, or one a task
+        out = linked_counts(table(spark, texts, ids).repartition(3), *tokenizer_files(), block_links=block_links)
+        got = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert linked_counts(table(spark, []), *tokenizer_files()).count() == 0
