@@ -173,37 +173,65 @@ def separated_peak_features(points: DataFrame, keys: list[str], order: str = "i"
 # --- masks -----------------------------------------------------------------------------------------------------------
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of foreground, from top left on."""
+    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edges == 1)
+    return row, first, np.nonzero(edges == -1)[1] - 1
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of n nodes, for links a - b: roots hook to lesser ones, paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        before = root.copy()
+        np.minimum.at(root, before[a], before[b])
+        np.minimum.at(root, before[b], before[a])
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = root[a[open_]], root[b[open_]]
+    return root
+
+
 def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """Labels from 1 in order of first pixel, by least-label propagation; 0 is background."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
-    big = mask.size + 1
-    while True:
-        padded = np.pad(np.where(labels, labels, big), 1, constant_values=big)
-        least = np.min([padded[1 + a : 1 + a + mask.shape[0], 1 + b : 1 + b + mask.shape[1]] for a, b in steps], axis=0)
-        new = np.where(mask, np.minimum(np.where(labels, labels, big), least), 0)
-        if (new == labels).all():
-            break
-        labels = new
-    return np.unique(labels, return_inverse=True)[1].reshape(mask.shape) + (0 if (labels == 0).any() else 1)
+    """Labels from 1 in order of first pixel; 0 is background.  Runs of neighbouring rows that touch are linked, and
+    linked runs share a label: the work follows the number of runs, not the length of a shape's paths."""
+    row, first, last = runs(mask)
+    span, reach = mask.shape[1] + 2, int(diagonal)
+    low = np.searchsorted(row * span + last, (row + 1) * span + first - reach)
+    high = np.searchsorted(row * span + first, (row + 1) * span + last + reach, side="right")
+    n = np.maximum(high - low, 0)
+    above = np.repeat(np.arange(len(row)), n)
+    below = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    label = np.unique(connected(len(row), above, below), return_inverse=True)[1] + 1
+    steps = np.zeros((mask.shape[0], mask.shape[1] + 1), int)
+    steps[row, first] = label
+    steps[row, last + 1] -= label
+    return np.cumsum(steps, axis=1)[:, :-1]
 
 
 def ellipse(size: int) -> np.ndarray:
-    """Structuring element: the pixels of the ellipse inscribed in an odd square."""
+    """Half-widths of the rows of the ellipse inscribed in an odd square."""
     size = max(1, size + 1 - size % 2)
     r = size // 2
-    dy = np.arange(-r, r + 1)
-    half = np.rint(r * np.sqrt(np.maximum(0, 1 - (dy / r) ** 2))).astype(int) if r else np.zeros(1, int)
-    return np.abs(np.arange(-r, r + 1))[None] <= half[:, None]
-
-
-def _spread(mask: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    r = len(shape) // 2
-    padded = np.pad(mask, r)
-    return np.any([padded[a : a + mask.shape[0], b : b + mask.shape[1]] for a, b in np.argwhere(shape)], axis=0)
+    return np.rint(r * np.sqrt(np.maximum(0, 1 - (np.arange(-r, r + 1) / max(r, 1)) ** 2))).astype(int)
+
+
+def _spread(mask: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Union of the shape, given by half-widths of its rows, around every pixel: for each width the rows are spread by
+    counts of foreground up to each column, so that a few images are held whatever the shape's size."""
+    r, (height, width) = len(widths) // 2, mask.shape
+    counts = np.pad(np.cumsum(mask, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+    at, out = np.arange(width), np.zeros_like(mask)
+    for w in np.unique(widths):
+        wide = counts[:, np.minimum(at + w + 1, width)] > counts[:, np.maximum(at - w, 0)]
+        for dy in np.flatnonzero(widths == w) - r:
+            out[max(0, dy) : height + min(0, dy)] |= wide[max(0, -dy) : height - max(0, dy)]
+    return out
 
 
-def clean(mask: np.ndarray, min_area: int, kernel: int) -> tuple[np.ndarray, int]:
+def clean(mask: np.ndarray, kernel: int) -> tuple[np.ndarray, int]:
     """Largest component, closed, opened and with its holes filled; and how many components there were.
 
     Background is what is reached from the top left pixel; if that is foreground, everything is filled.
@@ -221,13 +249,13 @@ def clean(mask: np.ndarray, min_area: int, kernel: int) -> tuple[np.ndarray, int
     return (opened | (outside != outside[0, 0])) if not opened[0, 0] else np.ones_like(mask), count
 
 
-def clean_masks(pixels: DataFrame, min_area: int = 2, kernel: int = 3) -> DataFrame:
+def clean_masks(pixels: DataFrame, kernel: int = 3) -> DataFrame:
     """Clean the mask of each image of a pixel table (image_id, y, x, mask)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         mask = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1), bool)
         mask[frame["y"], frame["x"]] = frame["mask"].to_numpy(bool)
-        done, count = clean(mask, min_area, kernel)
+        done, count = clean(mask, kernel)
         return frame[["image_id", "y", "x"]].assign(mask=done[frame["y"], frame["x"]], n_components=count)
 
     return pixels.select("image_id", "y", "x", "mask").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, mask boolean, n_components long")
@@ -281,22 +309,44 @@ def _correlation(x: np.ndarray) -> np.ndarray:
         return np.nan_to_num(np.corrcoef(x, rowvar=False).reshape(x.shape[1], x.shape[1]))
 
 
+def complete_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (kept, gone, distance of their farthest members) by chains of nearest neighbours on one matrix.
+
+    A chain goes from a group to its nearest one until two are each other's nearest; these merge, and the distances of
+    the union are the greater ones of both.  Of equally near groups the one before in the chain, then the first, is taken.
+    """
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    merges, chain, alive = [], [], list(range(len(d)))
+    while len(merges) < len(d) - 1:
+        if not chain:
+            alive = [i for i in alive if np.isfinite(d[i]).any()]
+            chain = [alive[0]]
+        while True:
+            at = chain[-1]
+            near = int(np.argmin(d[at]))
+            if len(chain) > 1 and d[at, chain[-2]] <= d[at, near]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((i, j, float(d[i, j])))
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[j] = d[:, j] = d[i, i] = np.inf
+    return merges
+
+
 def clusters(x: np.ndarray, threshold: float = 0.95) -> list[list[int]]:
-    """Complete linkage on 1 - |r|: clusters whose members all correlate by the threshold or more."""
-    distance = 1 - np.abs(_correlation(x))
-    groups = [[i] for i in range(x.shape[1])]
-    while len(groups) > 1:
-        best = min(((max(distance[a, b] for a in p for b in q), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j), default=(2.0, 0, 0))
-        if best[0] > 1 - threshold:
-            break
-        groups[best[1]] += groups.pop(best[2])
-    return groups
+    """Complete linkage on 1 - |r|: clusters whose members all correlate by the threshold or more, by first member."""
+    r = np.abs(_correlation(x))
+    near = [(i, j) for i, j, d in complete_linkage(np.clip(1 - r, 0, 1)) if d <= 1 - threshold]
+    roots = connected(x.shape[1], *(np.array([m[k] for m in near], int) for k in (0, 1)))
+    return [np.flatnonzero(roots == root).tolist() for root in np.unique(roots)]
 
 
-def medoids(x: np.ndarray, names: list[str], threshold: float = 0.95) -> list[int]:
+def medoids(x: np.ndarray, names: list[str], threshold: float = 0.95, groups: list[list[int]] | None = None) -> list[int]:
     """One feature a cluster: greatest mean |r|, then variance, then first name."""
     r, var = np.abs(_correlation(x)), x.var(axis=0)
-    chosen = [min(g, key=lambda i: (-round(r[i, g].mean(), 12), -round(var[i], 12), names[i])) for g in clusters(x, threshold)]
+    chosen = [min(g, key=lambda i: (-round(r[i, g].mean(), 12), -round(var[i], 12), names[i])) for g in (clusters(x, threshold) if groups is None else groups)]
     return sorted(chosen, key=lambda i: names[i])
 
 
@@ -309,22 +359,53 @@ def anova_f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(f), f, 0.0)
 
 
-def mrmr(x: np.ndarray, relevance: np.ndarray, names: list[str], n: int = 3) -> list[int]:
-    """Greedy: scaled relevance less mean |r| to those chosen; ties by relevance, then name."""
+def mrmr(x: np.ndarray, relevance: np.ndarray, names: list[str], n: int = 3) -> list[tuple[int, float, float]]:
+    """Greedy: scaled relevance less mean |r| to those chosen; ties by relevance, then name.  (feature, mean |r|, score)."""
     scaled, r, chosen = relevance / max(relevance.max(), 1e-300), np.abs(_correlation(x)), []
     while len(chosen) < min(n, x.shape[1]):
-        score = {i: scaled[i] - (r[i, chosen].mean() if chosen else 0.0) for i in range(x.shape[1]) if i not in chosen}
-        chosen.append(min(score, key=lambda i: (-round(score[i], 12), -round(relevance[i], 12), names[i])))
+        own = [i for i, _, _ in chosen]
+        near = {i: r[i, own].mean() if own else 0.0 for i in range(x.shape[1]) if i not in own}
+        best = min(near, key=lambda i: (-round(scaled[i] - near[i], 12), -round(relevance[i], 12), names[i]))
+        chosen.append((best, float(near[best]), float(scaled[best] - near[best])))
     return chosen
 
 
+# Names of what is kept of a selected feature, and of the numbers of features left after each step.
+SELECTION = "rank feature anova_f anova_relevance_scaled mean_abs_correlation_to_selected mrmr_score correlation_cluster".split()
+LEFT = "initial_features after_all_missing after_variance after_correlation after_anova after_mrmr".split()
+
+
+def selection(x: np.ndarray, y: np.ndarray, names: list[str], top: int = 20, n: int = 3) -> tuple[list[int], list[dict], dict]:
+    """On training rows alone: variance, correlation clusters, F of the best, mRMR.
+
+    Returns the chosen columns, a row of ``SELECTION`` for each, and how many features each step left.
+    """
+    filled = np.where(np.isfinite(x), x, np.nan)
+    some = np.flatnonzero(np.isfinite(filled).any(axis=0))
+    x = np.nan_to_num(np.where(np.isfinite(filled), filled, np.nan_to_num(column_medians(filled))))
+    use = [i for i in some if x[:, i].var() > 1e-12]
+    groups = [[use[i] for i in g] for g in clusters(x[:, use])] if use else []
+    cluster = {i: k for k, g in enumerate(groups, 1) for i in g}
+    kept = [use[i] for i in medoids(x[:, use], [names[i] for i in use], groups=[[use.index(i) for i in g] for g in groups])] if use else []
+    f = anova_f(x[:, kept], y) if kept else np.zeros(0)
+    best = sorted(range(len(kept)), key=lambda i: (-f[i], names[kept[i]]))[:top]
+    found = mrmr(x[:, [kept[i] for i in best]], f[best], [names[kept[i]] for i in best], n) if best else []
+    rows = [(k, names[kept[best[i]]], float(f[best[i]]), float(f[best[i]] / max(f[best].max(), 1e-300)), near, score, cluster[kept[best[i]]]) for k, (i, near, score) in enumerate(found, 1)]
+    left = (len(names), len(some), len(use), len(kept), len(best), len(found))
+    return [kept[best[i]] for i, _, _ in found], [dict(zip(SELECTION, r, strict=True)) for r in rows], dict(zip(LEFT, left, strict=True))
+
+
+def column_medians(x: np.ndarray) -> np.ndarray:
+    """Of finite values; NaN where there are none."""
+    order, n = np.sort(np.where(np.isfinite(x), x, np.nan), axis=0), np.isfinite(x).sum(axis=0)
+    if not len(x):
+        return np.full(x.shape[1], np.nan)
+    low, high = (np.take_along_axis(order, np.maximum(k, 0)[None], 0)[0] for k in ((n - 1) // 2, np.minimum(n // 2, len(x) - 1)))
+    return np.where(n > 0, (low + high) / 2, np.nan)
+
+
 def select_features(x: np.ndarray, y: np.ndarray, names: list[str], top: int = 20, n: int = 3) -> list[int]:
-    """On training rows alone: variance, correlation clusters, F of the best, mRMR."""
-    use = [i for i in range(x.shape[1]) if x[:, i].var() > 1e-12]
-    use = [use[i] for i in medoids(x[:, use], [names[i] for i in use])]
-    f = anova_f(x[:, use], y)
-    best = sorted(range(len(use)), key=lambda i: (-f[i], names[use[i]]))[:top]
-    return [use[best[i]] for i in mrmr(x[:, [use[i] for i in best]], f[best], [names[use[i]] for i in best], n)]
+    return selection(x, y, names, top, n)[0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -350,30 +431,34 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray,
     return w, classes
 
 
-def pls_da(x: np.ndarray, y: np.ndarray, order: list[str], n: int = 2) -> np.ndarray:
-    """Coefficients of PLS on one-hot classes by NIPALS, on standardised columns; the last row is the intercept."""
-    target = (y[:, None] == np.array(order)).astype(float)
-    mx, sx, my, sy = x.mean(0), x.std(0, ddof=1), target.mean(0), target.std(0, ddof=1)
-    sx, sy = np.where(sx > 0, sx, 1), np.where(sy > 0, sy, 1)
-    a, b = (x - mx) / sx, (target - my) / sy
-    ws, ps, qs = [], [], []
-    for _ in range(min(n, x.shape[1])):
-        u = b[:, np.argmax(b.var(axis=0))]
-        for _ in range(500):
-            w = a.T @ u
-            w /= max(np.linalg.norm(w), 1e-300)
-            t = a @ w
-            q = b.T @ t / max(t @ t, 1e-300)
-            new = b @ q / max(q @ q, 1e-300)
-            if np.linalg.norm(new - u) < 1e-9:
-                break
-            u = new
-        p = a.T @ t / max(t @ t, 1e-300)
+def pls(x: np.ndarray, target: np.ndarray, n: int = 2) -> dict[str, np.ndarray]:
+    """Partial least squares on centred, unscaled columns: weights, scores, loadings and coefficients (intercept last).
+
+    Each component's weights are the leading left singular vector of x'y, its largest entry positive; x and y then lose
+    what the component explains.  There are no more components than columns, than rows less one, or than y has left.
+    """
+    mx, my = x.mean(0), target.mean(0)
+    a, b = x - mx, target - my
+    ws, ts, ps, qs = [], [], [], []
+    for _ in range(min(n, x.shape[1], len(x) - 1)):
+        left, size, _ = np.linalg.svd(a.T @ b, full_matrices=False)
+        if size[0] <= 1e-12:
+            break
+        w = left[:, 0] * np.sign(left[np.argmax(np.abs(left[:, 0])), 0])
+        t = a @ w
+        p, q = a.T @ t / (t @ t), b.T @ t / (t @ t)
         a, b = a - np.outer(t, p), b - np.outer(t, q)
-        ws.append(w), ps.append(p), qs.append(q)
-    w, p, q = np.array(ws).T, np.array(ps).T, np.array(qs).T
-    coef = w @ np.linalg.pinv(p.T @ w) @ q.T * sy / sx[:, None]
-    return np.vstack([coef, my - mx @ coef])
+        ws.append(w), ts.append(t), ps.append(p), qs.append(q)
+    if not ws:
+        return {"weights": np.zeros((x.shape[1], 0)), "scores": np.zeros((len(x), 0)), "loadings": np.zeros((x.shape[1], 0)), "coef": np.vstack([np.zeros((x.shape[1], len(my))), my])}
+    w, t, p, q = (np.array(v).T for v in (ws, ts, ps, qs))
+    coef = w @ np.linalg.pinv(p.T @ w) @ q.T
+    return {"weights": w, "scores": t, "loadings": p, "coef": np.vstack([coef, my - mx @ coef])}
+
+
+def pls_da(x: np.ndarray, y: np.ndarray, order: list[str], n: int = 2) -> np.ndarray:
+    """Coefficients of PLS on one-hot classes; the last row is the intercept."""
+    return pls(x, (y[:, None] == np.array(order)).astype(float), n)["coef"]
 
 
 MODELS, ORDER = ("logistic", "nearest_centroid", "pls_da"), ["Low", "Medium", "High"]
@@ -382,7 +467,7 @@ MODELS, ORDER = ("logistic", "nearest_centroid", "pls_da"), ["Low", "Medium", "H
 def fit_predict(train: pd.DataFrame, test: pd.DataFrame, features: list[str]) -> list[dict]:
     """Select on the training plots, fit the three models, predict the test plots."""
     x, y = train[features].to_numpy(float), train["treatment"].to_numpy(str)
-    fill = np.nan_to_num(np.nanmedian(x, axis=0))
+    fill = np.nan_to_num(column_medians(x))
     x, z = np.where(np.isfinite(x), x, fill), test[features].to_numpy(float)
     z = np.where(np.isfinite(z), z, fill)
     chosen = select_features(x, y, features)

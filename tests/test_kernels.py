@@ -64,7 +64,7 @@ def test_gaps_are_filled():
 def test_largest_component_of_two():
     mask = np.zeros((20, 20), bool)
     mask[1:3, 1:3] = mask[8:16, 5:15] = True
-    done, count = K.clean(mask, 1, 1)
+    done, count = K.clean(mask, 1)
     assert count == 2 and done.sum() == 80
 
 
@@ -72,14 +72,14 @@ def test_holes_are_filled_and_a_foreground_corner_fills_all():
     mask = np.zeros((9, 9), bool)
     mask[2:7, 2:7] = True
     mask[4, 4] = False
-    assert K.clean(mask, 1, 1)[0].sum() == 25
+    assert K.clean(mask, 1)[0].sum() == 25
     mask[:] = False
     mask[0:3, 0:3] = True
-    assert K.clean(mask, 1, 1)[0].all()
+    assert K.clean(mask, 1)[0].all()
 
 
 def test_empty_mask():
-    assert K.clean(np.zeros((4, 4), bool), 1, 3)[1] == 0
+    assert K.clean(np.zeros((4, 4), bool), 3)[1] == 0
 
 
 def test_clusters_keep_one_of_equal_columns():
@@ -110,3 +110,131 @@ def test_separation_of_many_curves_equals_each_alone(spark):
         own = found[found["k"] == k]
         assert own["value"].tolist() == y.tolist()
         assert own["meso"].to_numpy() == pytest.approx(K.envelope(y)) and (own["meso"] + own["peak"]).to_numpy() == pytest.approx(y)
+
+
+def spread_by_pixels(mask, diagonal=True):
+    """Labels by growing each component pixel by pixel."""
+    labels, n = np.zeros(mask.shape, int), 0
+    for y, x in np.argwhere(mask):
+        if labels[y, x]:
+            continue
+        n += 1
+        stack = [(y, x)]
+        while stack:
+            a, b = stack.pop()
+            if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not labels[a, b]:
+                labels[a, b] = n
+                stack += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (diagonal or not (i and j))]
+    return labels
+
+
+def test_components_equal_those_grown_pixel_by_pixel():
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.45, 0.6, 0.9):
+        mask = rng.random((23, 31)) < share
+        for diagonal in (True, False):
+            assert (K.components(mask, diagonal) == spread_by_pixels(mask, diagonal)).all()
+    assert K.components(np.zeros((3, 4), bool)).sum() == 0 and (K.components(np.ones((3, 1), bool)) == 1).all()
+
+
+def test_a_long_serpentine_is_one_component_in_seconds():
+    import time
+
+    n = 2000
+    mask = np.zeros((n, n), bool)
+    mask[::2] = True  # a serpentine: full rows, joined at alternate ends
+    mask[1::4, -1] = mask[3::4, 0] = True
+    began = time.perf_counter()
+    labels = K.components(mask)
+    assert time.perf_counter() - began < 20
+    assert labels.max() == 1 and (labels[mask] == 1).all()
+
+
+def test_morphology_equals_shifted_images():
+    rng = np.random.default_rng(6)
+    for size in (1, 3, 4, 7, 21):
+        widths = K.ellipse(size)
+        r = len(widths) // 2
+        mask = rng.random((40, 37)) < 0.05
+        padded, want = np.pad(mask, r), np.zeros_like(mask)
+        for dy in range(-r, r + 1):
+            for dx in range(-widths[dy + r], widths[dy + r] + 1):
+                want |= padded[r + dy : r + dy + 40, r + dx : r + dx + 37]
+        assert (K._spread(mask, widths) == want).all()
+
+
+def looped_clusters(x, threshold=0.95):
+    """Complete linkage by trying every pair of groups at every step."""
+    distance = 1 - np.abs(np.corrcoef(x, rowvar=False))
+    groups = [[i] for i in range(x.shape[1])]
+    while len(groups) > 1:
+        d, i, j = min((max(distance[a, b] for a in p for b in q), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        if d > 1 - threshold:
+            break
+        groups[i] += groups.pop(j)
+    return sorted(map(sorted, groups))
+
+
+def test_chains_of_neighbours_give_the_clusters_of_plain_loops():
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        x = rng.normal(size=(14, 40))
+        x[:, 20:] = x[:, :20] * rng.uniform(1, 3, 20) + rng.normal(size=(14, 20)) * rng.choice([0.05, 0.2, 0.5], 20)
+        assert sorted(K.clusters(x)) == looped_clusters(x)
+        assert sorted(K.clusters(x, 0.6)) == looped_clusters(x, 0.6)
+
+
+def test_696_columns_cluster_within_a_second():
+    import time
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(14, 60)) @ rng.normal(size=(60, 696))
+    began = time.perf_counter()
+    found = K.clusters(x)
+    assert time.perf_counter() - began < 3 and sorted(i for g in found for i in g) == list(range(696))
+
+
+def nipals(x, target, n=2):
+    """Coefficients by plain alternation, columns centred and not scaled."""
+    a, b = x - x.mean(0), target - target.mean(0)
+    ws, ps, qs, ts = [], [], [], []
+    for _ in range(n):
+        u = b[:, 0].copy()
+        for _ in range(20000):
+            w = a.T @ u / (u @ u)
+            w /= np.linalg.norm(w)
+            t = a @ w
+            q = b.T @ t / (t @ t)
+            u = b @ q / (q @ q)
+        p = a.T @ t / (t @ t)
+        a, b = a - np.outer(t, p), b - np.outer(t, q)
+        ws.append(w), ps.append(p), qs.append(q), ts.append(t)
+    w, p, q = np.array(ws).T, np.array(ps).T, np.array(qs).T
+    return w @ np.linalg.inv(p.T @ w) @ q.T, np.array(ts).T
+
+
+def test_pls_equals_plain_alternation_on_unbalanced_classes():
+    rng = np.random.default_rng(9)
+    y = np.array(["Low"] * 4 + ["Medium"] * 6 + ["High"] * 4)
+    target = (y[:, None] == np.array(K.ORDER)).astype(float)
+    for _ in range(5):
+        x = rng.normal(size=(14, 3)) + target @ rng.normal(size=(3, 3))
+        found = K.pls(x, target)
+        coef, scores = nipals(x, target)
+        assert found["coef"][:-1] == pytest.approx(coef, abs=1e-6)
+        assert np.abs(found["scores"]) == pytest.approx(np.abs(scores), abs=1e-5)
+        assert found["scores"][:, 0] @ found["scores"][:, 1] == pytest.approx(0, abs=1e-9)
+    assert K.pls(x, np.ones((14, 3)))["scores"].shape == (14, 0)
+
+
+def test_selection_says_what_each_step_left():
+    rng = np.random.default_rng(10)
+    y = np.array(["Low", "Medium", "High"] * 5)
+    x = rng.normal(size=(15, 6)) + (y == "High")[:, None] * np.array([5, 3, 0, 0, 0, 0])
+    x[:, 2], x[:, 3], x[0, 4] = np.nan, 1.0, np.nan
+    x[:, 5] = 2 * x[:, 0]
+    chosen, rows, left = K.selection(x, y, list("abcdef"))
+    assert left == {"initial_features": 6, "after_all_missing": 5, "after_variance": 4, "after_correlation": 3, "after_anova": 3, "after_mrmr": 3}
+    assert [r["rank"] for r in rows] == [1, 2, 3] and rows[0]["anova_relevance_scaled"] == 1 and rows[0]["mean_abs_correlation_to_selected"] == 0
+    assert [list("abcdef")[i] for i in chosen] == [r["feature"] for r in rows] and rows[0]["feature"] in "af"
+    assert K.column_medians(np.array([[1, np.nan], [3, np.nan], [np.nan, np.nan]])).tolist()[0] == 2
