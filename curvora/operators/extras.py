@@ -1,11 +1,11 @@
-"""Further steps: dispatch between segmentations, crops, previews, tangents, gap filling, inspection and class summaries."""
+"""Further steps: dispatch between segmentations, crops, previews, tangents, gap filling and class summaries."""
 
 from __future__ import annotations
 
 from ..functions.dialect import Spark
 from ..plans.chain import Step
 from .curves import r6
-from .modelling import FEATURES
+from .modelling import by_feature
 
 
 def dispatch(min_ratio: float = 0.3) -> tuple[Step, ...]:
@@ -66,16 +66,6 @@ def fill_gaps() -> tuple[Step, ...]:
     return (("marked", marked), ("sides", sides), ("filled", text))
 
 
-def inspect(top: int = 8) -> Step:
-    """The best candidates of each line by prominence and nearness to the middle."""
-
-    def text(d: Spark) -> str:
-        score = f"prominence * exp(cast(-0.5 as double) * power((x - {d.dbl(0.5)}) / {d.dbl(0.12)}, 2))"
-        return f"select line, cast(rk as bigint) position, {r6('x')} x, {r6('prominence')} prominence from (select line, x, prominence, row_number() over (partition by line order by round({score}, 9) desc, k) rk from candidates) t where rk <= {top}"
-
-    return ("inspected", text)
-
-
 def fold_roles() -> Step:
     """Training and test plots of each fold and class."""
 
@@ -89,9 +79,10 @@ def class_summary() -> Step:
     """Count, mean, median, deviation and range of every feature in each class, in long form."""
 
     def text(d: Spark) -> str:
-        return " union all ".join(
-            f"select '{f}' feature, treatment, cast(count({f}) as bigint) n, {r6(f'avg({f})')} v_mean, {r6(d.pct(f, 0.5))} v_median, {r6(f'stddev_samp({f})')} v_std, {r6(f'min({f})')} v_min, {r6(f'max({f})')} v_max from plots group by treatment" for f in FEATURES
-        )
+        each, value = by_feature()
+        return f"""
+        select feature, treatment, cast(count(v) as bigint) n, {r6("avg(v)")} v_mean, {r6(d.pct("v", 0.5))} v_median, {r6("stddev_samp(v)")} v_std, {r6("min(v)")} v_min, {r6("max(v)")} v_max
+        from (select feature, treatment, {value} from plots {each}) e group by feature, treatment"""
 
     return ("classes", text)
 
@@ -100,9 +91,10 @@ def representation_summary() -> Step:
     """Least, 1st percentile, median, 99th percentile and greatest value of each representation of each image."""
 
     def text(d: Spark) -> str:
-        return " union all ".join(
-            f"select image_id, '{c}' representation, {r6(f'min({c})')} v_min, {r6(d.pct(c, 0.01))} p01, {r6(d.pct(c, 0.5))} p50, {r6(d.pct(c, 0.99))} p99, {r6(f'max({c})')} v_max from representations group by image_id" for c in ("raw_green", "ngrdi", "exg", "g2_rb")
-        )
+        each, value = by_feature(("raw_green", "ngrdi", "exg", "g2_rb"), "representation")
+        return f"""
+        select image_id, representation, {r6("min(v)")} v_min, {r6(d.pct("v", 0.01))} p01, {r6(d.pct("v", 0.5))} p50, {r6(d.pct("v", 0.99))} p99, {r6("max(v)")} v_max
+        from (select image_id, representation, {value} from representations {each}) e group by image_id, representation"""
 
     return ("summaries", text)
 

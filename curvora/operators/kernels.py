@@ -147,14 +147,11 @@ def peak_row(pos: np.ndarray, y: np.ndarray, fraction: float = 0.1, min_points:
     return list(row.values())
 
 
-def separated_peak_features(points: DataFrame, keys: list[str], order: str = "i", x: str = "x", value: str = "value") -> DataFrame:
-    """Number, density, heights, prominences and widths of the peaks of each curve above its baseline.
+def separated_peak_features(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """Number, density, heights, prominences and widths of the peaks of each curve (xs, ys) above its baseline.
 
-    Each curve is gathered into one row of arrays, and batches of such rows are worked on together: one shuffle, and no
-    frame for each curve.
+    A curve is one row of arrays, and batches of such rows are worked on together, without a shuffle.
     """
-    curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("y")))).alias("p"))
-    curves = curves.select(*keys, F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -165,9 +162,9 @@ def separated_peak_features(points: DataFrame, keys: list[str], order: str = "i"
                 rows.append(peak_row(pos[by], (y - envelope(y))[by]))
             yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[f"peak_{k}" for k in PEAK_FEATURES], dtype=float)], axis=1)
 
-    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in curves.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"peak_{k} double" for k in PEAK_FEATURES])
-    return curves.mapInPandas(run, schema)
+    return curves.select(*keys, "xs", "ys").mapInPandas(run, schema)
 
 
 # --- masks -----------------------------------------------------------------------------------------------------------
@@ -461,16 +458,20 @@ def pls_da(x: np.ndarray, y: np.ndarray, order: list[str], n: int = 2) -> np.nda
     return pls(x, (y[:, None] == np.array(order)).astype(float), n)["coef"]
 
 
-MODELS, ORDER = ("logistic", "nearest_centroid", "pls_da"), ["Low", "Medium", "High"]
+# Names of models and classes.
+MODELS, ORDER = ("logistic_l2", "nearest_centroid", "pls_da"), ["Low", "Medium", "High"]
 
 
-def fit_predict(train: pd.DataFrame, test: pd.DataFrame, features: list[str]) -> list[dict]:
-    """Select on the training plots, fit the three models, predict the test plots."""
-    x, y = train[features].to_numpy(float), train["treatment"].to_numpy(str)
-    fill = np.nan_to_num(column_medians(x))
-    x, z = np.where(np.isfinite(x), x, fill), test[features].to_numpy(float)
-    z = np.where(np.isfinite(z), z, fill)
-    chosen = select_features(x, y, features)
+def impute(x: np.ndarray, fill: np.ndarray) -> np.ndarray:
+    """Values that are not finite take their column's; columns without one are 0."""
+    return np.where(np.isfinite(x), x, np.nan_to_num(fill))
+
+
+def predictions(x: np.ndarray, y: np.ndarray, z: np.ndarray, names: list[str], choose: bool = True) -> tuple[dict[str, np.ndarray], list[str]]:
+    """Classes of the rows of z by the three models fitted on x and y, and the features that were selected on x and y."""
+    fill = column_medians(x)
+    x, z = impute(x, fill), impute(z, fill)
+    chosen = select_features(x, y, names) if choose else list(range(len(names)))
     mean, std = x[:, chosen].mean(0), x[:, chosen].std(0)
     std = np.where(std > 0, std, 1)
     a, b = (x[:, chosen] - mean) / std, (z[:, chosen] - mean) / std
@@ -479,11 +480,17 @@ def fit_predict(train: pd.DataFrame, test: pd.DataFrame, features: list[str]) ->
     centres = np.array([a[y == c].mean(axis=0) for c in classes])
     order = [c for c in ORDER if c in classes]
     said = {
-        "logistic": classes[np.argmax(np.round(ones @ w, 9), axis=1)],
+        "logistic_l2": classes[np.argmax(np.round(ones @ w, 9), axis=1)],
         "nearest_centroid": classes[np.argmin(np.round(((b[:, None] - centres) ** 2).sum(axis=2), 9), axis=1)],
         "pls_da": np.array(order)[np.argmax(np.round(ones @ pls_da(a, y, order), 9), axis=1)],
     }
-    names = ",".join(features[i] for i in chosen)
+    return said, [names[i] for i in chosen]
+
+
+def fit_predict(train: pd.DataFrame, test: pd.DataFrame, features: list[str]) -> list[dict]:
+    """Select on the training plots, fit the three models, predict the test plots."""
+    said, chosen = predictions(train[features].to_numpy(float), train["treatment"].to_numpy(str), test[features].to_numpy(float), features)
+    names = ",".join(chosen)
     return [{"plot": int(p), "block": int(k), "true_treatment": t, "predicted_treatment": str(said[m][i]), "model": m, "features": names} for m in MODELS for i, (p, k, t) in enumerate(zip(test["plot"], test["block"], test["treatment"], strict=True))]
 
 

@@ -61,17 +61,21 @@ def block_pivot(source: str = "plots") -> Step:
     return ("crosstab", text)
 
 
+def by_feature(features: tuple[str, ...] = FEATURES, name: str = "feature", value: str = "v") -> tuple[str, str]:
+    """Suffix of a FROM clause that gives each row once for every feature, and the feature's value: the source is read once."""
+    return f"cross join (values {', '.join(f"('{f}')" for f in features)}) k_{name}({name})", f"case {name} {' '.join(f"when '{f}' then {f}" for f in features)} end {value}"
+
+
 def anova(source: str = "plots") -> Step:
     """F of each feature between treatments; 0 where it is undefined."""
 
     def text(d: Spark) -> str:
-        parts = []
-        for f in FEATURES:
-            parts.append(f"""
-            select '{f}' feature, {r6("coalesce(case when ssw > 1e-12 and n > k then (ssb / (k - 1)) / (ssw / (n - k)) end, cast(0 as double))")} anova_f
-            from (select count(*) k, sum(n) n, sum(n * power(m - grand, 2)) ssb, sum(n * v) ssw
-              from (select count(*) n, avg({f}) m, var_pop({f}) v from {source} group by treatment) t cross join (select avg({f}) grand from {source}) g) s""")
-        return " union all ".join(parts)
+        each, value = by_feature()
+        return f"""
+        select feature, {r6("coalesce(case when ssw > 1e-12 and n > k then (ssb / (k - 1)) / (ssw / (n - k)) end, cast(0 as double))")} anova_f
+        from (select feature, count(*) k, sum(n) n, sum(n * power(m - grand, 2)) ssb, sum(n * s) ssw
+          from (select feature, n, m, s, sum(n * m) over (partition by feature) / sum(n) over (partition by feature) grand
+            from (select feature, treatment, count(*) n, avg(v) m, var_pop(v) s from (select feature, treatment, {value} from {source} {each}) e group by feature, treatment) t) g group by feature) h"""
 
     return ("anova", text)
 
@@ -80,7 +84,9 @@ def pearson(source: str = "plots") -> Step:
     """Correlation of every pair of features over the plots."""
 
     def text(d: Spark) -> str:
-        return " union all ".join(f"select '{a}' feature_1, '{b}' feature_2, {r6(f'corr({a}, {b})')} r from {source}" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])
+        (one, first), (two, second) = by_feature(name="feature_1", value="a"), by_feature(name="feature_2", value="b")
+        order = f"case feature_2 {' '.join(f"when '{f}' then {i}" for i, f in enumerate(FEATURES))} end > case feature_1 {' '.join(f"when '{f}' then {i}" for i, f in enumerate(FEATURES))} end"
+        return f"select feature_1, feature_2, {r6('corr(a, b)')} r from (select feature_1, feature_2, {first}, {second} from {source} {one} {two} where {order}) e group by feature_1, feature_2"
 
     return ("pearson", text)
 

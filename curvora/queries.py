@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import DetectionConfig
+from .functions.dialect import DUCK
 from .operators import assembly as S
 from .operators import curves as C
 from .operators import extras as X
 from .operators import geometry as G
 from .operators import kernels as K
-from .operators import midrib as M
 from .operators import modelling as P
+from .operators import plots as V
 from .operators import raster as R
+from .operators import ridges as D
 from .operators import selection as B
+from .plans import ridge_sql as Q
 from .plans.chain import Chain
 from .sources import adapters as A
 
-_ridge = A.line_chain.then(*M.ridge_candidates())
-_results = _ridge.then(M.line_results())
-_region = _results.then(M.region())
-_halves = _region.then(*M.halves())
 _grad = A.curve_chain.then(*C.gradient("curves"))
 _features = A.line_chain.then(P.line_features())
 _plots = _features.then(*P.plot_medians())
@@ -35,22 +35,12 @@ def _label_means(d):
 
 
 CHAINS: dict[str, Chain] = {
-    "signal_features": A.curve_chain.then(C.zones("curves"), *C.signal_features("zoned")),
-    "signal_by_label": A.curve_chain.then(C.zones("curves"), *C.signal_features("zoned"), ("by_label", _label_means)),
-    "half_curve_features": _halves.then(C.zones("halves", "value", "line, side"), *C.signal_features("zoned", "line, side, zone")),
     "gradient": _grad.then(("rounded", lambda d: f"select curve_id, i, {C.r6('d1')} d1, {C.r6('d2')} d2 from grad")),
     "curvature": _grad.then(C.curvature()),
     "resample_events": A.event_chain.then(*C.resample("event_curves", "user_id, event_type")),
     "savgol_interior": A.curve_chain.then(C.savgol_interior("curves")),
     "image_rollup": _features.then(C.rollup("line_features", "leaf", "f_mean")),
     "summary_quantiles": A.curve_chain.then(C.quantiles("curves", "label", "y")),
-    "ridge_candidates": _ridge.then(("shown", lambda d: f"select line, sample_id, {C.r6('x')} x, {C.r6('y')} y, {C.r6('prominence')} prominence from candidates")),
-    "line_results": _results.then(("shown", lambda d: f"select line, leaf, sample_id, status, {C.r6('peak_position')} peak_position, {C.r6('prominence')} prominence, {C.r6('score')} score from line_results")),
-    "leaf_summary": _results.then(M.leaf_summary()),
-    "annotate_sides": _region.then(M.annotate()),
-    "manual_override": _region.then(("shown", lambda d: f"select line, split_source, {C.r6('split_position')} split_position, {C.r6('left_edge')} left_edge, {C.r6('right_edge')} right_edge from region")),
-    "split_half_curves": _halves.then(("shown", lambda d: f"select line, side, cast(i as bigint) i, {C.r6('x')} x, value from halves")),
-    "param_scan": _ridge.then(M.scan()),
     "plot_medians": _plots,
     "design_check": _plots.then(P.design_check()),
     "block_pivot": _plots.then(P.block_pivot()),
@@ -75,7 +65,6 @@ CHAINS: dict[str, Chain] = {
     "crop_white": _boxes.then(X.crop()),
     "tangents": _bounds.then(X.tangents()),
     "fill_gaps": A.curve_chain.then(*X.fill_gaps()),
-    "inspect_candidates": _ridge.then(X.inspect()),
     "fold_roles": _predictions.then(X.fold_roles()),
     "class_summary": _plots.then(X.class_summary()),
     "representation_summary": A.pixel_chain.then(R.representations(), X.representation_summary()),
@@ -84,36 +73,179 @@ CHAINS: dict[str, Chain] = {
 }
 
 
-def separate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.separate(_halves.run(spark, sf_dir).select("line", "side", "i", "x", "value"), ["line", "side"])
+#: The same features as SQL, by the steps that the other engine runs.
+_signal_sql = A.curve_chain.then(C.zones("curves"), *C.signal_features("zoned"))
 
 
-def peak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.separated_peak_features(_halves.run(spark, sf_dir).select("line", "side", "i", "x", "value"), ["line", "side"])
+def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return df.select(*keys, *[(F.round(v, 6) + 0.0).alias(v) for v in values])
+
+
+def _all_rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty signal features of every curve, whole and in three parts."""
+    xs = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i / 63.0)
+    curves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("curve_id"), xs.alias("xs"), F.col("embedding").cast("array<double>").alias("ys"))
+    return _all_rounded(S.zone_signals(curves, ["curve_id"]))
+
+
+def signal_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole curves' features averaged by label."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("curve_id"), "label")
+    whole = signal_features(spark, sf_dir).where("zone = 'full'").join(labels, "curve_id")
+    return _all_rounded(whole.groupBy("label").agg(*[F.avg(f"sig_{f}").alias(f) for f in C.SIGNAL]))
+
+
+_KEYS = ["line", "leaf", "sample_id"]
+
+
+def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.gather(A.line_chain.run(spark, sf_dir), _KEYS)
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.detect_lines(_gathered(spark, sf_dir))
+
+
+def ridge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every top of the middle of each line, with prominence, width in points and edges."""
+    found = D.candidates(_gathered(spark, sf_dir)).select("line", F.inline("tops"))
+    return _rounded(found, ["line"], ["position", "prominence", "width", "left", "right"])
 
 
 def midrib_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every profile line with its smoothed ridge, the ridge's edges, width and score, or a note why there is none."""
-    return S.detect_lines(S.gather(A.line_chain.run(spark, sf_dir), ["line", "leaf", "sample_id"])).drop("xs", "ys")
+    return _all_rounded(_detected(spark, sf_dir).drop("xs", "ys"))
+
+
+def line_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, place and score of each line."""
+    return midrib_lines(spark, sf_dir).select(*_KEYS, "status", F.col("peak_position_fraction").alias("peak_position"), F.col("peak_prominence").alias("prominence"), F.col("peak_score").alias("score"))
+
+
+def leaf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each leaf, their ridges' medians and range, and whether the leaf is to be looked at."""
+    return _all_rounded(D.leaf_summary(_detected(spark, sf_dir)))
+
+
+def annotate_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point with its side of the ridge, signed distance and whether it lies in the ridge's region."""
+    points = A.line_chain.run(spark, sf_dir).select("line", "position_index", "position_fraction")
+    found = D.annotate(points, _detected(spark, sf_dir), ["line"])
+    return _rounded(found, ["line", "position_index", "side_of_midrib", "is_midrib_peak_region"], ["distance_from_midrib_split"])
+
+
+def split_half_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points outside the ridge's region, by side, from its edge outwards."""
+    return _all_rounded(D.split_halves(_detected(spark, sf_dir), _KEYS))
+
+
+def param_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected lines and passed leaves under 31 settings of the limits, dark ridges, from one table of candidates."""
+    cfg = DetectionConfig(peak_polarity="dark")
+    return D.scan(D.candidates(_gathered(spark, sf_dir), cfg), D.scan_settings(), cfg)
+
+
+def inspect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best candidates of each line, smoothed over 31 points."""
+    cfg = DetectionConfig(smoothing_window_length=31)
+    return _all_rounded(D.inspect(D.candidates(_gathered(spark, sf_dir), cfg), ["line"], cfg))
+
+
+def inspect_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's choice under five least widths."""
+    cfg = DetectionConfig()
+    return _all_rounded(D.inspect_case(D.candidates(_gathered(spark, sf_dir), cfg), ["line"], cfg))
+
+
+def half_curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal features of every half-curve, whole and in three parts."""
+    return _all_rounded(S.zone_signals(D.half_curves(_detected(spark, sf_dir), ["line"]).withColumnRenamed("midrib_side", "side"), ["line", "side"]))
+
+
+def separate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of every half-curve as baseline and rest."""
+    halves = D.split_halves(_detected(spark, sf_dir), ["line"])
+    return K.separate(halves.select("line", F.col("midrib_side").alias("side"), F.col("distance_index").alias("i"), F.col("relative_distance_from_midrib").alias("x"), "value"), ["line", "side"])
+
+
+def peak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of every half-curve above its baseline."""
+    return K.separated_peak_features(D.half_curves(_detected(spark, sf_dir), ["line"]).withColumnRenamed("midrib_side", "side"), ["line", "side"])
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited table: mean discounts and taxes of a part stand for the place and the mark of its line, if third in its
+    leaf; in whole hundredths, so that every engine gets the same places."""
+    cents = lambda c: F.sum(F.rint(F.col(c) * 100).cast("long"))
+    edits = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_partkey").alias("line")).agg(cents("l_discount").alias("d"), cents("l_tax").alias("t"), F.count("*").alias("n")).where("line % 5 = 2")
+    asked = F.when(F.expr("2 * t > 9 * n"), "yes").otherwise("no")
+    return edits.select("line", F.expr("(4000 + (100 * d) div n) / 10000D").cast("string").alias("manual_split_position_fraction"), asked.alias("use_manual"), F.lit("by hand").alias("manual_notes"))
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.detect_lines(S.gather(A.line_chain.run(spark, sf_dir), ["line", "leaf", "sample_id"]))
-    # The edited table: mean discounts and taxes of a part stand for the places and marks of its line, if third in its leaf.
-    edits = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_partkey").alias("line")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
-    asked = F.when(F.col("t") > 0.045, "yes").otherwise("no")
-    manual = edits.where("line % 5 = 2").select("line", F.format_string("%.4f", 0.4 + F.col("d")).alias("manual_split_position_fraction"), asked.alias("use_manual"), F.lit("by hand").alias("manual_notes"))
-    return S.override(found, manual, ["line"])
+    return S.override(_detected(spark, sf_dir), _edits(spark, sf_dir), ["line"])
 
 
 def manual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines after the override from an edited table of split places."""
-    return _adjusted(spark, sf_dir).drop("xs", "ys")
+    return _all_rounded(_adjusted(spark, sf_dir).drop("xs", "ys"))
+
+
+def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split and region of each line after the override."""
+    return manual_lines(spark, sf_dir).select("line", "split_source", F.col("split_position_fraction").alias("split_position"), F.col("peak_left_fraction").alias("left_edge"), F.col("peak_right_fraction").alias("right_edge"))
+
+
+def manual_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by side and source of the split, after the override: the annotation is made again."""
+    lines = _adjusted(spark, sf_dir)
+    points = D.annotate(A.line_chain.run(spark, sf_dir).select("line", "leaf", "position_fraction"), lines, ["line"]).join(lines.select("line", "split_source"), "line", "left")
+    return points.groupBy("leaf", "side_of_midrib", "split_source").agg(F.count("*").alias("n_points"), F.count_if("is_midrib_peak_region").alias("n_in_region"))
 
 
 def curve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 696 features, descriptors included, of each half-curve."""
-    return S.curve_features(_adjusted(spark, sf_dir), ["line", "leaf", "sample_id"])
+    return S.curve_features(_adjusted(spark, sf_dir), _KEYS)
+
+
+NAMES = S.vector_names()
+_PLOT = ["trial", "plot"]
+
+
+def _design(rows: DataFrame) -> DataFrame:
+    """Block, rate and class of a plot."""
+    return rows.withColumns({"block": F.expr("cast(plot div 7 + 1 as int)"), "n_rate": F.expr(P._rate("plot"))}).withColumn("treatment", F.expr(P._class("n_rate")))
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature vectors of the half-curves with their trial (105 leaves one after another) and plot."""
+    return S.curve_vectors(_adjusted(spark, sf_dir), _KEYS).withColumns({"trial": F.expr("leaf div 105"), "plot": F.expr("cast(leaf % 21 as int)")})
+
+
+def _plot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _design(V.plot_medians(_curves(spark, sf_dir), _PLOT)[1])
+
+
+def plot_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of the 696 features over a leaf's curves, then over a plot's leaves."""
+    rows = _plot_vectors(spark, sf_dir)
+    return rows.select(*_PLOT, "block", "n_rate", "treatment", "n_leaves", *[F.get("features", i).alias(n) for i, n in enumerate(NAMES)])
+
+
+def position_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves whose half-curves are not the ten positions once each."""
+    return V.position_check(D.half_curves(_detected(spark, sf_dir), _KEYS), ["leaf"])
+
+
+def vector_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of vectors element by element: over five vectors one after another, then over those of a label."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.expr("vec_id div 5").alias("leaf"), F.col("embedding").cast("array<double>").alias("features"))
+    _, labels = V.plot_medians(vectors, ["label"])
+    return _all_rounded(labels.select("label", "n_leaves", F.posexplode("features").alias("place", "value")))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +253,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.lines_across(G.interpolated(G.with_normals(center), G.positions(center)), A.pixel_chain.run(spark, sf_dir))
 
 
-def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.round(v, 6).alias(v) for v in values])
-
-
 def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines across each raster, along the normals of its horizontal centreline."""
     return _rounded(_lines(spark, sf_dir), ["image_id", "sample_id"], ["x_start", "y_start", "x_end", "y_end", "line_length_px"])
@@ -152,51 +280,91 @@ def clahe_green(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.equalised_green(A.pixel_chain.run(spark, sf_dir))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.divisible(_plot_vectors(spark, sf_dir))
+
+
 def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.leave_one_block_out(_plots.run(spark, sf_dir), list(P.FEATURES))
+    """Each plot's class by three models fitted, on features selected, without its block: from 696 features, by trial."""
+    return V.out_of_fold(_whole(spark, sf_dir), NAMES, ["trial"])
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy, balanced accuracy and macro-F1 by model."""
-    return B.scores(classify_blocks(spark, sf_dir))
+    """Accuracy, balanced accuracy and macro-F1 by trial and model."""
+    return B.scores(classify_blocks(spark, sf_dir), ("trial",))
+
+
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that each fold selected, why, and how many each step left."""
+    return V.selected_by_fold(_whole(spark, sf_dir), NAMES, ["trial"])
 
 
 def selection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of folds in which each feature was selected."""
-    folds = classify_blocks(spark, sf_dir).select("block", F.explode(F.split("features", ",")).alias("feature")).distinct()
-    n = folds.select("block").distinct().agg(F.count("*").alias("n_folds"))
-    return folds.groupBy("feature").agg(F.count("*").alias("folds")).crossJoin(n).select("feature", "folds", (F.col("folds") / F.col("n_folds")).alias("share"))
+    """How often each feature was selected, with its means, most stable first."""
+    return V.frequency(selected_features(spark, sf_dir), ["trial"])
+
+
+def pls_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every plot on two components over the most stable features."""
+    plots = _whole(spark, sf_dir)
+    return V.pls_scores(plots, NAMES, V.frequency(V.selected_by_fold(plots, NAMES, ["trial"]), ["trial"]), ["trial"])
 
 
 def _pair_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plot medians of the lines of each pair of line positions."""
-    lines = _features.run(spark, sf_dir)
-    ids = lines.select("sample_id").distinct()
-    pairs = ids.select(F.col("sample_id").alias("s1")).join(ids.select(F.col("sample_id").alias("s2")), F.col("s1") < F.col("s2"))
-    pairs = pairs.select((F.col("s1") * 100 + F.col("s2")).alias("pair"), F.explode(F.array("s1", "s2")).alias("sample_id"))
-    leaf = lines.join(pairs, "sample_id").groupBy("pair", "plot", "leaf").agg(*[F.median(f).alias(f) for f in P.FEATURES])
-    plots = leaf.groupBy("pair", "plot").agg(*[F.median(f).alias(f) for f in P.FEATURES])
-    return plots.join(_plots.run(spark, sf_dir).select("plot", "block", "treatment"), "plot")
+    """Plot medians of each of the 45 pairs of positions."""
+    return V.divisible(_design(V.pair_plots(_curves(spark, sf_dir), _PLOT)))
+
+
+_PAIR = ("trial", "pair_id")
 
 
 def exploratory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair's leave-one-block-out scores and its rank within each model."""
-    found = K.leave_one_block_out(_pair_plots(spark, sf_dir), list(P.FEATURES), ("pair",))
-    return B.ranked(B.scores(found, ("pair",)), ("model",))
+    found = V.out_of_fold(_pair_plots(spark, sf_dir), NAMES, list(_PAIR))
+    return B.ranked(B.scores(found, _PAIR), ("trial", "model"), "pair_id")
 
 
-def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair that each model chose inside each outer training fold, and its right predictions of the outer block."""
-    chosen, found = B.nested_selection(_pair_plots(spark, sf_dir), list(P.FEATURES))
-    right = (F.col("true_treatment") == F.col("predicted_treatment")).cast("long")
-    outer = found.groupBy(F.col("block").alias("outer"), "model").agg(F.sum(right).alias("n_right"), F.count("*").alias("n"))
-    return chosen.join(outer, ["outer", "model"])
+def overall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by the mean scores of their three models."""
+    return V.overall_ranking(exploratory_pairs(spark, sf_dir), ["trial"])
 
 
-KERNELS = {f.__name__: f for f in (separate_components, peak_features, midrib_lines, manual_lines, curve_features, normal_lines, line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selection_frequency, exploratory_pairs, nested_pairs)}
+def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that each model chose inside each outer training fold, and its right predictions of the outer block."""
+    chosen, _, found = V.nested(_pair_plots(spark, sf_dir), NAMES, ["trial"])
+    outer = found.groupBy("trial", F.col("block").alias("outer"), "model").agg(F.sum(F.col("correct").cast("long")).alias("n_right"), F.count("*").alias("n"))
+    return chosen.join(outer, ["trial", "outer", "model"])
+
+
+def best_pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by class of the most stable feature of each trial's best pair."""
+    plots = _pair_plots(spark, sf_dir)
+    scored = B.scores(V.out_of_fold(plots, NAMES, list(_PAIR)), _PAIR)
+    return V.best_pair_report(plots, NAMES, V.overall_ranking(scored, ["trial"]), ["trial"])["by_class"]
+
+
+KERNELS = {
+    f.__name__: f
+    for f in (
+        signal_features, signal_by_label, ridge_candidates, midrib_lines, line_results, leaf_summary, annotate_sides, split_half_curves, param_scan, inspect_candidates, inspect_case,
+        half_curve_features, separate_components, peak_features, manual_lines, manual_override, manual_sides, curve_features, plot_features, position_gaps, vector_medians, normal_lines,
+        line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selected_features, selection_frequency, pls_scores, exploratory_pairs, overall_pairs, nested_pairs, best_pair_summary,
+    )
+}
 QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
 ORACLES = {name: chain.oracle() for name, chain in CHAINS.items()}
 
+# SQL of queries that Spark answers from arrays: written by hand, or by steps that only the other engine runs.
+ORACLES["signal_features"] = _signal_sql.oracle()
+ORACLES["signal_by_label"] = _signal_sql.then(("by_label", _label_means)).oracle()
+_half_steps = (C.zones("half_points", "value", "line, side"), *C.signal_features("zoned", "line, side, zone"))
+ORACLES["half_curve_features"] = f"with {Q.HALVES}, half_points as (select line, side, rel x, y as value from halves), " + ", ".join(f"{n} as ({text(DUCK)})" for n, text in _half_steps) + " select * from signal"
+ORACLES |= {
+    "ridge_candidates": Q.CANDIDATES, "midrib_lines": Q.MIDRIB_LINES, "line_results": Q.LINE_RESULTS, "leaf_summary": Q.LEAF_SUMMARY, "annotate_sides": Q.ANNOTATE_SIDES, "split_half_curves": Q.SPLIT_HALVES,
+    "param_scan": Q.PARAM_SCAN, "inspect_candidates": Q.INSPECT, "inspect_case": Q.INSPECT_CASE, "manual_lines": Q.MANUAL_LINES, "manual_override": Q.MANUAL_OVERRIDE, "manual_sides": Q.MANUAL_SIDES,
+    "position_gaps": Q.POSITION_GAPS, "vector_medians": Q.VECTOR_MEDIANS,
+}
+
 # Written by hand for the other engine: the normals of a horizontal centreline are columns of pixels.
 _NORMAL_LINES = f"""
 center as ({_center.oracle()}), pixel as ({A.pixel_chain.oracle()}),
