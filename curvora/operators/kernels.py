@@ -255,7 +255,7 @@ def clean_masks(pixels: DataFrame, kernel: int = 3) -> DataFrame:
         done, count = clean(mask, kernel)
         return frame[["image_id", "y", "x"]].assign(mask=done[frame["y"], frame["x"]], n_components=count)
 
-    return pixels.select("image_id", "y", "x", "mask").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, mask boolean, n_components long")
+    return pixels.select("image_id", "y", "x", "mask").groupBy("image_id").applyInPandas(run, f"image_id {dict(pixels.dtypes)['image_id']}, y int, x int, mask boolean, n_components long")
 
 
 def equalise(values: np.ndarray, mask: np.ndarray, tiles: int = 8, clip: float = 0.01, bins: int = 256) -> np.ndarray:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from ..config import SegmentationConfig
 from ..functions.dialect import Spark
 from ..plans.chain import Step
 from .curves import r6
 
-#: Limits of hue (0 to 179), saturation and value; limits of the quality check.
-H_RANGE, S_MIN, V_MIN = (20, 95), 35, 25
-MIN_AREA, MIN_RATIO, MAX_RATIO, MAX_ASPECT, PADDING = 12, 0.05, 0.9, 3.0, 1
-SIDE = 8
+# Notes of the quality check, in order.
+NO_LEAF, SMALL, LOW_RATIO, HIGH_RATIO, TOUCHES, ASPECT = "no leaf detected", "leaf area too small", "mask area ratio too small", "mask area ratio too large", "bbox touches image boundary", "bbox aspect ratio abnormal"
 
 
-def hsv(source: str = "pixels") -> tuple[Step, ...]:
+def hsv(source: str = "pixels", cfg: SegmentationConfig = SegmentationConfig()) -> tuple[Step, ...]:
     """Eight-bit hue, saturation and value, and whether all three lie in their ranges."""
 
     def values(d: Spark) -> str:
@@ -22,7 +21,7 @@ def hsv(source: str = "pixels") -> tuple[Step, ...]:
         hue = "case when span = 0 then cast(0 as double) when hi = r then cast(60 as double) * (g - b) / span when hi = g then 120 + cast(60 as double) * (b - r) / span else 240 + cast(60 as double) * (r - g) / span end"
         h = f"cast({d.rint(f'(case when {hue} < 0 then {hue} + 360 else {hue} end) / 2')} as int) % 180"
         s = f"case when hi = 0 then 0 else cast({d.rint('cast(255 as double) * span / hi')} as int) end"
-        return f"select image_id, y, x, h, s, hi v, h between {H_RANGE[0]} and {H_RANGE[1]} and s >= {S_MIN} and hi >= {V_MIN} inside from (select image_id, y, x, hi, {h} h, {s} s from hsv_values) t"
+        return f"select image_id, y, x, h, s, hi v, h between {cfg.h_min} and {cfg.h_max} and s >= {cfg.s_min} and hi >= {cfg.v_min} inside from (select image_id, y, x, hi, {h} h, {s} s from hsv_values) t"
 
     return (("hsv_values", values), ("hsv", text))
 
@@ -61,38 +60,54 @@ def otsu(source: str = "pixels") -> tuple[Step, ...]:
     return (("bins", bins), ("parts", parts), ("otsu", text))
 
 
-def bbox(source: str = "pixels") -> Step:
-    """Padded box of each mask, clipped to the image; area and whether it touches the border."""
+def bbox(source: str = "pixels", padding: int = 20) -> tuple[Step, ...]:
+    """Padded box of each mask, cut to its image; the mask's area, the image's pixels and whether the box touches its border.
 
-    def text(d: Spark) -> str:
+    An image's size is that of its own pixels, so that a table may hold images of many sizes.
+    """
+
+    def extent(d: Spark) -> str:
+        at = lambda f, c: f"{f}(case when mask then {c} end)"
         return f"""
-        select image_id, greatest(min(x) - {PADDING}, 0) bx, greatest(min(y) - {PADDING}, 0) y0, least(max(x) + {PADDING}, {SIDE - 1}) - greatest(min(x) - {PADDING}, 0) + 1 width, least(max(y) + {PADDING}, {SIDE - 1}) - greatest(min(y) - {PADDING}, 0) + 1 height,
-          cast(count(*) as bigint) area, max(case when x = 0 or y = 0 or x = {SIDE - 1} or y = {SIDE - 1} then 1 else 0 end) touches
-        from {source} where mask group by image_id"""
+        select image_id, max(x) + 1 w, max(y) + 1 h, cast(sum(case when mask then 1 else 0 end) as bigint) area,
+          greatest({at("min", "x")} - {padding}, 0) bx, greatest({at("min", "y")} - {padding}, 0) y0, least({at("max", "x")} + {padding}, max(x)) x1, least({at("max", "y")} + {padding}, max(y)) y1
+        from {source} group by image_id"""
 
-    return ("boxes", text)
+    def text(d: Spark) -> str:
+        return "select image_id, bx, y0, x1 - bx + 1 width, y1 - y0 + 1 height, area, case when bx <= 0 or y0 <= 0 or x1 >= w - 1 or y1 >= h - 1 then 1 else 0 end touches from extent where area > 0"
 
+    return (("extent", extent), ("boxes", text))
 
-def quality(source: str = "pixels") -> Step:
-    """Notes and flag of each image, in a fixed order; images without foreground are noted, too."""
+
+def quality(cfg: SegmentationConfig) -> Step:
+    """Notes and flag of each image, in a fixed order, from its extent and box; images without foreground are noted, too."""
 
     def text(d: Spark) -> str:
-        ratio, aspect = f"coalesce(area, 0) / cast({SIDE * SIDE} as double)", "greatest(width, height) / cast(least(width, height) as double)"
+        ratio, aspect = "area / cast(w * h as double)", "greatest(width, height) / cast(least(width, height) as double)"
         notes = [
-            "case when area is null then 'no foreground' end",
-            f"case when coalesce(area, 0) < {MIN_AREA} then 'area below minimum' end",
-            f"case when {ratio} < {d.dbl(MIN_RATIO)} then 'ratio below minimum' end",
-            f"case when {ratio} > {d.dbl(MAX_RATIO)} then 'ratio above maximum' end",
-            "case when touches = 1 then 'touches border' end",
-            f"case when {aspect} > {d.dbl(MAX_ASPECT)} then 'aspect above maximum' end",
+            f"case when area = 0 then '{NO_LEAF}' end",
+            f"case when area < {cfg.min_leaf_area_pixels} then '{SMALL}' end",
+            f"case when {ratio} < {d.dbl(cfg.min_mask_area_ratio)} then '{LOW_RATIO}' end",
+            f"case when {ratio} > {d.dbl(cfg.max_mask_area_ratio)} then '{HIGH_RATIO}' end",
+            f"case when touches = 1 then '{TOUCHES}' end",
+            f"case when {aspect} > {d.dbl(cfg.max_bbox_aspect_ratio)} then '{ASPECT}' end",
         ]
         return f"""
-        select image_id, notes, case when notes = '' then 'pass' else 'review' end qc_flag from (
-          select i.image_id, {d.notes(*notes)} notes from (select distinct image_id from {source}) i left join boxes b on i.image_id = b.image_id) t"""
+        select image_id, area, {r6("ratio")} mask_area_ratio, notes, case when notes = '' then 'pass' else 'review' end qc_flag from (
+          select e.image_id, e.area, {ratio.replace("area", "e.area")} ratio, {d.notes(*[n.replace("area <", "e.area <").replace("area =", "e.area =").replace("when area /", "when e.area /") for n in notes])} notes from extent e left join boxes b on e.image_id = b.image_id) t"""
 
     return ("quality", text)
 
 
+def status_counts(source: str = "quality") -> Step:
+    """Images of each status; a status without images has 0."""
+
+    def text(d: Spark) -> str:
+        return f"select k.qc_flag, cast(count(q.image_id) as bigint) n_images from (values ('pass'), ('review'), ('failed')) k(qc_flag) left join {source} q on k.qc_flag = q.qc_flag group by k.qc_flag"
+
+    return ("counts", text)
+
+
 def boundaries(source: str = "pixels", min_width: int = 2) -> Step:
     """Top, bottom, width and centre of the foreground of each column of pixels; narrow columns go."""
 

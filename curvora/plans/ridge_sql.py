@@ -1,10 +1,12 @@
-"""Hand-written SQL for the oracle engine: ridges of profile lines, by joins of points instead of arrays.
+"""Hand-written SQL for the oracle engine: ridges of profile lines, by joins of points instead of arrays, and framed rasters.
 
 Smoothing is written as orthogonal polynomials, bases and edges as nearest points on either side of a top.
 """
 
 from __future__ import annotations
 
+from ..operators.overlay import BOX, CONTOUR, LINE
+from ..operators.raster import ASPECT, HIGH_RATIO, LOW_RATIO, NO_LEAF, SMALL, TOUCHES
 from ..operators.ridges import INCONSISTENT, NO_PEAK, SHORT, SHORT_MIDDLE, TOO_FEW, scan_settings
 
 #: A line's points: the rows of one part.
@@ -141,3 +143,64 @@ VECTOR_MEDIANS = """
 with element as (select label, vec_id // 5 leaf, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 place from embeddings),
 leaf as (select label, leaf, place, median(v) v from element group by all)
 select label, count(*) n_leaves, place::int place, round(median(v), 6) as value from leaf group by label, place"""
+
+#: Common tables raster and framed: pixels of the rasters, and those in a frame of none to two pixels.
+FRAMED = """cell as (select vec_id image_id, (generate_subscripts(embedding, 1) - 1)::int i, unnest(embedding) v from embeddings),
+raster as (
+  select c.image_id, c.i // 8 y, c.i % 8 x, least(255, greatest(0, floor((c.v::double + 0.5) * 255)::int)) r, least(255, greatest(0, floor((coalesce(d.v, c.v)::double + 0.5) * 255)::int)) g,
+    least(255, greatest(0, floor((coalesce(e.v, c.v)::double + 0.5) * 255)::int)) b, c.v > -0.1 mask
+  from cell c left join cell d on d.image_id = c.image_id and d.i = c.i + 1 left join cell e on e.image_id = c.image_id and e.i = c.i + 2),
+framed as (
+  select s.image_id, s.side, (k // side)::int y, (k % side)::int x, coalesce(p.r, 255) r, coalesce(p.g, 255) g, coalesce(p.b, 255) b, coalesce(p.mask, false) mask
+  from (select image_id, side, unnest(range(side * side)) k from (select distinct image_id, 8 + 2 * (image_id % 3) side from cell)) s
+  left join raster p on p.image_id = s.image_id and p.y = k // side - s.image_id % 3 and p.x = k % side - s.image_id % 3)"""
+#: And box: corners of the padded boxes, one pixel wide of the mask.
+_BOX = f"""{FRAMED},
+box as (select image_id, any_value(side) side, count(*) area, greatest(min(x) - 1, 0) x0, greatest(min(y) - 1, 0) y0, least(max(x) + 1, any_value(side) - 1) x1, least(max(y) + 1, any_value(side) - 1) y1 from framed where mask group by image_id)"""
+QUALITY_NOTES = f"""with {_BOX},
+every as (select f.image_id, f.side, coalesce(b.area, 0) area, b.* exclude (image_id, side, area) from (select distinct image_id, side from framed) f left join box b using (image_id)),
+noted as (
+  select *, area / (side * side)::double ratio, list_filter([
+    case when area = 0 then '{NO_LEAF}' end, case when area < 20 then '{SMALL}' end, case when area / (side * side)::double < 0.3 then '{LOW_RATIO}' end, case when area / (side * side)::double > 0.65 then '{HIGH_RATIO}' end,
+    case when x0 = 0 or y0 = 0 or x1 = side - 1 or y1 = side - 1 then '{TOUCHES}' end,
+    case when greatest(x1 - x0 + 1, y1 - y0 + 1) > 1.1 * least(x1 - x0 + 1, y1 - y0 + 1) then '{ASPECT}' end], lambda n: n is not null) notes from every)
+select image_id, area, round(ratio, 6) mask_area_ratio, array_to_string(notes, '; ') notes, case when len(notes) > 0 then 'review' else 'pass' end qc_flag from noted"""
+
+_PAINT = lambda layers: " ".join(f"when {test} then {value}" for test, value in layers)
+
+
+def _painted(layers: list[tuple[str, tuple[int, int, int]]]) -> str:
+    """Colours and number of the last layer whose test holds; layers are given last first."""
+    n = len(layers)
+    cols = [f"case {_PAINT([(t, c[k]) for t, c in layers])} else f.{name} end {name}" for k, name in enumerate("rgb")]
+    return f"f.image_id, f.y, f.x, {', '.join(cols)}, case {_PAINT([(t, n - i) for i, (t, _) in enumerate(layers)])} else 0 end::int layer"
+
+
+_ON_BOX = "f.x between x0 and x1 and f.y between y0 and y1 and (f.x in (x0, x1) or f.y in (y0, y1))"
+_STEP = "greatest(x1 - x0, y1 - y0)"
+BOX_OVERLAY = f"""with {_BOX},
+diagonal as (
+  select distinct image_id, floor(y0 + case when n > 0 then k / n::double else 0 end * (y1 - y0) + 0.5)::int y, floor(a + case when n > 0 then k / n::double else 0 end * (b - a) + 0.5)::int x
+  from (select *, unnest(range(n + 1)) k from (select *, {_STEP} n from (select image_id, x0 a, x1 b, y0, y1, x0, x1 from box union all select image_id, x1, x0, y0, y1, x0, x1 from box))))
+select {_painted([("d.x is not null", LINE), (_ON_BOX, BOX)])} from framed f left join box b using (image_id) left join diagonal d on d.image_id = f.image_id and d.y = f.y and d.x = f.x"""
+
+# The background that is connected to the frame, by walking from the image's rim over pixels without mask.
+QC_OVERLAY = f"""with recursive {_BOX},
+empty as (select image_id, y, x from framed where not mask union all select distinct image_id, v.y, v.x from (select distinct image_id, side from framed) s, lateral (
+  select -1 y, unnest(range(-1, side + 1)) x union all select side, unnest(range(-1, side + 1)) union all select unnest(range(side)), -1 union all select unnest(range(side)), side) v),
+outside as (
+  select image_id, y, x from empty where y = -1 and x = -1
+  union
+  select e.image_id, e.y, e.x from outside o join empty e on e.image_id = o.image_id and abs(e.y - o.y) + abs(e.x - o.x) = 1),
+contour as (select distinct f.image_id, f.y, f.x from framed f join outside o on o.image_id = f.image_id and abs(o.y - f.y) + abs(o.x - f.x) = 1 where f.mask)
+select {_painted([(_ON_BOX, BOX), ("c.x is not null", CONTOUR)])} from framed f left join box b using (image_id) left join contour c on c.image_id = f.image_id and c.y = f.y and c.x = f.x"""
+
+REPRESENTATION_PREVIEW = f"""with {FRAMED},
+part as (select image_id, y, x, g::double raw, r / 255::double rn, g / 255::double gn, b / 255::double bn from raster where mask),
+each as (
+  select image_id, y, x, 'raw_green' representation, raw v from part union all
+  select image_id, y, x, 'ngrdi', (gn - rn) / (gn + rn + 1 / 255::double) from part union all
+  select image_id, y, x, 'exg', 2 * gn - rn - bn from part union all
+  select image_id, y, x, 'g2_rb', gn * gn / ((rn + 1 / 255::double) * (bn + 1 / 255::double)) from part),
+lim as (select image_id, representation, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from each group by all)
+select image_id, y::int y, x::int x, representation, floor(round(least(greatest((v - a) / case when b > a then b - a else 1 end, 0), 1) * 255, 9))::int preview from each join lim using (image_id, representation)"""

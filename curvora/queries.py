@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DetectionConfig
+from .config import DetectionConfig, SegmentationConfig
 from .functions.dialect import DUCK
 from .operators import assembly as S
 from .operators import curves as C
@@ -13,6 +13,7 @@ from .operators import extras as X
 from .operators import geometry as G
 from .operators import kernels as K
 from .operators import modelling as P
+from .operators import overlay as O
 from .operators import plots as V
 from .operators import raster as R
 from .operators import ridges as D
@@ -27,7 +28,10 @@ _plots = _features.then(*P.plot_medians())
 _predictions = _plots.then(*P.nearest_centroid())
 _bounds = A.pixel_chain.then(R.boundaries())
 _center = _bounds.then(R.trimmed(), R.centerline())
-_boxes = A.pixel_chain.then(R.bbox())
+_boxes = A.pixel_chain.then(*R.bbox(padding=1))
+#: Limits of the quality check for rasters of a few pixels.
+SMALL = SegmentationConfig(min_leaf_area_pixels=20, min_mask_area_ratio=0.3, max_mask_area_ratio=0.65, max_bbox_aspect_ratio=1.1, bbox_padding=1)
+_quality = A.framed_chain.then(*R.bbox("framed", SMALL.bbox_padding), R.quality(SMALL))
 
 
 def _label_means(d):
@@ -57,7 +61,8 @@ CHAINS: dict[str, Chain] = {
     "representations": A.pixel_chain.then(R.representations()),
     "otsu_threshold": A.pixel_chain.then(*R.otsu()),
     "bounding_box": _boxes,
-    "quality_notes": _boxes.then(R.quality()),
+    "quality_notes": _quality,
+    "status_counts": _quality.then(R.status_counts()),
     "leaf_boundaries": _bounds,
     "centerline": _center,
     "sampling_lines": _center.then(R.sampling_lines()),
@@ -272,6 +277,38 @@ def strip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, ["image_id", "sample_id", "strip_offset_px"], ["x_start", "y_start", "x_end", "y_end", "line_length_px"])
 
 
+def _framed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.framed_chain.then(*R.bbox("framed", SMALL.bbox_padding)).run(spark, sf_dir).select("image_id", "bx", "y0", "width", "height")
+
+
+def qc_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each framed raster with the contour and the padded box of its mask, one pixel wide."""
+    return O.qc_overlay(A.framed_chain.run(spark, sf_dir), _framed_boxes(spark, sf_dir), reach=0)
+
+
+def box_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each framed raster with its padded box and that box's diagonals."""
+    boxes = _framed_boxes(spark, sf_dir)
+    x1, y1 = F.col("bx") + F.col("width") - 1, F.col("y0") + F.col("height") - 1
+    ends = F.array(*[F.struct(a.alias("x_start"), F.col("y0").alias("y_start"), b.alias("x_end"), y1.alias("y_end")) for a, b in ((F.col("bx"), x1), (x1, F.col("bx")))])
+    diagonals = boxes.select("image_id", F.inline(ends))
+    return O.painted(A.framed_chain.run(spark, sf_dir), [(O.box_pixels(boxes), O.BOX), (O.line_pixels(diagonals), O.LINE)])
+
+
+def sampling_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raster with its contour, its centreline, the lines across it and their middles."""
+    center = _center.run(spark, sf_dir).select("image_id", "x", F.col("y_line").alias("y"))
+    return O.sampling_overlay(A.pixel_chain.run(spark, sf_dir), center, _lines(spark, sf_dir))
+
+
+def representation_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every representation of every masked pixel, stretched from its image's 1st to its 99th percentile to 0 to 255."""
+    rows = A.pixel_chain.then(R.representations()).run(spark, sf_dir)
+    names = ("raw_green", "ngrdi", "exg", "g2_rb")
+    each = rows.select("image_id", "y", "x", F.inline(F.array(*[F.struct(F.lit(n).alias("representation"), F.col(n).alias("value")) for n in names])))
+    return O.stretched(each, ["image_id", "representation"], "value").select("image_id", "y", "x", "representation", "preview")
+
+
 def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clean_masks(A.pixel_chain.run(spark, sf_dir))
 
@@ -348,7 +385,7 @@ KERNELS = {
     for f in (
         signal_features, signal_by_label, ridge_candidates, midrib_lines, line_results, leaf_summary, annotate_sides, split_half_curves, param_scan, inspect_candidates, inspect_case,
         half_curve_features, separate_components, peak_features, manual_lines, manual_override, manual_sides, curve_features, plot_features, position_gaps, vector_medians, normal_lines,
-        line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selected_features, selection_frequency, pls_scores, exploratory_pairs, overall_pairs, nested_pairs, best_pair_summary,
+        qc_overlay, box_overlay, sampling_overlay, representation_preview, line_profiles, strip_lines, clean_mask, clahe_green, classify_blocks, model_metrics, selected_features, selection_frequency, pls_scores, exploratory_pairs, overall_pairs, nested_pairs, best_pair_summary,
     )
 }
 QUERIES = {name: chain.run for name, chain in CHAINS.items()} | KERNELS
@@ -362,6 +399,7 @@ ORACLES["half_curve_features"] = f"with {Q.HALVES}, half_points as (select line,
 ORACLES |= {
     "ridge_candidates": Q.CANDIDATES, "midrib_lines": Q.MIDRIB_LINES, "line_results": Q.LINE_RESULTS, "leaf_summary": Q.LEAF_SUMMARY, "annotate_sides": Q.ANNOTATE_SIDES, "split_half_curves": Q.SPLIT_HALVES,
     "param_scan": Q.PARAM_SCAN, "inspect_candidates": Q.INSPECT, "inspect_case": Q.INSPECT_CASE, "manual_lines": Q.MANUAL_LINES, "manual_override": Q.MANUAL_OVERRIDE, "manual_sides": Q.MANUAL_SIDES,
+    "quality_notes": Q.QUALITY_NOTES, "box_overlay": Q.BOX_OVERLAY, "qc_overlay": Q.QC_OVERLAY, "representation_preview": Q.REPRESENTATION_PREVIEW,
     "position_gaps": Q.POSITION_GAPS, "vector_medians": Q.VECTOR_MEDIANS,
 }
 

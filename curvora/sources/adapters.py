@@ -51,6 +51,14 @@ def pixels(d: Spark) -> str:
       window w as (partition by vec_id order by i))"""
 
 
+def framed(d: Spark) -> str:
+    """The rasters in a white frame without foreground, none, one or two pixels wide: images of three sizes."""
+    return f"""
+    select g.image_id, g.y, g.x, coalesce(p.r, 255) r, coalesce(p.g, 255) g, coalesce(p.b, 255) b, coalesce(p.mask, false) mask
+    from (select image_id, f, cast(y as int) y, cast(x as int) x from (select * from (select distinct image_id, cast(image_id % 3 as int) f from pixels) i {d.series("0", "7 + 2 * f", "y")}) r {d.series("0", "7 + 2 * f", "x")}) g
+    left join pixels p on p.image_id = g.image_id and p.y = g.y - g.f and p.x = g.x - g.f"""
+
+
 LINES: tuple[Step, ...] = (("lines", lines),)
 CURVES: tuple[Step, ...] = (("curves", curves),)
 EVENTS: tuple[Step, ...] = (("event_curves", event_curves),)
@@ -60,3 +68,4 @@ line_chain = Chain(("lineitem",), LINES)
 curve_chain = Chain(("embeddings",), CURVES)
 event_chain = Chain(("events",), EVENTS)
 pixel_chain = Chain(("embeddings",), PIXELS)
+framed_chain = pixel_chain.then(("framed", framed))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tiff import decode_tiff, encode_tiff
+
 #: Names that are images.
 # Fixed value: suffixes of image files.
 SUFFIXES = "*.{tif,tiff,TIF,TIFF,jpg,jpeg,JPG,JPEG,png,PNG}"
@@ -18,8 +20,12 @@ NAME = r"^([A-Za-z0-9]+)_([0-9]+)_([A-Za-z0-9]+)_([0-9]+)_(Leaf[0-9]+)_([0-9]+)(
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, size and time of every image file directly in a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder).select("path", "length", "modificationTime")
+    """Path, size and time of every image file directly in a folder, in order of path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder).select("path", "length", "modificationTime").orderBy("path")
+
+
+#: The same under the name that programs for TIFF folders use.
+list_tiff_files = list_images
 
 
 def to_uint8(values: np.ndarray) -> np.ndarray:
@@ -95,32 +101,46 @@ def encode_png(values: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if values.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+#: What a broken or unknown file raises when it is decoded.
+FAILURES = (ValueError, TypeError, KeyError, IndexError, zlib.error, struct.error)
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """PNG or TIFF by their first bytes; others are an error."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_png(data)
+    if data[:2] in (b"II", b"MM"):
+        return decode_tiff(data)
+    raise ValueError("neither PNG nor TIFF")
+
+
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """Pixel table of every PNG of a folder, a generator over whole files: image, y, x, r, g, b; a failed file has a note."""
+    """Pixel table of every image of a folder, a generator over whole files: image, y, x, r, g, b; a failed file has a note."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    image = rgb(decode_png(bytes(content)))
-                except (ValueError, TypeError, zlib.error, struct.error) as error:
+                    image = rgb(decode_image(bytes(content)))
+                except FAILURES as error:
                     yield pd.DataFrame({"image": [name], "y": [None], "x": [None], "r": [None], "g": [None], "b": [None], "note": [f"failed: {error}"]})
                     continue
                 y, x = np.indices(image.shape[:2])
                 yield pd.DataFrame({"image": name, "y": y.ravel(), "x": x.ravel(), "r": image[..., 0].ravel(), "g": image[..., 1].ravel(), "b": image[..., 2].ravel(), "note": None})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG}").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder).select("path", "content")
     return files.mapInPandas(run, "image string, y int, x int, r int, g int, b int, note string")
 
 
-def encode_images(pixels: DataFrame) -> DataFrame:
-    """One PNG a group of pixels (image, y, x, r, g, b): image and content, to be written as a binary column."""
+def encode_images(pixels: DataFrame, kind: str = "png") -> DataFrame:
+    """One PNG or TIFF a group of pixels (image, y, x, r, g, b): image and content, to be written as a binary column."""
+    encode = {"png": encode_png, "tiff": encode_tiff}[kind]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1, 3), np.uint8)
         values[frame["y"], frame["x"]] = frame[["r", "g", "b"]]
-        return pd.DataFrame({"image": [frame["image"].iloc[0]], "content": [encode_png(values)]})
+        return pd.DataFrame({"image": [frame["image"].iloc[0]], "content": [encode(values)]})
 
     return pixels.groupBy("image").applyInPandas(run, "image string, content binary")
 
@@ -136,11 +156,45 @@ def with_name_parts(rows: DataFrame, column: str = "source_profile_file") -> Dat
     return out
 
 
+PROFILE = "sample_id int, position_index int, position_fraction double, x double, y double, green_mean double, green_min double, green_max double, n_pixels_averaged int, profile_width_px int"
+
+
+def union_by_name(spark: SparkSession, folder: str, pattern: str, types: dict[str, str]) -> DataFrame:
+    """Rows of all CSV files of a folder, columns by each file's own header: name, place of the row and its typed columns.
+
+    A file is split into lines, its first is its header, and cells are found by their header's place; columns that a
+    file lacks are null in its rows.  Cells must not hold line ends.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("source_profile_file"), F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\r?\n").alias("l"))
+    cells = lambda line: F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))))
+    heads = lines.withColumn("h", F.array(*[F.trim(cells(F.get("l", 0))[f"c{i}"]) for i in range(MOST_COLUMNS)]))
+    rows = heads.select("source_profile_file", "h", F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("row", "line")).where("line != ''")
+    rows = rows.withColumn("c", cells(F.col("line"))).withColumn("c", F.array(*[F.col(f"c.c{i}") for i in range(MOST_COLUMNS)]))
+    value = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
+    return rows.select("source_profile_file", "row", *[value(n).cast(t).alias(n) for n, t in types.items()])
+
+
+#: Columns that a file may have.
+MOST_COLUMNS = 64
+
+
 def read_profiles(spark: SparkSession, folder: str, pattern: str = "*_green_profiles.csv") -> DataFrame:
     """Union of profile CSVs by name, with the source file and the parts of its name."""
-    schema = "sample_id int, position_index int, position_fraction double, x double, y double, green_mean double, green_min double, green_max double, n_pixels_averaged int, profile_width_px int"
-    rows = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", pattern).schema(schema).csv(folder)
-    return with_name_parts(rows.withColumn("source_profile_file", F.col("_metadata.file_name")))
+    types = dict(part.split(" ") for part in PROFILE.split(", "))
+    return with_name_parts(union_by_name(spark, folder, pattern, types).drop("row"))
+
+
+def of_profile(rows: DataFrame, source_profile_file: str) -> DataFrame:
+    """The rows of one profile file."""
+    return rows.where(F.col("source_profile_file") == source_profile_file)
+
+
+def profile_path(listing: DataFrame, stem: str, suffix: str = "_green_profiles.csv") -> str:
+    """Path of the only profile of a stem in a listing (path); none, or more than one, is an error."""
+    found = [r.path for r in listing.where(F.col("path").endswith(f"/{stem}{suffix}")).limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} profile of {stem}")
+    return found[0]
 
 
 def write_table(rows: DataFrame, path: str, columns: list[str]) -> None:
