@@ -165,7 +165,7 @@ def union_by_name(spark: SparkSession, folder: str, pattern: str, types: dict[st
     A file is split into lines, its first is its header, and cells are found by their header's place; columns that a
     file lacks are null in its rows.  Cells must not hold line ends.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("source_profile_file"), F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\r?\n").alias("l"))
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source_profile_file"), F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\r?\n").alias("l"))
     cells = lambda line: F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))))
     heads = lines.withColumn("h", F.array(*[F.trim(cells(F.get("l", 0))[f"c{i}"]) for i in range(MOST_COLUMNS)]))
     rows = heads.select("source_profile_file", "h", F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("row", "line")).where("line != ''")

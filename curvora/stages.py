@@ -6,6 +6,7 @@ Stages read pixel tables and write tables; a file that fails is a row with statu
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,18 +44,29 @@ def _chain(name: str, *steps) -> Chain:
     return Chain(("given",), ((name, lambda d: "select * from @given"), *steps))
 
 
-def segment(pixels: DataFrame, cfg: SegmentationConfig) -> tuple[DataFrame, DataFrame]:
-    """pixels (image_id, y, x, r, g, b): the same with the cleaned mask, and each image's box and quality."""
-    spark = pixels.sparkSession
-    raw = _chain("pixels", *R.hsv(cfg=cfg)).on(spark, {"given": pixels}).select("image_id", "y", "x", F.col("inside").alias("mask"))
+def written(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """A table that several outputs of a stage are made from, written under the stage's root and read again."""
+    path = f"{root}/work/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def segmented(pixels: DataFrame, cfg: SegmentationConfig) -> DataFrame:
+    """pixels (image_id, y, x, r, g, b): the same with the cleaned mask and the number of components before cleaning."""
+    raw = _chain("pixels", *R.hsv(cfg=cfg)).on(pixels.sparkSession, {"given": pixels}).select("image_id", "y", "x", F.col("inside").alias("mask"))
     cleaned = K.clean_masks(raw, cfg.morph_kernel_size)
-    masked = pixels.select("image_id", "y", "x", "r", "g", "b").join(cleaned, ["image_id", "y", "x"])
+    return pixels.select("image_id", "y", "x", "r", "g", "b").join(cleaned, ["image_id", "y", "x"])
+
+
+def judged(masked: DataFrame, cfg: SegmentationConfig) -> DataFrame:
+    """Size, box, area, quality and components of each image of ``segmented``."""
+    spark = masked.sparkSession
     found = _chain("pixels", *R.bbox("pixels", cfg.bbox_padding), R.quality(cfg))
     quality = found.on(spark, {"given": masked})
     extent = Chain(found.tables, found.steps[:2]).on(spark, {"given": masked}).select("image_id", "w", "h")
     boxes = Chain(found.tables, found.steps[:3]).on(spark, {"given": masked}).drop("area", "touches")
-    parts = cleaned.groupBy("image_id").agg(F.max("n_components").alias("n_components"))
-    return masked.drop("n_components"), quality.join(extent, "image_id").join(boxes, "image_id", "left").join(parts, "image_id")
+    parts = masked.groupBy("image_id").agg(F.max("n_components").alias("n_components"))
+    return quality.join(extent, "image_id").join(boxes, "image_id", "left").join(parts, "image_id")
 
 
 def segmentation_metadata(quality: DataFrame, failed: DataFrame, cfg: SegmentationConfig) -> DataFrame:
@@ -73,7 +85,8 @@ def segmentation_stage(spark: SparkSession, folder: str, root: str, cfg: Segment
     """A folder of images to masks, crops, overlays and metadata; the name of the run."""
     every = images.read_pixels(spark, folder)
     pixels = every.where("note is null").withColumnRenamed("image", "image_id").drop("note")
-    masked, quality = segment(pixels, cfg)
+    masked = written(segmented(pixels, cfg), root, "masked")
+    quality = written(judged(masked, cfg), root, "quality")
     metadata = segmentation_metadata(quality, every.where("note is not null").select("image", "note"), cfg)
     boxes = quality.where("bx is not null").select("image_id", "bx", "y0", "width", "height")
     inside = (F.col("x") >= F.col("bx")) & (F.col("x") < F.col("bx") + F.col("width")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("height"))
@@ -106,13 +119,14 @@ def centreline_quality(pixels: DataFrame, centre: DataFrame, lines: DataFrame, c
 def sampling_stage(spark: SparkSession, mask_folder: str, image_folder: str, root: str, cfg: SamplingConfig, polyorder: int = 2) -> str:
     """Folders of masks and images to centrelines, sampling lines, green profiles and metadata; the name of the run."""
     every = masks.read_masked(spark, mask_folder, image_folder)
-    pixels = every.where("note is null").withColumnRenamed("image", "image_id").drop("note")
+    pixels = written(every.where("note is null").withColumnRenamed("image", "image_id").drop("note"), root, "pixels")
     steps = (R.boundaries("pixels", cfg.min_leaf_width), R.trimmed(cfg.tip_trim_ratio), R.centerline())
     centre = _chain("pixels", *steps).on(spark, {"given": pixels}).select("image_id", "x", F.col("y_line").alias("y"))
     enough = centre.groupBy("image_id").agg(F.count("*").alias("n")).where("n >= 3").select("image_id")
     centre = centre.join(enough, "image_id", "left_semi")
     at = G.positions(centre, cfg.sampling_mode, cfg.n_sampling_lines, cfg.sampling_step)
     lines = G.lines_across(G.interpolated(G.with_normals(centre), at), pixels, cfg.edge_trim_ratio, cfg.boundary_step_size, cfg.max_boundary_steps)
+    lines = written(lines, root, "lines")
     profiles = G.profiles(lines, pixels, "g", cfg.strip_width_px)
     quality = centreline_quality(pixels, centre, lines, cfg, polyorder).join(profiles.groupBy("image_id").agg(F.count("*").alias("n_profile_rows")), "image_id", "left").fillna(0, ["n_profile_rows"])
     fixed = {"smoothing_window_length": F.lit(1), "smoothing_polyorder": F.lit(polyorder), "strip_width_px": F.lit(cfg.strip_width_px), "edge_trim_ratio": F.lit(cfg.edge_trim_ratio)}

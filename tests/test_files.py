@@ -256,7 +256,7 @@ def test_segmentation_and_sampling_of_folders(spark, tmp_path):
     tables, _ = bundle.read_bundle(spark, str(tmp_path / "seg"), run)
     rows = {r.filename: r for r in tables["segmentation_metadata"].collect()}
     assert tables["segmentation_metadata"].columns == stages.SEGMENTATION
-    assert (rows["a.tif"].qc_flag, rows["a.tif"].leaf_area_pixels, rows["a.tif"].bbox_x, rows["a.tif"].bbox_w) == ("pass", 2100, 5, 80)
+    assert (rows["a.tif"].qc_flag, rows["a.tif"].leaf_area_pixels, rows["a.tif"].bbox_x, rows["a.tif"].bbox_w) == ("pass", 2096, 5, 80)
     assert rows["b.png"].notes == "no leaf detected; leaf area too small; mask area ratio too small" and rows["b.png"].bbox_x is None
     assert rows["c.png"].qc_flag == "failed" and rows["c.png"].original_height == 0
     assert {r.qc_flag: r.n for r in tables["counts"].collect()} == {"pass": 1, "review": 1, "failed": 1}
