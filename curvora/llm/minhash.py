@@ -173,7 +173,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b and others), texts (rep, text): adds the texts, ta and tb."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return narrow(pairs.hint("merge").join(left, "a")).hint("merge").join(right, "b").select(*pairs.columns, "ta", "tb")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select(*pairs.columns, "ta", "tb")
 
 
 def _tables(batch: pa.RecordBatch, ids: WordIds) -> Iterator[tuple]:
@@ -200,7 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sims = [similarity(x[2], y[2]) for x, y in _tables(batch, ids)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    return narrow(with_texts(pairs, texts)).mapInArrow(run, "a long, b long, sim double")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, sim double")
 
 
 def names(x: tuple, hub: tuple, threshold: float, least: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float, int, int, bool, bool, bool, bool]:
@@ -252,7 +252,7 @@ def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), listed, *columns], ["rep", "hub", "names", "sim", "allowed", "has", "needs", "m1", "m2", "m3", "m4"])
 
     schema = "rep long, hub long, names array<struct<key:long,w:double,inside:boolean>>, sim double, allowed double, has long, needs long, m1 boolean, m2 boolean, m3 boolean, m4 boolean"
-    return narrow(with_texts(pairs, texts)).mapInArrow(run, schema)
+    return with_texts(pairs, texts).mapInArrow(run, schema)
 
 
 def _joined_keys(n: int, bands: int) -> F.Column:
@@ -370,6 +370,11 @@ def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts:
     return reduce(DataFrame.unionByName, links).unionByName(last.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def _bucket_pairs(band: DataFrame) -> DataFrame:
+    """(a, b) of every member of a bucket and its hub, the greater row first."""
+    return band.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"))
+
+
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
     """rows (row: a unique long, text): row, class_row (the least row of its class) and digest (of its words)."""
     rows = rows.select("row", F.col("text").cast("string").alias("text"))
@@ -384,13 +389,21 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     near = _hubs(fine.select("rep", "n", F.explode(F.concat(*[_joined_keys(k, bands) for k in (2, 4) if k <= bands], F.array().cast("array<bigint>"))).alias("key")), "near-fine")
 
     # Texts only of documents that share a bucket.
-    pairs = members.select("rep", "hub").unionByName(near.select("rep", "hub")).where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     texts = rows.withColumnRenamed("row", "rep").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = materialise(texts, "near-texts")
-    links = materialise(verify(pairs, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
+    # Finer buckets first: their pairs are mostly links, and give most classes.  Of the other buckets' pairs only those of
+    # different classes are left to be looked at; a pair in one class can't change it.
+    first = _bucket_pairs(near).select("a", "b").distinct()
+    links = materialise(verify(first, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
     # Two rounds name most classes; the full answer follows when all links are known.
     classes = materialise(connected_components(links, 2), "near-classes", small=True)
-    release(own, near)
+    other = _bucket_pairs(members).select(F.col("a").alias("rep"), "b").distinct()
+    other = _classed(other, classes).select(F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("b").alias("rep"))
+    other = materialise(_classed(other, classes).where("c != ca").select("a", F.col("rep").alias("b")), "near-others", small=True)
+    found = verify(other, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = materialise(links.unionByName(found), "near-links")
+    classes = materialise(connected_components(links.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))), 2), "near-classes", small=True)
+    release(own, near, other)
     more = _more_links(members, links, classes, texts, threshold)
     known = links if more is None else links.unionByName(materialise(more, "near-more", small=True))
     classes = materialise(connected_components(known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "near-classes", small=True)
