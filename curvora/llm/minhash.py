@@ -344,7 +344,7 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
 def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """Links (src, dst) between different classes that meet in a bucket; classes are (node, component).
 
-    The place of a text is by its number of links so far, most first.  A group's hub has a place before all its other
+    links are those so far, and pairs of one class that met in a bucket.  The place of a text is by their number, most first.  A group's hub has a place before all its other
     members, and a group of names outside it hasn't got it; so places of hubs rise from step to step, and the search ends.
     """
     placed = _classed(members, classes)
@@ -399,15 +399,16 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     classes = materialise(connected_components(links, 2), "near-classes", small=True)
     other = _bucket_pairs(members).select(F.col("a").alias("rep"), "b").distinct()
     other = _classed(other, classes).select(F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("b").alias("rep"))
-    other = materialise(_classed(other, classes).where("c != ca").select("a", F.col("rep").alias("b")), "near-others", small=True)
-    found = verify(other, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    other = materialise(_classed(other, classes).select("a", F.col("rep").alias("b"), (F.col("c") == F.col("ca")).alias("same")), "near-others", small=True)
+    found = verify(other.where("not same").drop("same"), texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = materialise(links.unionByName(found), "near-links")
+    beside = links.unionByName(other.where("same").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = materialise(connected_components(links.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))), 2), "near-classes", small=True)
-    release(own, near, other)
-    more = _more_links(members, links, classes, texts, threshold)
+    release(own, near)
+    more = _more_links(members, beside, classes, texts, threshold)
     known = links if more is None else links.unionByName(materialise(more, "near-more", small=True))
     classes = materialise(connected_components(known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "near-classes", small=True)
-    release(members, texts, links)
+    release(members, texts, links, other)
 
     named = reps.join(classes, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class_row"))
     named = materialise(named, "near-named")
