@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
@@ -30,8 +29,8 @@ from .common import materialise, read_table
 FRAME, HOP, WIDEST = 512, 256, 4
 #: Frames between the two of a landmark; largest share of differing bits; least frames of overlap.
 GAP, MAX_BER, MIN_OVERLAP = 2, 0.15, 24
-#: Landmarks of a query that vote, rarest first of those that another recording has, and votes that an alignment needs.
-RARE_LANDMARKS, MIN_VOTES = 28, 2
+#: Votes that an alignment needs.
+MIN_VOTES = 2
 #: Pitch range of the chroma in Hz; thresholds between the four answers of a filter.
 LOW, HIGH, STEPS = 100.0, 2000.0, (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -134,8 +133,8 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo)), hi - lo
 
 
-def align(queries: DataFrame, prints: DataFrame, max_ber: float = MAX_BER, min_overlap: int = MIN_OVERLAP, landmarks: int = RARE_LANDMARKS, min_votes: int = MIN_VOTES) -> DataFrame:
-    """Align every query with the recordings that share rare landmarks with it.
+def align(queries: DataFrame, prints: DataFrame, max_ber: float = MAX_BER, min_overlap: int = MIN_OVERLAP, min_votes: int = MIN_VOTES) -> DataFrame:
+    """Align every query with the recordings that share landmarks with it.
 
     Both have rec_id and print.  Returns query_id, rec_id, offset (frames by which the recording lags), votes, overlap, ber.
     Defined cases: recordings without frames match nothing; null ids are left out; a recording isn't aligned with itself;
@@ -144,10 +143,7 @@ def align(queries: DataFrame, prints: DataFrame, max_ber: float = MAX_BER, min_o
     """
     queries, prints = queries.where(F.col("rec_id").isNotNull()), prints.where(F.col("rec_id").isNotNull())
     r = _landmarks(prints)
-    known = r.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")  # the query's own is one
-    q = _landmarks(queries).join(known, F.col("key") == F.col("k"))
-    rank = F.row_number().over(W.partitionBy("rec_id").orderBy("n", "key", "at"))
-    q = q.withColumn("rank", rank).where(F.col("rank") <= landmarks).select(F.col("rec_id").alias("query_id"), F.col("key").alias("q_key"), F.col("at").alias("q_at"))
+    q = _landmarks(queries).select(F.col("rec_id").alias("query_id"), F.col("key").alias("q_key"), F.col("at").alias("q_at"))
     votes = q.join(r, (F.col("q_key") == F.col("key")) & (F.col("query_id") != F.col("rec_id")))
     histogram = votes.groupBy("query_id", "rec_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
     best = histogram.groupBy("query_id", "rec_id").agg(F.max(F.struct(F.col("votes"), (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("sign"))).alias("b"))

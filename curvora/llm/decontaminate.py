@@ -144,8 +144,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = rows.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    union = F.udf(lambda lists: merged([(x["start"], x["end"]) for y in lists for x in y]), rows.schema["h"].dataType.elementType)
-    return rows.select("doc_id", "n_words", union("h").alias("hits"), "items")
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for y in lists for x in y])] for lists in batch.column("h").to_pylist()]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, kind), batch.column("items")], ["doc_id", "n_words", "hits", "items"])
+
+    return rows.select("doc_id", "n_words", "h", "items").mapInArrow(union, SCHEMA)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

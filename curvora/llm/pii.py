@@ -29,8 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MIN_CONFIDENCE = 5, 0.8
 #: Share of a trusted instance's occurrences beside qualified patterns from which its other occurrences are spans too.
 MIN_SHARE = 0.5
-#: Characters before and after an instance in which the words of its patterns are read: part of what a pattern is.
-LEFT_CHARS, RIGHT_CHARS = 48, 24
+#: Characters before an instance that are read first for the two words of its patterns; more where these are longer.
+NEAR = 48
 #: Signs that end a token, and those of them that a token without digits may follow.
 BREAKS, OPENERS = "=:\"'<>(),;|", "=:\"'"
 #: A key-like token: 32 or more characters with letters and digits among them.
@@ -45,6 +45,8 @@ DIGITS = re.compile("[0-9]+")
 #: Where a token may lie: at digits, or after a run of opening signs and blanks.
 STARTS = re.compile(r"[0-9]+|[=:\"'][=:\"' ]*")
 TAIL = re.compile(r"(\w+)?(\W*)\Z")
+#: After an instance: blanks and quotation marks, then the signs and the word beside it.
+NEXT = re.compile(r"[ \"']*([^\w\s]*)(\w*)")
 
 
 def luhn(digits: str) -> bool:
@@ -91,17 +93,31 @@ def _token(text: str, at: int) -> tuple[int, int]:
     return start, end
 
 
+def _head(text: str, start: int) -> tuple[str, re.Match, re.Match]:
+    """What stands before an instance in its line, at least two whole words of it, and the last word and the one before."""
+    size = NEAR
+    while True:
+        low = max(0, start - size)
+        head = text[low:start].lower()
+        cut = head.rfind("\n") + 1
+        head = head[cut:]
+        last = TAIL.search(head)
+        before = TAIL.search(head[: last.start()])
+        if cut or not low or before.start() and last.start():
+            return head, last, before
+        size *= 2
+
+
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Left word, two left words, and left with right word; signs between them belong to the pattern, blanks don't."""
-    head = text[max(0, start - LEFT_CHARS) : start].lower().rsplit("\n", 1)[-1]
-    last = TAIL.search(head)
+    """Left word, two left words, and left with right word, all of them whole; signs between them belong to the pattern,
+    blanks don't."""
+    head, last, before = _head(text, start)
     signs = "".join(last[2].split())
     if not last[1] and not signs:
         return []
-    right = text[end : end + RIGHT_CHARS].lower().lstrip(" \"'").split(" ")[0].split("\n")[0]
+    right = "".join(NEXT.match(text, end).groups()).lower()
     left = f"{last[1] or ''} {signs}"
     out = [f"L {left}", f"B {left} _ {right}"]
-    before = TAIL.search(head[: last.start()])
     if before[1]:
         out.append(f"LL {before[1]} {''.join(before[2].split())} {left}")
     return out

@@ -12,6 +12,7 @@ from .minhash import op2_minhash
 from .pii import op9_pii
 from .ranked_search import ORACLE as OP12
 from .ranked_search import op12_ranked_search
+from .sharding import ORACLE as OP3
 from .sharding import op3_sharding
 from .token_counts import op13_token_counts
 from .toxicity import op6_toxicity
@@ -35,4 +36,4 @@ QUERIES = {
     "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10, "op12_ranked_search": OP12}
+ORACLES: dict[str, str] = {"op3_sharding": OP3, "op4_url_filter": OP4, "op5_decontaminate": OP5, "op10_warc": OP10, "op12_ranked_search": OP12}

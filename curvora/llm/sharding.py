@@ -83,3 +83,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
+
+
+# The same in one query over whole sources: ranks by windows, the checksum byte by byte from its polynomial.
+ORACLE = """
+with steps as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n::ubigint, range(8)::ubigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) t),
+byte as (select doc_id, source, coalesce(text, '') text, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda p: ('0x' || p)::ubigint) b from documents),
+row as (
+  select doc_id, source, strlen(text) + 1 size, xor(list_reduce(list_prepend(4294967295::ubigint, b), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255)::bigint + 1])), 4294967295::ubigint)::bigint text_crc32,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint h
+  from byte, steps),
+ranked as (select *, (row_number() over (partition by source order by h, doc_id, text_crc32, size) - 0.5::double) / count(*) over (partition by source) frac from row),
+placed as (select *, row_number() over (order by frac, source, h, doc_id, text_crc32, size) - 1 pos, count(*) over () total from ranked)
+select doc_id, size, text_crc32, 'rows' law, (((pos + 1) * 16 - 1) // total)::int shard, pos - ((((pos + 1) * 16 - 1) // total) * total) // 16 slot, null::int grown_shard, source from placed
+"""

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, read_table, release
 from .minhash import BANDS, ROWS, WordIds, shingles, signatures
 
-#: Labelled rows that the model is fitted on at most; terms of the lexicon at most.
-SAMPLE_ROWS, MAX_TERMS = 40_000, 2_000
+#: Labelled rows that the model is fitted on at most.
+SAMPLE_ROWS = 40_000
 #: Least documents (of different near-duplicate classes) that hold a term, least log odds ratio, and least G statistic of
 #: the 2x2 table (about one chance finding in two million units).
 MIN_DOCS, MIN_LOG_ODDS, MIN_G = 3, 3.0, 25.0
@@ -229,7 +229,7 @@ def _lexicon(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -
         if u.endswith("*") and pos[u] <= 1.2 * most.get(letters, 0):
             continue
         kept[u] = round(odds[u], 6)
-    return dict(sorted(kept.items(), key=lambda x: (-pos[x[0]], x[0]))[:MAX_TERMS])
+    return dict(sorted(kept.items(), key=lambda x: (-pos[x[0]], x[0])))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[float, ...]:

@@ -88,9 +88,10 @@ def absolute(link: F.Column, base: F.Column) -> F.Column:
         up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(part == ".", done).when(part == "..", up).otherwise(F.array_append(done, part))
 
-    parts = F.split(F.substring(whole, 2, 1_000_000), "/")
+    parts = F.split(F.substr(whole, F.lit(2)), "/")
     parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(parts, F.lit(""))).otherwise(parts)
-    clean = F.concat(F.lit("/"), F.array_join(F.reduce(parts, F.array().cast("array<string>"), step), "/"))
+    dots = F.exists(parts, lambda part: part.isin(".", ".."))  # only then a path is walked part by part
+    clean = F.concat(F.lit("/"), F.array_join(F.when(dots, F.reduce(parts, F.array().cast("array<string>"), step)).otherwise(parts), "/"))
     resolved = F.concat(site, clean, tail)
     return (
         F.when(link == "", None).when(link.rlike("(?i)^[a-z][a-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link))

@@ -56,5 +56,32 @@ def test_recall_of_the_search_and_odd_rows(spark):
         assert at["offset"].tolist() == [-(8 + v % 16)]
 
 
+def test_the_search_finds_all_that_its_rule_finds_without_an_index(spark):
+    rnd = random.Random(6)
+    common = [rnd.uniform(-0.6, 0.6) for _ in range(40)]  # a passage that all recordings have, here or there
+    vectors = []
+    for _ in range(60):
+        at = rnd.randrange(25)
+        vectors.append([rnd.uniform(-0.6, 0.6) for _ in range(at)] + common + [rnd.uniform(-0.6, 0.6) for _ in range(24 - at)])
+    recordings = audio.recordings_of(spark.createDataFrame([(i, v, "x", i) for i, v in enumerate(vectors)], SCHEMA))
+    table = audio.fingerprints(recordings)
+    prints = {r.rec_id: np.array(r.print, np.int32).view(np.uint32) for r in table.collect()}
+    want = {}
+    for q in range(0, 60, 4):
+        for r in range(60):
+            a, b = prints[q], prints[r]
+            votes = {}
+            for i in range(len(a) - audio.GAP):
+                for j in np.flatnonzero((b[: -audio.GAP] == a[i]) & (b[audio.GAP :] == a[i + audio.GAP])):
+                    votes[int(j) - i] = votes.get(int(j) - i, 0) + 1
+            offset = max(votes, key=lambda o: (votes[o], -abs(o), -o), default=None)
+            if q != r and offset is not None and votes[offset] >= audio.MIN_VOTES:
+                ber, n = audio.bit_errors(a, b, offset)
+                if ber <= 0.5 and n >= audio.MIN_OVERLAP:
+                    want[q, r] = (offset, votes[offset])
+    found = audio.align(table.where("rec_id % 4 = 0"), table, max_ber=0.5)
+    assert {(r.query_id, r.rec_id): (r.offset, r.votes) for r in found.collect()} == want and len(want) > 700
+
+
 def test_search_of_nothing(spark):
     assert audio.search(audio.recordings_of(spark.createDataFrame([], SCHEMA), excerpts=True), audio.F.col("rec_id") % 20 == 0).count() == 0
