@@ -33,11 +33,11 @@ from .bpe import byte_alphabet
 from .common import materialise, read_table
 
 #: Characters and texts of one batch; linked pairs of one block; pairs in one row of a dictionary.
-BATCH_CHARS, BATCH, BLOCK_LINKS, DICTIONARY_ROW = 1 << 20, 256, 1_500_000, 4096
+BATCH_CHARS, BATCH, BLOCK_LINKS, DICTIONARY_ROW = 1 << 20, 256, 1_000_000, 4096
 #: Products that one step of a matrix product expands at once.
 EXPANDED = 1 << 22
 #: Chunks and tokens after which a task's memo is emptied.
-MEMO_CHUNKS, MEMO_TOKENS = 400_000, 3_000_000
+MEMO_CHUNKS, MEMO_TOKENS = 250_000, 2_000_000
 #: A blank between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A pair of ids is one number: A's id times this, plus B's.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in unit tests on one machine) a temporary folder is made
-    and put into the session, so that later calls use the same one.
+    Only where the session names none and runs in one process (as in unit tests) a temporary folder is made and put into
+    the session, so that later calls use the same one; on a cluster a missing folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curvora-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
