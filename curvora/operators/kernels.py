@@ -485,29 +485,3 @@ def predictions(x: np.ndarray, y: np.ndarray, z: np.ndarray, names: list[str], c
         "pls_da": np.array(order)[np.argmax(np.round(ones @ pls_da(a, y, order), 9), axis=1)],
     }
     return said, [names[i] for i in chosen]
-
-
-def fit_predict(train: pd.DataFrame, test: pd.DataFrame, features: list[str]) -> list[dict]:
-    """Select on the training plots, fit the three models, predict the test plots."""
-    said, chosen = predictions(train[features].to_numpy(float), train["treatment"].to_numpy(str), test[features].to_numpy(float), features)
-    names = ",".join(chosen)
-    return [{"plot": int(p), "block": int(k), "true_treatment": t, "predicted_treatment": str(said[m][i]), "model": m, "features": names} for m in MODELS for i, (p, k, t) in enumerate(zip(test["plot"], test["block"], test["treatment"], strict=True))]
-
-
-PREDICTION = "plot long, block int, true_treatment string, predicted_treatment string, model string, features string"
-
-
-def leave_one_block_out(plots: DataFrame, features: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """One task a fold (and a further key, such as a pair of lines): every learnt step sees training plots alone."""
-    folds = plots.select(*keys, F.col("block").alias("fold")).distinct()
-    rows = plots.join(folds, list(keys)) if keys else plots.crossJoin(F.broadcast(folds))  # a fold for each of the design's blocks
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("plot")
-        test = frame[frame["block"] == frame["fold"]]
-        train = frame[frame["block"] != frame["fold"]]
-        out = pd.DataFrame(fit_predict(train, test, features))
-        return out.assign(**{k: frame[k].iloc[0] for k in keys})
-
-    types = {f.name: f.dataType.simpleString() for f in plots.schema.fields}
-    return rows.groupBy(*keys, "fold").applyInPandas(run, PREDICTION + "".join(f", `{k}` {types[k]}" for k in keys))

@@ -93,11 +93,11 @@ def test_clusters_keep_one_of_equal_columns():
 def test_models_tell_separated_classes():
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"plot": range(30), "block": [i % 3 + 1 for i in range(30)], "treatment": [("Low", "Medium", "High")[i // 10] for i in range(30)]})
-    for k in range(4):
-        frame[f"f{k}"] = [3.0 * (i // 10) * (k % 2 + 1) for i in range(30)] + rng.normal(size=30) * 0.2
-    found = K.fit_predict(frame[frame.block != 1], frame[frame.block == 1], [f"f{k}" for k in range(4)])
-    good = [r["true_treatment"] == r["predicted_treatment"] for r in found if r["model"] != "pls_da"]
-    assert len(found) == 30 and all(good)
+    x = np.column_stack([[3.0 * (i // 10) * (k % 2 + 1) for i in range(30)] + rng.normal(size=30) * 0.2 for k in range(4)])
+    test, y = (frame["block"] == 1).to_numpy(), frame["treatment"].to_numpy(str)
+    said, chosen = K.predictions(x[~test], y[~test], x[test], [f"f{k}" for k in range(4)])
+    assert set(said) == set(K.MODELS) and 0 < len(chosen) <= 3
+    assert all((said[m] == y[test]).all() for m in K.MODELS if m != "pls_da")
 
 
 def test_separation_of_many_curves_equals_each_alone(spark):
