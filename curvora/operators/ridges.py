@@ -76,7 +76,7 @@ def score(top: Column, expected: float, sigma: float) -> Column:
 def best_top(min_prominence: float | Column, min_width: float | Column, expected: float, sigma: float) -> Column:
     """The candidate of highest score (the first of equal ones) among those that meet the limits; null if there is none."""
     least = F.greatest(F.lit(1.0), F.rint(_dbl(min_width) / F.greatest("step", F.lit(1e-9))))
-    good = F.filter("tops", lambda t: (t["prominence"] >= _dbl(min_prominence)) & (t["width"] >= least))
+    good = F.filter("tops", lambda t: (F.round(t["prominence"], 9) >= _dbl(min_prominence)) & (F.round(t["width"], 9) >= least))  # so that every engine cuts alike
     return F.array_max(F.transform(good, lambda t: F.struct(score(t, expected, sigma).alias("score"), (-t["at"]).alias("back"), *[t[n].alias(n) for n in TOP.names[1:]])))
 
 

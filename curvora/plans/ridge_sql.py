@@ -55,7 +55,7 @@ ridge as (
   select s.line, s.leaf, s.sample_id, case when b.x is null then 'no_peak' else 'detected' end status, b.x, b.lx, b.rx, b.prominence, b.width * b.step wf, b.score,
     case when b.x is not null then '' when s.n < 5 then '{SHORT}' when coalesce(c.n_mid, 0) < 5 then '{SHORT_MIDDLE}' else '{NO_PEAK}' end notes
   from size s left join (select line, max(n_mid) n_mid from mid group by line) c using (line) left join (
-    select * from tops where prominence >= 6 and width >= greatest(1, round_even(0.01 / step, 0)) and width * step >= 0.01
+    select * from tops where round(prominence, 9) >= 6 and round(width, 9) >= greatest(1, round_even(0.01 / step, 0)) and width * step >= 0.01
     qualify row_number() over (partition by line order by round(score, 9) desc, k) = 1) b using (line))"""
 
 
@@ -92,7 +92,7 @@ _SETTINGS = ", ".join(f"({i}, {p}::double, {w}::double, {r}::double)" for i, p,
 PARAM_SCAN = f"""with {tops(-1)},
 setting(setting, p, w, r) as (values {_SETTINGS}),
 chosen as (
-  select g.*, t.line, t.x, t.width * t.step wf from tops t join setting g on t.prominence >= g.p and t.width >= greatest(1, round_even(g.w / t.step, 0))
+  select g.*, t.line, t.x, t.width * t.step wf from tops t join setting g on round(t.prominence, 9) >= g.p and round(t.width, 9) >= greatest(1, round_even(g.w / t.step, 0))
   qualify row_number() over (partition by g.setting, t.line order by round(t.score, 9) desc, t.k) = 1),
 leaves as (
   select g.setting, g.p, g.w, g.r, s.leaf, count(c.line) n, max(c.x) - min(c.x) spread
@@ -106,7 +106,7 @@ from (select *, row_number() over (partition by line order by round(score, 9) de
 _WIDTHS = "(values (0.003::double), (0.005::double), (0.008::double), (0.01::double), (0.015::double)) v(w)"
 INSPECT_CASE = f"""with {tops()},
 chosen as (
-  select v.w, t.* from tops t, {_WIDTHS} where t.prominence >= 6 and t.width >= greatest(1, round_even(v.w / t.step, 0))
+  select v.w, t.* from tops t, {_WIDTHS} where round(t.prominence, 9) >= 6 and round(t.width, 9) >= greatest(1, round_even(v.w / t.step, 0))
   qualify row_number() over (partition by v.w, t.line order by round(t.score, 9) desc, t.k) = 1)
 select s.line, v.w min_width_fraction, case when c.width * c.step >= v.w then 'detected' else 'no_peak' end status, case when c.width * c.step >= v.w then round(c.x, 6) end peak_position_fraction,
   case when c.width * c.step >= v.w then round(c.prominence, 6) end peak_prominence, case when c.width * c.step >= v.w then round(c.width * c.step, 6) end peak_width_fraction
