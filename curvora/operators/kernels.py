@@ -343,7 +343,7 @@ def clusters(x: np.ndarray, threshold: float = 0.95) -> list[list[int]]:
 def medoids(x: np.ndarray, names: list[str], threshold: float = 0.95, groups: list[list[int]] | None = None) -> list[int]:
     """One feature a cluster: greatest mean |r|, then variance, then first name."""
     r, var = np.abs(_correlation(x)), x.var(axis=0)
-    chosen = [min(g, key=lambda i: (-round(r[i, g].mean(), 12), -round(var[i], 12), names[i])) for g in (clusters(x, threshold) if groups is None else groups)]
+    chosen = [g[0] if len(g) == 1 else min(g, key=lambda i: (-round(r[i, g].mean(), 12), -round(var[i], 12), names[i])) for g in (clusters(x, threshold) if groups is None else groups)]
     return sorted(chosen, key=lambda i: names[i])
 
 
@@ -380,10 +380,12 @@ def selection(x: np.ndarray, y: np.ndarray, names: list[str], top: int = 20, n:
     filled = np.where(np.isfinite(x), x, np.nan)
     some = np.flatnonzero(np.isfinite(filled).any(axis=0))
     x = np.nan_to_num(np.where(np.isfinite(filled), filled, np.nan_to_num(column_medians(filled))))
-    use = [i for i in some if x[:, i].var() > 1e-12]
+    spread = x.var(axis=0)
+    use = [i for i in some if spread[i] > 1e-12]
     groups = [[use[i] for i in g] for g in clusters(x[:, use])] if use else []
     cluster = {i: k for k, g in enumerate(groups, 1) for i in g}
-    kept = [use[i] for i in medoids(x[:, use], [names[i] for i in use], groups=[[use.index(i) for i in g] for g in groups])] if use else []
+    at = {i: k for k, i in enumerate(use)}
+    kept = [use[i] for i in medoids(x[:, use], [names[i] for i in use], groups=[[at[i] for i in g] for g in groups])] if use else []
     f = anova_f(x[:, kept], y) if kept else np.zeros(0)
     best = sorted(range(len(kept)), key=lambda i: (-f[i], names[kept[i]]))[:top]
     found = mrmr(x[:, [kept[i] for i in best]], f[best], [names[kept[i]] for i in best], n) if best else []
