@@ -18,6 +18,7 @@ from .operators import plots as V
 from .operators import raster as R
 from .operators import ridges as D
 from .operators import selection as B
+from .plans import curve_sql as U
 from .plans import ridge_sql as Q
 from .plans.chain import Chain
 from .sources import adapters as A
@@ -399,6 +400,7 @@ ORACLES["half_curve_features"] = f"with {Q.HALVES}, half_points as (select line,
 ORACLES |= {
     "ridge_candidates": Q.CANDIDATES, "midrib_lines": Q.MIDRIB_LINES, "line_results": Q.LINE_RESULTS, "leaf_summary": Q.LEAF_SUMMARY, "annotate_sides": Q.ANNOTATE_SIDES, "split_half_curves": Q.SPLIT_HALVES,
     "param_scan": Q.PARAM_SCAN, "inspect_candidates": Q.INSPECT, "inspect_case": Q.INSPECT_CASE, "manual_lines": Q.MANUAL_LINES, "manual_override": Q.MANUAL_OVERRIDE, "manual_sides": Q.MANUAL_SIDES,
+    "gradient": U.GRADIENT, "savgol_interior": U.SAVGOL, "leaf_boundaries": U.BOUNDARIES, "otsu_threshold": U.OTSU, "plot_medians": U.PLOT_MEDIANS, "anova_f": U.ANOVA,
     "quality_notes": Q.QUALITY_NOTES, "box_overlay": Q.BOX_OVERLAY, "qc_overlay": Q.QC_OVERLAY, "representation_preview": Q.REPRESENTATION_PREVIEW,
     "position_gaps": Q.POSITION_GAPS, "vector_medians": Q.VECTOR_MEDIANS,
 }
