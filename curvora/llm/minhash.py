@@ -366,8 +366,22 @@ def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts:
         pairs = after
     if not links:
         return None
-    last = verify(reduce(DataFrame.unionByName, direct).distinct(), texts).where(F.col("sim") >= threshold)
-    return reduce(DataFrame.unionByName, links).unionByName(last.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    known = reduce(DataFrame.unionByName, links)
+    # The links found beside hubs tie many classes together; of the pairs left over only those of different ones can add any.
+    ties = known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    last = verify(_between(reduce(DataFrame.unionByName, direct).distinct(), materialise(connected_components(ties, 2), "near-classes", small=True)), texts)
+    return known.unionByName(last.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b): adds same, whether both are known to be of one class."""
+    first = _classed(pairs.select(F.col("a").alias("rep"), "b"), classes).select(F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("b").alias("rep"))
+    return _classed(first, classes).select("a", F.col("rep").alias("b"), (F.col("c") == F.col("ca")).alias("same"))
+
+
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of different classes, written."""
+    return materialise(_with_classes(pairs, classes).where("not same").drop("same"), "near-others", small=True)
 
 
 def _bucket_pairs(band: DataFrame) -> DataFrame:
@@ -397,9 +411,7 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     links = materialise(verify(first, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
     # Two rounds name most classes; the full answer follows when all links are known.
     classes = materialise(connected_components(links, 2), "near-classes", small=True)
-    other = _bucket_pairs(members).select(F.col("a").alias("rep"), "b").distinct()
-    other = _classed(other, classes).select(F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("b").alias("rep"))
-    other = materialise(_classed(other, classes).select("a", F.col("rep").alias("b"), (F.col("c") == F.col("ca")).alias("same")), "near-others", small=True)
+    other = materialise(_with_classes(_bucket_pairs(members).distinct(), classes), "near-others", small=True)
     found = verify(other.where("not same").drop("same"), texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = materialise(links.unionByName(found), "near-links")
     beside = links.unionByName(other.where("same").select(F.col("a").alias("src"), F.col("b").alias("dst")))
