@@ -209,6 +209,14 @@ def test_pii_base_equals_the_patterns(spark):
         assert hashlib.sha256(found.encode()).hexdigest() == pii.brute_force(texts[r.doc_id]), texts[r.doc_id][:80]
 
 
+def test_pii_query_counts_each_kind_by_itself(spark, tmp_path):
+    texts = ["a@b.cd and c@d.ef, 1.2.3.4, 4111 1111 1111 1111 +1 (212) 555-0100 +49 30 1234567", "1.2.3.4", "a@b.cd", None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for _, r in sorted(out.items())] == [(2, 1, 1, 2), (0, 1, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0)]
+    assert [out[i].base_sha256 for i in range(4)] == [pii.brute_force(t) for t in texts]
+
+
 def test_pii_bootstraps_identifiers_by_their_context(spark):
     seeds = [f"filler text, contact me at user{i}@mail.example.com please" for i in range(12)]
     fresh = ["filler text, contact me at handle-778812 please", "totally other words handle-778812 there", "size of 778899xy here"]
