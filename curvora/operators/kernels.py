@@ -6,6 +6,7 @@ Spark deals the groups out; each is bounded by the width of a curve or an image,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,14 @@ from .curves import savgol_weights
 
 def local_maxima(y: np.ndarray) -> np.ndarray:
     """Points above their neighbours; the middle of a plateau counts for it; ends are none."""
-    edge = np.flatnonzero(np.append(True, y[1:] != y[:-1]))  # starts of runs of equal values
-    last = np.append(edge[1:], len(y)) - 1
-    inner = np.arange(1, len(edge) - 1)
-    top = inner[(y[edge[inner]] > y[edge[inner - 1]]) & (y[edge[inner]] > y[edge[inner + 1]])]
-    return (edge[top] + last[top]) // 2
+    if len(y) < 3:
+        return np.zeros(0, int)
+    new = np.ones(len(y), bool)  # starts of runs of equal values
+    np.not_equal(y[1:], y[:-1], out=new[1:])
+    edge = new.nonzero()[0]
+    v = y[edge]
+    top = ((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])).nonzero()[0] + 1
+    return (edge[top] + edge[top + 1] - 1) // 2
 
 
 def prominences(y: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,16 +66,24 @@ def half_widths(y: np.ndarray, peaks: np.ndarray, prominence: np.ndarray, lefts:
 
 
 def spaced(peaks: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
-    """Highest first, each removes others nearer than the distance; of equal heights the later one is taken first."""
+    """Highest first, each removes others nearer than the distance; of equal heights the later one is taken first.  Peaks
+    are in order."""
+    low, high = np.searchsorted(peaks, peaks - distance, side="right").tolist(), np.searchsorted(peaks, peaks + distance).tolist()
     keep = np.ones(len(peaks), bool)
-    for n in np.argsort(heights, kind="stable")[::-1]:
+    for n in np.argsort(heights, kind="stable")[::-1].tolist():
         if keep[n]:
-            near = np.abs(peaks - peaks[n]) < distance
-            near[n] = False
-            keep[near] = False
+            keep[low[n] : high[n]] = False
+            keep[n] = True
     return peaks[keep]
 
 
+@lru_cache(maxsize=None)
+def _smoother(window: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the middle point, as a convolution takes them, and the projection of a window on its polynomials."""
+    basis = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    return np.array(savgol_weights(window, order)[::-1]), basis @ np.linalg.pinv(basis)
+
+
 def smooth(y: np.ndarray, window: int, order: int = 2) -> np.ndarray:
     """Savitzky-Golay: fixed weights inside, the end windows' own polynomials at the ends; too short: unchanged."""
     window = min(window, len(y))
@@ -79,9 +91,8 @@ def smooth(y: np.ndarray, window: int, order: int = 2) -> np.ndarray:
     if window < order + 2:
         return y
     h = window // 2
-    out = np.convolve(y, savgol_weights(window, order)[::-1], "same")
-    basis = np.vander(np.arange(window) - h, order + 1, increasing=True)
-    project = basis @ np.linalg.pinv(basis)
+    weights, project = _smoother(window, order)
+    out = np.convolve(y, weights, "same")
     out[:h], out[-h:] = (project @ y[:window])[:h], (project @ y[-window:])[-h:]
     return out
 
@@ -89,6 +100,8 @@ def smooth(y: np.ndarray, window: int, order: int = 2) -> np.ndarray:
 def fill_gaps(y: np.ndarray) -> np.ndarray:
     """Linear between finite values, the nearest one at the ends; zeros if there is none."""
     ok = np.isfinite(y)
+    if ok.all():
+        return y
     return np.interp(np.arange(len(y)), np.flatnonzero(ok), y[ok]) if ok.any() else np.zeros(len(y))
 
 
@@ -98,7 +111,7 @@ def envelope(y: np.ndarray, distance: int = 7, window: int = 21) -> np.ndarray:
     if len(y) < 3:
         return np.full(len(y), y.mean() if len(y) else 0.0)
     valleys = local_maxima(-y)
-    anchors = np.unique(np.concatenate(([0, len(y) - 1], spaced(valleys, -y[valleys], distance)))).astype(int)
+    anchors = np.concatenate(([0], spaced(valleys, -y[valleys], distance), [len(y) - 1]))
     return smooth(np.interp(np.arange(len(y)), anchors, y[anchors]), window)
 
 
