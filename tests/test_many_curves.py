@@ -13,3 +13,17 @@ def test_weights_of_a_window_are_made_once(monkeypatch):
     for _ in range(50):
         K.envelope(np.array([3.0, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]))
     assert len(calls) <= 2
+
+
+def test_linkage_restarts_without_looking_at_every_group_again(monkeypatch):
+    """Merges of well separated pairs are those of a plain search for the nearest groups."""
+    points = np.sort(np.random.default_rng(5).random(60))
+    d = np.abs(points[:, None] - points)
+    groups, merges = {i: [i] for i in range(60)}, []
+    while len(groups) > 1:
+        far, i, j = min((max(d[a, b] for a in groups[i] for b in groups[j]), i, j) for i in groups for j in groups if i < j)
+        merges.append((i, j, float(far)))
+        groups[i] += groups.pop(j)
+    calls, real = [], np.isfinite
+    monkeypatch.setattr(np, "isfinite", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert sorted(K.complete_linkage(d)) == sorted(merges) and not calls
