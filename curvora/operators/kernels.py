@@ -160,6 +160,50 @@ def peak_row(pos: np.ndarray, y: np.ndarray, fraction: float = 0.1, min_points:
     return list(row.values())
 
 
+def _lowest(z: np.ndarray, ok: np.ndarray, last: bool) -> np.ndarray:
+    """Place of the least value of each row among those that count: the first of equal ones, or the last."""
+    z = np.where(ok, z, np.inf)
+    return z.shape[1] - 1 - np.argmin(z[:, ::-1], axis=1) if last else np.argmin(z, axis=1)
+
+
+def peak_rows(pos: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, fraction: float = 0.1) -> np.ndarray:
+    """``peak_row`` of each row of finite values y at the same five or more places, with their 5th and 95th percentiles."""
+    m, n = y.shape
+    new = np.ones((m, n), bool)  # starts of runs of equal values, in all rows at once
+    np.not_equal(y[:, 1:], y[:, :-1], out=new[:, 1:])
+    edge, flat = np.flatnonzero(new), y.ravel()
+    v, row = flat[edge], edge // n
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (row[:-2] == row[1:-1]) & (row[2:] == row[1:-1])) + 1
+    at, of = (edge[top] + edge[top + 1] - 1) // 2 - row[top] * n, row[top]
+    z, k, height = y[of], np.arange(n), y[of, at]
+    before, after, higher = k <= at[:, None], k >= at[:, None], z > height[:, None]
+    lo = np.where(higher & before, k + 1, 0).max(axis=1, initial=0)
+    hi = np.where(higher & after, k, n).min(axis=1, initial=n)
+    left, right = _lowest(z, before & (k >= lo[:, None]), True), _lowest(z, after & (k < hi[:, None]), False)
+    each = np.arange(len(z))
+    prominence = height - np.maximum(z[each, left], z[each, right])
+    use = prominence >= np.maximum(fraction * (high - low), np.finfo(float).eps)[of]
+    z, at, of, left, right, prominence, height, before, after, each = z[use], at[use], of[use], left[use], right[use], prominence[use], height[use], before[use], after[use], each[: use.sum()]
+    level = height - prominence / 2
+    under = z <= level[:, None]
+    i = np.maximum(left, np.where(under & before, k, 0).max(axis=1, initial=0))
+    j = np.minimum(right, np.where(under & after, k, n).min(axis=1, initial=n))
+    a, b, inner, outer = z[each, i], z[each, j], z[each, np.minimum(i + 1, n - 1)], z[each, np.maximum(j - 1, 0)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        first = np.where(a < level, i + (level - a) / (inner - a), i)
+        second = np.where(b < level, j - (level - b) / (outer - b), j)
+    count = np.bincount(of, minlength=m)
+    out = np.full((m, len(PEAK_FEATURES)), np.nan)
+    out[:, 0], out[:, 1] = count, count / n
+    have = count > 0
+    starts = (np.cumsum(count) - count)[have]
+    for c, values in ((2, height), (4, prominence), (6, (second - first) * float(np.median(np.diff(pos))))):
+        if len(values):
+            out[have, c] = np.bincount(of, values, minlength=m)[have] / count[have]
+            out[have, c + 1] = np.maximum.reduceat(values, starts)
+    return out
+
+
 def separated_peak_features(curves: DataFrame, keys: list[str]) -> DataFrame:
     """Number, density, heights, prominences and widths of the peaks of each curve (xs, ys) above its baseline.
 
