@@ -321,19 +321,17 @@ def equalise(values: np.ndarray, mask: np.ndarray, tiles: int = 8, clip: float =
     filled = np.where(mask, values, int(np.median(values[mask])))
     ky, kx = max(1, -(-h // tiles)), max(1, -(-w // tiles))
     ny, nx = -(-h // ky), -(-w // kx)
-    maps = np.zeros((ny, nx, bins))
-    for a in range(ny):
-        for b in range(nx):
-            tile = filled[a * ky : (a + 1) * ky, b * kx : (b + 1) * kx]
-            hist = np.bincount(tile.ravel().astype(int), minlength=bins).astype(float)
-            limit = max(1.0, clip * tile.size)
-            hist = np.minimum(hist, limit) + np.maximum(hist - limit, 0).sum() / bins
-            maps[a, b] = hist.cumsum() * 255 / tile.size
+    v = filled.astype(int)
+    tile = (np.arange(h) // ky)[:, None] * nx + np.arange(w) // kx
+    hist = np.bincount((tile * bins + v).ravel(), minlength=ny * nx * bins).reshape(ny * nx, bins).astype(float)
+    size = np.bincount(tile.ravel())[:, None]
+    limit = np.maximum(1.0, clip * size)
+    hist = np.minimum(hist, limit) + np.maximum(hist - limit, 0).sum(axis=1, keepdims=True) / bins
+    maps = (hist.cumsum(axis=1) * 255 / size).reshape(ny, nx, bins)
     fy, fx = np.clip((np.arange(h) + 0.5) / ky - 0.5, 0, ny - 1), np.clip((np.arange(w) + 0.5) / kx - 0.5, 0, nx - 1)
     y0, x0 = np.floor(fy).astype(int), np.floor(fx).astype(int)
     y1, x1 = np.minimum(y0 + 1, ny - 1), np.minimum(x0 + 1, nx - 1)
     wy, wx = (fy - y0)[:, None], (fx - x0)[None]
-    v = filled.astype(int)
     at = lambda a, b: maps[a[:, None], b[None], v]
     return at(y0, x0) * (1 - wy) * (1 - wx) + at(y0, x1) * (1 - wy) * wx + at(y1, x0) * wy * (1 - wx) + at(y1, x1) * wy * wx
 
@@ -342,15 +340,16 @@ def equalised_green(pixels: DataFrame) -> DataFrame:
     """Equalised green inside the mask of each image, over the mask's bounding box."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        inside = frame[frame["mask"].astype(bool)]
-        if not len(inside):
+        y, x, own = frame["y"].to_numpy(), frame["x"].to_numpy(), frame["mask"].to_numpy(bool)
+        if not own.any():
             return pd.DataFrame(columns=["image_id", "y", "x", "clahe_green"])
-        box = frame[frame["y"].between(inside["y"].min(), inside["y"].max()) & frame["x"].between(inside["x"].min(), inside["x"].max())]
-        y, x = box["y"] - box["y"].min(), box["x"] - box["x"].min()
-        values, mask = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1), bool)
-        values[y, x], mask[y, x] = box["g"], box["mask"].astype(bool)
-        done = equalise(values, mask)
-        return box[["image_id", "y", "x"]].assign(clahe_green=done[y, x])[mask[y, x]]
+        top, left = y[own].min(), x[own].min()
+        height, width = y[own].max() - top + 1, x[own].max() - left + 1
+        box = (y >= top) & (y < top + height) & (x >= left) & (x < left + width)
+        values, mask = np.zeros((height, width)), np.zeros((height, width), bool)
+        values[y[box] - top, x[box] - left], mask[y[box] - top, x[box] - left] = frame["g"].to_numpy()[box], own[box]
+        y, x = y[own], x[own]
+        return pd.DataFrame({"image_id": frame["image_id"].to_numpy()[own], "y": y, "x": x, "clahe_green": equalise(values, mask)[y - top, x - left]})
 
     return pixels.select("image_id", "y", "x", "g", "mask").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, clahe_green double")
 
