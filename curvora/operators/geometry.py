@@ -81,21 +81,26 @@ def lines_across(centers: DataFrame, pixels: DataFrame, edge_trim: float = 0.05,
 
     With ``strip`` there is a line for each offset of the centre along the tangent (strip_offset_px).  A centre outside
     the mask and a line without length have no row, and leave a gap in the sample_ids.  Pixels are those that points fall
-    into when rounded half to even; pixels outside the table are outside the mask.
+    into when rounded half to even; pixels outside the table are outside the mask.  A ray is followed to where it leaves
+    the mask's box, and each of its pixels is looked up once, at its first point.
     """
     shown = ["image_id", "sample_id", "x_center", "y_center", "tangent_x", "tangent_y", "normal_x", "normal_y"]
     rows = centers.select(*shown, F.explode(F.array(*map(F.lit, offsets(strip) if strip is not None else [0]))).alias("strip_offset_px"))
     rows = rows.withColumn("cx", F.col("x_center") + F.col("strip_offset_px") * F.col("tangent_x")).withColumn("cy", F.col("y_center") + F.col("strip_offset_px") * F.col("tangent_y"))
     inside = pixels.where("mask").select(F.col("image_id").alias("im"), F.col("x").cast("long").alias("mx"), F.col("y").cast("long").alias("my"))
-    box = inside.groupBy(F.col("im").alias("bi")).agg((F.max("mx") - F.min("mx") + F.max("my") - F.min("my") + 2).alias("span"))
+    box = inside.groupBy(F.col("im").alias("bi")).agg((F.max("mx") - F.min("mx") + F.max("my") - F.min("my") + 2).alias("span"), F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
     last = F.least(F.lit(max_steps), F.ceil(F.col("span") / step).cast("int"))
     key = ["image_id", "sample_id", "strip_offset_px"]
-    rays = rows.join(box, F.col("image_id") == F.col("bi")).select(*key, "cx", "cy", "normal_x", "normal_y", last.alias("last"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
-    rays = rays.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
-    at = [F.bround(F.col(c) + F.col("side") * F.col("k") * step * F.col(n)).cast("long") for c, n in (("cx", "normal_x"), ("cy", "normal_y"))]
-    rays = rays.select(*key, "side", "k", "last", at[0].alias("px"), at[1].alias("py"))
+    rays = rows.join(box, F.col("image_id") == F.col("bi")).select(*key, "cx", "cy", "normal_x", "normal_y", "x0", "x1", "y0", "y1", last.alias("last"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    at = lambda k, c, n: F.bround(F.col(c) + F.col("side") * k * step * F.col(n)).cast("long")
+    rays = rays.withColumn("points", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(k.alias("k"), at(k, "cx", "normal_x").alias("px"), at(k, "cy", "normal_y").alias("py"))))
+    left_box = F.filter("points", lambda p: ~(p["px"].between(F.col("x0"), F.col("x1")) & p["py"].between(F.col("y0"), F.col("y1"))))
+    rays = rays.withColumn("until", F.coalesce(F.get(left_box, F.lit(0))["k"], F.col("last") + 1))
+    same = lambda p, o: (p["px"] == o["px"]) & (p["py"] == o["py"])
+    fresh = F.filter("points", lambda p, i: (p["k"] < F.col("until")) & ((i == 0) | ~same(p, F.get("points", i - 1))))
+    rays = rays.select(*key, "side", "until", F.inline(fresh))
     met = rays.join(inside, (F.col("image_id") == F.col("im")) & (F.col("px") == F.col("mx")) & (F.col("py") == F.col("my")), "left")
-    reach = met.groupBy(*key, "side").agg(F.coalesce(F.min(F.when(F.col("im").isNull(), F.col("k"))) - 1, F.max("last")).alias("steps"))
+    reach = met.groupBy(*key, "side").agg((F.coalesce(F.min(F.when(F.col("im").isNull(), F.col("k"))), F.max("until")) - 1).alias("steps"))
     reach = reach.groupBy(*key).agg(F.max(F.when(F.col("side") < 0, F.col("steps"))).alias("back"), F.max(F.when(F.col("side") > 0, F.col("steps"))).alias("forth")).where("back >= 0 and forth >= 0")
     found = rows.join(reach, key)
     reached = (F.col("back") + F.col("forth")) * step
