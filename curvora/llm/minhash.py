@@ -302,6 +302,19 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
     return materialise(own.where("old != new"), "near-ties", small=True)
 
 
+def _viable(first: DataFrame) -> DataFrame:
+    """first (key, rep, c, has, needs): (key, rep, c) of texts beside which a key has one of another class that needs no more
+    names in common than the text has.
+
+    A key's two least needs, of different classes, tell that for all of its texts, so no class is joined with others.
+    """
+    least = first.groupBy(F.col("key").alias("k"), F.col("c").alias("kc")).agg(F.min("needs").alias("least"))
+    two = least.withColumn("nth", F.row_number().over(W.partitionBy("k").orderBy("least", "kc"))).where("nth <= 2")
+    ends = narrow(two.groupBy("k").agg(F.min(F.struct("least", "kc")).alias("low"), F.max(F.struct("least", "kc")).alias("next")).where("low.kc != next.kc"))
+    other = F.when(F.col("c") == F.col("low.kc"), F.col("next.least")).otherwise(F.col("low.least"))
+    return narrow(first.join(ends, F.col("key") == F.col("k"))).where(other <= F.col("has")).select("key", "rep", "c")
+
+
 def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float, step: int) -> tuple[DataFrame, DataFrame]:
     """For the groups of two or more classes: (rep, hub), the members of one with many pairs of them and its text of most
     links; and (a, b), the pairs of different classes of one with few."""
@@ -321,11 +334,7 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
     before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     first = narrow(live.withColumn("before", before).withColumn("live", F.sum("w").over(own))).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
     first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "c", "has", "needs"), "near-first", small=True)
-    # A text stays in a group where some text of another class needs no more names in common than it has.
-    counted = narrow(first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("needs").alias("least")))
-    top = narrow(counted.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top")))
-    needs = narrow(narrow(counted.join(top.withColumnRenamed("k", "tk"), F.col("k") == F.col("tk"))).groupBy("k", F.col("top.c").alias("main")).agg(F.min("least").alias("all"), F.min(F.when(F.col("c") != F.col("top.c"), F.col("least"))).alias("other")))
-    first = narrow(first.join(needs, F.col("key") == F.col("k"))).where(F.when(F.col("c") == F.col("main"), F.col("other")).otherwise(F.col("all")) <= F.col("has")).select("key", "rep", "c")
+    first = _viable(first)
     first = materialise(first.join(narrow(pairs.select(F.col("rep").alias("pr"), "n", "place").distinct()), F.col("rep") == F.col("pr")).drop("pr"), "near-viable", small=True)
     # By key and class first, so that a key with very many members makes few rows.
     counted = narrow(first.groupBy(F.col("key").alias("k"), "c").agg(F.count("*").alias("m"), F.min("place").alias("h")))
