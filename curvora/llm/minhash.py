@@ -18,9 +18,10 @@ the hub, and m the least number of distinct shingles among the members.  Similar
 sizes together, and y has m shingles or more.  If x shares fewer with h than that comes to, as most texts do that aren't
 similar to h, then x and y share a shingle that h doesn't have.  So each member is compared with the text of most links,
 and named by its shingles outside it; members of several classes with a name in common form a smaller group, which is
-treated in the same way, until no group holds two classes.  By the prefix filter only the first shingles of a text, rare
-ones before frequent ones and with a fifth of its weight before them, need to be such names.  Where the argument fails (by
-the marks of ``names``), shingles that are shared with h are names too.
+treated in the same way, until no group holds two classes, or so few pairs are left that all those whose sizes allow a
+link can be compared.  By the prefix filter only the first shingles of a text, rare ones before frequent ones and with a
+fifth of its weight before them, need to be such names.  Where the argument fails (by the marks of ``names``), shingles
+that are shared with h are names too.
 Every candidate is verified on whole texts; classes are connected components of links.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialise, narrow, number_rows, read_table, release
+from .common import materialise, narrow, number_rows, read_table, release
 from .components import connected_components
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band: at 0.8 a link is missed by all bands with probability 5e-8.
@@ -48,6 +49,8 @@ MEMO_WORDS = 500_000
 #: Pairs of different classes a member, up to which those of a group are compared at once, instead of all with a hub; the
 #: number doubles from step to step, up to the second one.
 DIRECT_PAIRS, MOST_DIRECT_PAIRS = 8, 64
+#: Pairs beside all hubs for each text beside one in the first step, up to which they are compared at once, without further steps.
+LAST_PAIRS = 16
 #: Guards comparisons of sums of weights; a larger one only adds candidates.
 EPS = 1e-9
 
@@ -303,7 +306,7 @@ def _ties(found: DataFrame, classes: DataFrame, before: DataFrame | None) -> Dat
 
 
 def _viable(first: DataFrame) -> DataFrame:
-    """first (key, rep, c, has, needs): (key, rep, c) of texts beside which a key has one of another class that needs no more
+    """first (key, rep, c, has, needs and others): the texts beside which a key has one of another class that needs no more
     names in common than the text has.
 
     A key's two least needs, of different classes, tell that for all of its texts, so no class is joined with others.
@@ -312,7 +315,17 @@ def _viable(first: DataFrame) -> DataFrame:
     two = least.withColumn("nth", F.row_number().over(W.partitionBy("k").orderBy("least", "kc"))).where("nth <= 2")
     ends = narrow(two.groupBy("k").agg(F.min(F.struct("least", "kc")).alias("low"), F.max(F.struct("least", "kc")).alias("next")).where("low.kc != next.kc"))
     other = F.when(F.col("c") == F.col("low.kc"), F.col("next.least")).otherwise(F.col("low.least"))
-    return narrow(first.join(ends, F.col("key") == F.col("k"))).where(other <= F.col("has")).select("key", "rep", "c")
+    return narrow(first.join(ends, F.col("key") == F.col("k"))).where(other <= F.col("has")).select(*first.columns)
+
+
+def _may_link(n: F.Column, has: F.Column, needs: F.Column, n2: F.Column, has2: F.Column, needs2: F.Column, exact: F.Column, threshold: float) -> F.Column:
+    """Whether two texts beside a hub, with n shingles and ``has`` of them outside it, can be similar.
+
+    Texts without repeats (``exact``) share at least t / (1 + t) of their sizes together: no more than the smaller one has,
+    and of these no more lie in the hub than either has there.
+    """
+    shared = threshold / (1 + threshold) * (n + n2) - EPS
+    return (has2 >= needs) & (has >= needs2) & (~exact | (shared <= F.least(n, n2)) & (shared <= F.least(has, has2) + F.least(n - has, n2 - has2)))
 
 
 def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float, step: int) -> tuple[DataFrame, DataFrame]:
@@ -322,8 +335,8 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
     rows = _classed(beside, classes).join(ties, F.col("c") == F.col("old"), "left").join(marks, F.col("hub") == F.col("mh"))
     use = F.when(F.col("loose"), F.col("names")).otherwise(F.filter("names", lambda x: ~x["inside"])).alias("names")
     allowed = F.when(F.col("repeats"), 1 - threshold).otherwise(F.col("allowed")).alias("allowed")
-    rows = materialise(rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), use, allowed, "m1", "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs")), "near-names", small=True)
-    keep = ("rep", "hub", "c", "allowed", "m1", "has", "needs")
+    rows = materialise(rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), use, allowed, "m1", "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs"), (~F.col("repeats")).alias("exact")), "near-names", small=True)
+    keep = ("rep", "hub", "c", "allowed", "m1", "has", "needs", "exact")
     each = rows.select(*keep, F.explode("names").alias("x")).select(*keep, "x.*")
     # Names of one class alone belong to no pair that is looked for, nor do names in the hub without a text that isn't
     # similar to it; so they may stand first, and the others follow by frequency.
@@ -333,7 +346,7 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
     own = W.partitionBy("rep", "hub")
     before = F.coalesce(F.sum("w").over(own.orderBy("inside", "df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     first = narrow(live.withColumn("before", before).withColumn("live", F.sum("w").over(own))).join(mass, (F.col("rep") == F.col("r")) & (F.col("hub") == F.col("rh")))
-    first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "c", "has", "needs"), "near-first", small=True)
+    first = materialise(first.where(F.col("mass") - F.col("live") + F.col("before") <= F.col("allowed") + EPS).select("key", "rep", "c", "has", "needs", "exact"), "near-first", small=True)
     first = _viable(first)
     first = materialise(first.join(narrow(pairs.select(F.col("rep").alias("pr"), "n", "place").distinct()), F.col("rep") == F.col("pr")).drop("pr"), "near-viable", small=True)
     # By key and class first, so that a key with very many members makes few rows.
@@ -342,14 +355,33 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
     few = F.col("size") * F.col("size") - F.col("same") <= 2 * min(DIRECT_PAIRS << step, MOST_DIRECT_PAIRS) * F.col("size")
     placed = materialise(first.join(groups.select("k", few.alias("few"), F.col("top.c").alias("main"), F.col("h.rep").alias("hub")), F.col("key") == F.col("k")).drop("k"), "near-groups", small=True)
     pairs = materialise(placed.where(~F.col("few") & (F.col("rep") != F.col("hub"))).select("rep", "n", "place", "hub").distinct(), "near-pairs", small=True)
-    small = placed.where("few").select("key", "rep", "c", "main")
-    other = small.where("c != main").select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("c").alias("bc"))
-    direct = narrow(small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc")))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+    small = placed.where("few").select("key", "rep", "n", "c", "has", "needs", "exact", "main")
+    other = small.where("c != main").select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("has").alias("bhas"), F.col("needs").alias("bneeds"))
+    may = _may_link(*[F.col(c) for c in ("n", "has", "needs", "bn", "bhas", "bneeds", "exact")], threshold)
+    direct = narrow(small.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("bc")) & may)).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
     direct = materialise(direct, "near-direct", small=True)
     release(rows, live, first, placed)
     return pairs, direct
 
 
+def _all_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different classes beside a hub that may be similar, however they are named."""
+    repeats = narrow(beside.groupBy(F.col("hub").alias("mh")).agg(F.max("m4").alias("repeats")))
+    rows = _classed(beside.select("rep", "hub", "has", "needs"), classes).join(ties, F.col("c") == F.col("old"), "left").join(repeats, F.col("hub") == F.col("mh"))
+    rows = rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs"), (~F.col("repeats")).alias("exact"))
+    rows = materialise(rows.join(pairs.select("rep", "hub", "n"), ["rep", "hub"]), "near-last", small=True)
+    other = rows.select(F.col("hub").alias("k"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("has").alias("bhas"), F.col("needs").alias("bneeds"))
+    may = _may_link(*[F.col(c) for c in ("n", "has", "needs", "bn", "bhas", "bneeds", "exact")], threshold)
+    direct = narrow(rows.join(other, (F.col("hub") == F.col("k")) & (F.col("rep") > F.col("b")) & (F.col("c") != F.col("bc")) & may)).select(F.col("rep").alias("a"), "b").distinct()
+    return materialise(direct, "near-direct", small=True)
+
+
+def _left(pairs: DataFrame) -> tuple[int, int]:
+    """Texts beside hubs, and pairs of them beside the same one."""
+    m = F.col("m")
+    return pairs.groupBy("hub").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum(m), F.lit(0)), F.coalesce(F.sum((m * (m - 1)) / 2), F.lit(0))).first()
+
+
 def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """Links (src, dst) between different classes that meet in a bucket; classes are (node, component).
 
@@ -364,15 +396,21 @@ def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts:
     pairs = materialise(_central_hubs(mixed), "near-pairs", small=True)
     release(mixed)
     links, direct, ties = [], [], None
-    while not is_empty(pairs):
+    texts_left, pairs_left = first = _left(pairs)
+    while texts_left:
         least = narrow(pairs.groupBy("hub").agg(F.min("n").alias("least")))
         beside = materialise(beside_hubs(pairs.join(least, "hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "least"), texts, threshold), "near-beside")
         links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found", small=True))
         ties = _ties(links[-1], classes, ties)
+        if pairs_left <= LAST_PAIRS * first[0]:
+            direct.append(_all_pairs(pairs, beside, classes, ties, threshold))
+            release(pairs, beside)
+            break
         after, small = _next_pairs(pairs, beside, classes, ties, threshold, len(direct))
         direct.append(small)
         release(pairs, beside)
         pairs = after
+        texts_left, pairs_left = _left(pairs)
     if not links:
         return None
     known = reduce(DataFrame.unionByName, links)
