@@ -18,8 +18,9 @@ the hub, and m the least number of distinct shingles among the members.  Similar
 sizes together, and y has m shingles or more.  If x shares fewer with h than that comes to, as most texts do that aren't
 similar to h, then x and y share a shingle that h doesn't have.  So each member is compared with the text of most links,
 and named by its shingles outside it; members of several classes with a name in common form a smaller group, which is
-treated in the same way, until no group holds two classes, or so few pairs are left that all those whose sizes allow a
-link can be compared.  By the prefix filter only the first shingles of a text, rare ones before frequent ones and with a
+treated in the same way, until no group holds two classes, or its pairs are few enough to be counted at once: those of
+two blocks of a group meet in one task, as a product of matrices (see ``may_be_similar``), and only the pairs whose shared
+shingles allow a link leave it.  By the prefix filter only the first shingles of a text, rare ones before frequent ones and with a
 fifth of its weight before them, need to be such names.  Where the argument fails (by the marks of ``names``), shingles
 that are shared with h are names too.
 Every candidate is verified on whole texts; classes are connected components of links.
@@ -49,8 +50,12 @@ MEMO_WORDS = 500_000
 #: Pairs of different classes a member, up to which those of a group are compared at once, instead of all with a hub; the
 #: number doubles from step to step, up to the second one.
 DIRECT_PAIRS, MOST_DIRECT_PAIRS = 8, 64
-#: Pairs beside all hubs for each text beside one in the first step, up to which they are compared at once, without further steps.
-LAST_PAIRS = 16
+#: Pairs beside all hubs for each text beside one in the first step, up to which they are counted at once, without further steps.
+LAST_PAIRS = 4096
+#: Texts of a block of a group: the first number until there are so many blocks, then the last one; and its shingles.
+BLOCK, BLOCKS, MOST_BLOCK, BLOCK_SHINGLES = 128, 16, 1024, 400_000
+#: Shingles that more texts of two blocks have are counted by a product of matrices, of so many columns at a time; others pair by pair.
+RARE, COLUMNS = 8, 4096
 #: Guards comparisons of sums of weights; a larger one only adds candidates.
 EPS = 1e-9
 
@@ -258,6 +263,67 @@ def beside_hubs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return with_texts(pairs, texts).mapInArrow(run, schema)
 
 
+def _shared(n: int, split: int, row: np.ndarray, key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of the weights of the keys that two of n rows share, for the rows before ``split`` with those after it; with a
+    split of 0 for all rows, above the diagonal.  A row has a key once, and a key one weight."""
+    first, after = (split, n - split) if split else (n, n)
+    out = np.zeros(first * after, np.float32)
+    order = np.lexsort((row, key))
+    row, key, weight = row[order], key[order], weight[order].astype(np.float32)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(key)))
+    df, column = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes > RARE) - 1, sizes)
+    rare, common = (df > 1) & (df <= RARE), df > RARE
+    r, k, w = row[rare], key[rare], weight[rare]
+    for step in range(1, min(RARE, len(r))):
+        met = (k[step:] == k[:-step]) & ((r[:-step] < split) & (r[step:] >= split) if split else True)
+        out += np.bincount(r[:-step][met] * after + r[step:][met] - split, w[step:][met], len(out)).astype(np.float32)
+    out, r, c, w = out.reshape(first, after), row[common], column[common], weight[common]
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        own = slice(*np.searchsorted(c, (at, at + COLUMNS)))
+        table, ones = (np.zeros((n, int(c[own][-1]) - at + 1), np.float32) for _ in range(2))
+        table[r[own], c[own] - at], ones[r[own], c[own] - at] = w[own], 1
+        out += table[:first] @ ones[split:].T
+    return out if split else np.triu(out, 1)
+
+
+def may_be_similar(split: int, sizes: np.ndarray, h: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows before ``split`` may be similar to which after it (0: all rows, above the diagonal); a row's shingles and
+    their counts lie one after another in h and count, ``sizes`` a row.
+
+    With I the sum of the lesser counts of shared shingles, E that of those with equal counts and U that of the greater
+    counts of all, a shingle of equal counts k adds k / U to the similarity, and another one no more than its lesser count
+    by the lesser of both texts' sums.  So E / U + (I - E) / least sum is no less than the similarity, and without repeats equal to it.
+    """
+    n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(row, count, n).astype(np.float32)
+    left, right = total[: split or n, None], total[None, split:]
+    if (count == 1).all():
+        both = equal = _shared(n, split, row, h, count)
+    else:
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # a shingle's first, second, ... occurrence
+        with np.errstate(over="ignore"):
+            each, same = mix(np.repeat(h, count) + _GOLDEN * nth.astype(np.uint64)), mix(h + _GOLDEN * count.astype(np.uint64))
+        both, equal = _shared(n, split, np.repeat(row, count), each, np.ones(len(nth))), _shared(n, split, row, same, count)
+    return (both > 0) & (equal / (left + right - both) + (both - equal) / np.minimum(left, right) >= threshold - 1e-5)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """texts (rep, text): rep, its distinct shingles and their counts (empty without repeats) as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                doc, h, count, _, _ = shingles(batch.column("text").to_pylist(), ids)
+                bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                own = [(h[x:y].tobytes(), b"" if (count[x:y] == 1).all() else count[x:y].astype(np.int32).tobytes()) for x, y in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(c, pa.binary()) for c in zip(*own, strict=True)]], ["rep", "h", "counts"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, h binary, counts binary")
+
+
 def _joined_keys(n: int, bands: int) -> F.Column:
     """Keys of n neighbouring bands together."""
     return F.transform(F.sequence(F.lit(0), F.lit(bands - n), F.lit(n)), lambda i: F.xxhash64(F.lit(n), i, *[F.get("keys", i + j) for j in range(n)]))
@@ -364,16 +430,43 @@ def _next_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: D
     return pairs, direct
 
 
-def _all_pairs(pairs: DataFrame, beside: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different classes beside a hub that may be similar, however they are named."""
-    repeats = narrow(beside.groupBy(F.col("hub").alias("mh")).agg(F.max("m4").alias("repeats")))
-    rows = _classed(beside.select("rep", "hub", "has", "needs"), classes).join(ties, F.col("c") == F.col("old"), "left").join(repeats, F.col("hub") == F.col("mh"))
-    rows = rows.select("rep", "hub", F.coalesce("new", "c").alias("c"), "has", F.when(F.col("repeats"), 0).otherwise(F.col("needs")).alias("needs"), (~F.col("repeats")).alias("exact"))
-    rows = materialise(rows.join(pairs.select("rep", "hub", "n"), ["rep", "hub"]), "near-last", small=True)
-    other = rows.select(F.col("hub").alias("k"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("has").alias("bhas"), F.col("needs").alias("bneeds"))
-    may = _may_link(*[F.col(c) for c in ("n", "has", "needs", "bn", "bhas", "bneeds", "exact")], threshold)
-    direct = narrow(rows.join(other, (F.col("hub") == F.col("k")) & (F.col("rep") > F.col("b")) & (F.col("c") != F.col("bc")) & may)).select(F.col("rep").alias("a"), "b").distinct()
-    return materialise(direct, "near-direct", small=True)
+def _all_pairs(pairs: DataFrame, classes: DataFrame, ties: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different classes beside a hub, the hub among them, that may be similar by all of their shingles.
+
+    A group is dealt into blocks, and two blocks at a time are compared in one task, which gives only such pairs.
+    """
+    rows = pairs.select("rep", "hub", "n").unionByName(pairs.select(F.col("hub").alias("rep"), "hub", F.lit(0).cast("long").alias("n")).distinct())
+    rows = _classed(rows, classes)
+    if ties is not None:
+        rows = rows.join(ties, F.col("c") == F.col("old"), "left").withColumn("c", F.coalesce("new", "c")).drop("old", "new")
+    rows = materialise(rows, "near-last", small=True)
+    m, shingles_ = F.count("*"), F.sum("n")
+    blocks = F.greatest(F.lit(1), F.least(F.ceil(m / BLOCK), F.lit(BLOCKS)), F.ceil(m / MOST_BLOCK), F.ceil(shingles_ / BLOCK_SHINGLES)).cast("int")
+    groups = narrow(rows.groupBy(F.col("hub").alias("gh")).agg(blocks.alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("gh", "blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    each = narrow(rows.join(groups, F.col("hub") == F.col("gh"))).select("rep", "hub", "c", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = materialise(each.select("rep", "hub", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "near-blocks", small=True)
+    sets = materialise(_sets(texts.join(each.select("rep").distinct().hint("merge"), "rep", "left_semi")), "near-sets")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        rep, c, block = (table.column(x).to_numpy() for x in ("rep", "c", "block"))
+        h, counts = table.column("h").to_pylist(), table.column("counts").to_pylist()
+        sizes = np.array([len(x) // 8 for x in h])
+        count = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) if x else np.ones(k, np.int64) for x, k in zip(counts, sizes, strict=True)])
+        split = int(np.searchsorted(block, block[-1]))
+        if split == 0 and table.column("i")[0].as_py() != table.column("j")[0].as_py() or (c == c[0]).all():
+            a = b = np.zeros(0, np.int64)  # one of the two blocks has no texts
+        else:
+            a, b = np.nonzero(may_be_similar(split, sizes, np.frombuffer(b"".join(h), np.uint64), count, threshold))
+            b = b + split
+            a, b = rep[a[c[a] != c[b]]], rep[b[c[a] != c[b]]]
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+    found = each.hint("merge").join(sets, "rep").groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+    out = materialise(found.distinct(), "near-direct", small=True)
+    release(rows, each, sets)
+    return out
 
 
 def _left(pairs: DataFrame) -> tuple[int, int]:
@@ -398,26 +491,29 @@ def _more_links(members: DataFrame, links: DataFrame, classes: DataFrame, texts:
     links, direct, ties = [], [], None
     texts_left, pairs_left = first = _left(pairs)
     while texts_left:
+        if pairs_left <= LAST_PAIRS * first[0]:
+            direct.append(_all_pairs(pairs, classes, ties, texts, threshold))
+            release(pairs)
+            break
         least = narrow(pairs.groupBy("hub").agg(F.min("n").alias("least")))
         beside = materialise(beside_hubs(pairs.join(least, "hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "least"), texts, threshold), "near-beside")
         links.append(materialise(beside.where(F.col("sim") >= threshold).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "near-found", small=True))
         ties = _ties(links[-1], classes, ties)
-        if pairs_left <= LAST_PAIRS * first[0]:
-            direct.append(_all_pairs(pairs, beside, classes, ties, threshold))
-            release(pairs, beside)
-            break
         after, small = _next_pairs(pairs, beside, classes, ties, threshold, len(direct))
         direct.append(small)
         release(pairs, beside)
         pairs = after
         texts_left, pairs_left = _left(pairs)
-    if not links:
+    if not direct:
         return None
-    known = reduce(DataFrame.unionByName, links)
-    # The links found beside hubs tie many classes together; of the pairs left over only those of different ones can add any.
-    ties = known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-    last = verify(_between(reduce(DataFrame.unionByName, direct).distinct(), materialise(connected_components(ties, 2), "near-classes", small=True)), texts)
-    return known.unionByName(last.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    last = reduce(DataFrame.unionByName, direct).distinct()
+    if links:
+        # The links found beside hubs tie many classes together; of the pairs left over only those of different ones can add any.
+        known = reduce(DataFrame.unionByName, links)
+        ties = known.unionByName(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        last = _between(last, materialise(connected_components(ties, 2), "near-classes", small=True))
+    last = verify(last, texts).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return known.unionByName(last) if links else last
 
 
 def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
