@@ -45,3 +45,10 @@ def test_two_blocks_left_out_are_fitted_once(spark):
             said, _ = K.predictions(x[train], y[train], x[test], ["p", "q"])
             assert all(found.pop((outer, p, m)) == said[m][i] for m in said for i, p in enumerate(np.flatnonzero(test).tolist()))
     assert not found
+
+
+def test_a_trial_of_two_blocks_has_no_inner_folds(spark):
+    rows = [(0, "a+b", p, p // 7 + 1, p % 7, ("Low", "Medium", "High")[p % 3], [float(p % 3), float(p)]) for p in range(14)]
+    plots = spark.createDataFrame(rows, "trial long, pair_id string, plot int, block int, n_rate int, treatment string, features array<double>")
+    chosen, inner, found = V.nested(plots, ["p", "q"], ["trial"])
+    assert inner.count() == chosen.count() == found.count() == 0
